@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from visitorlens.functions.expr import let
+
 # Sentiment thresholds, both ends inclusive.
 NEGATIVE_AT = -0.05
 POSITIVE_AT = 0.05
@@ -27,7 +29,10 @@ def dot(a: Column, b: Column) -> Column:
 
 def unit_vector(v: Column) -> Column:
     """The vector at length 1; a zero vector stays zero, so that its cosine is 0."""
-    norm = F.sqrt(dot(v, v))
-    return F.transform(
-        v, lambda x: F.when(norm > 0, x.cast("double") / norm).otherwise(F.lit(0.0))
-    )
+
+    def scaled(norm: Column) -> Column:
+        return F.transform(
+            v, lambda x: F.when(norm > 0, x.cast("double") / norm).otherwise(F.lit(0.0))
+        )
+
+    return let(F.sqrt(dot(v, v)), scaled)

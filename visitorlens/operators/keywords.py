@@ -101,9 +101,9 @@ def keyword_table_mentions(
 ) -> DataFrame:
     """Like ``keyword_mentions`` for a keyword *table* (column ``keyword``) of any size.
 
-    Cut a text into maximal runs of word and of other characters. A keyword
-    between word boundaries is then exactly a sequence of whole runs, so matching
-    is an equi-join of the keyword with the run sequences of the lengths that
+    Cut a text into maximal runs of word and of other characters and drop the
+    marks at its two ends. A keyword between word boundaries is then exactly a
+    sequence of whole runs, so matching is an equi-join of the keyword with the run sequences of the lengths that
     occur in the table: no regex per pair, and no pairing of reviews with keywords.
     """
     keys = (
@@ -115,7 +115,7 @@ def keyword_table_mentions(
     # At most as many values as the longest keyword has characters.
     lengths = sorted(row["_runs"] for row in keys.select("_runs").distinct().collect())
     keys = keys.select("keyword")
-    runs = F.regexp_extract_all(F.lower(F.col(text)), F.lit(RUNS))
+    runs = _inner_runs(F.regexp_extract_all(F.lower(F.col(text)), F.lit(RUNS)))
     sequences = let(
         runs,
         lambda r: F.array_distinct(
@@ -135,6 +135,17 @@ def keyword_table_mentions(
     return counted.join(keys, "keyword", "left_semi")
 
 
+def _inner_runs(runs: Column) -> Column:
+    """Runs of a text without the marks at its two ends, where no word boundary lies outside."""
+    return let(
+        runs,
+        lambda all_runs: F.filter(
+            all_runs,
+            lambda run, i: run.rlike(WORD_CHAR) | ((i > 0) & (i < F.size(all_runs) - 1)),
+        ),
+    )
+
+
 def _joined_runs(runs: Column, n: int) -> Column:
     """Every ``n`` consecutive runs, concatenated."""
     if n == 1:

@@ -181,9 +181,10 @@ class _Context:
     def scores_nothing(self, i: Column) -> Column:
         """Boosters, and the ``kind`` of ``kind of``, have no valence of their own."""
         word = F.lower(F.get(self.words, i))
-        kind_of = (word == "kind") & F.coalesce(
-            F.lower(F.get(self.words, i + 1)) == "of", F.lit(False)
+        next_of_first = F.get(
+            self.words, F.array_position(self.words, F.get(self.words, i)).cast("int")
         )
+        kind_of = (word == "kind") & F.coalesce(F.lower(next_of_first) == "of", F.lit(False))
         return _is_one_of(word, self.spec.boosters) | kind_of
 
     def total(self) -> Column:

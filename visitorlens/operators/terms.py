@@ -71,25 +71,36 @@ def top_terms_by_count(
 
 
 def _weights(terms: Column, vocabulary: Column) -> Column:
-    """L2-normalised tf-idf of the vocabulary terms in one document, in vocabulary order.
+    """``array<struct<term, weight>>``: L2-normalised tf-idf of the vocabulary terms in a document.
 
-    Null for a document with none of the terms, which then contributes nothing.
+    Terms the document lacks are left out, so a document with none contributes nothing.
     """
-    words = F.transform(vocabulary, lambda v: v["term"])
 
     def weigh(known: Column) -> Column:
-        raw = F.transform(
+        counted = F.transform(
             vocabulary,
-            lambda v: F.size(F.filter(known, lambda t: t == v["term"])) * v["idf"],
+            lambda v: F.struct(
+                v["term"].alias("term"),
+                (F.size(F.filter(known, lambda t: t == v["term"])) * v["idf"]).alias("w"),
+            ),
         )
+        present = F.filter(counted, lambda c: c["w"] > 0)
+
+        def normalise(weights: Column) -> Column:
+            squares = F.aggregate(weights, F.lit(0.0), lambda acc, c: acc + c["w"] * c["w"])
+            return let(
+                F.sqrt(squares),
+                lambda norm: F.transform(
+                    weights,
+                    lambda c: F.struct(c["term"].alias("term"), (c["w"] / norm).alias("weight")),
+                ),
+            )
 
-        def normalise(w: Column) -> Column:
-            norm = F.sqrt(F.aggregate(w, F.lit(0.0), lambda acc, x: acc + x * x))
-            return F.when(norm > 0, F.transform(w, lambda x: x / norm))
-
-        return let(raw, normalise)
+        return let(present, normalise)
 
-    return let(F.filter(terms, lambda t: F.array_contains(words, t)), weigh)
+    words = F.transform(vocabulary, lambda v: v["term"])
+    kept = let(words, lambda known: F.filter(terms, lambda t: F.array_contains(known, t)))
+    return let(kept, weigh)
 
 
 def tfidf_top_terms(
@@ -106,39 +117,24 @@ def tfidf_top_terms(
     The vocabulary is the ``max_features`` most frequent terms; every row counts
     as a document, also empty ones. Two passes over the text: the first counts
     n-grams and leaves at most ``max_features`` terms per group; in the second a
-    document computes its normalised weight vector inside its own row, and only
-    per-task sums of that short vector are shuffled.
+    document computes its normalised weights inside its own row, and only the
+    per-task sums of at most ``max_features`` terms are shuffled.
     """
     vocabulary = _vocabulary(reviews, by, max_features, text, stop_words, sizes)
     terms = document_terms(F.col(text), stop_words, sizes)
     if not by:
-        # One row at most; a left join keeps the plan valid for an empty corpus.
-        documents = reviews.select(terms.alias("_terms"), F.lit(0).alias("_one"))
-        vocabulary = vocabulary.withColumn("_one", F.lit(0))
-        joined = documents.join(F.broadcast(vocabulary), "_one")
+        joined = reviews.select(terms.alias("_terms"), vocabulary.scalar().alias("_vocab"))
     else:
         documents = reviews.select(*by, terms.alias("_terms"))
         if is_small(reviews.select(*by).distinct(), MAX_BROADCAST_GROUPS):
             joined = documents.join(F.broadcast(vocabulary), list(by))
         else:
             joined = salted_join(documents, vocabulary, by)
-    weighed = joined.select(
-        *by, "_vocab", _weights(F.col("_terms"), F.col("_vocab")).alias("_w")
-    ).filter(F.col("_w").isNotNull())
-    sums = [
-        F.coalesce(F.sum(F.get("_w", F.lit(i))), F.lit(0.0)).alias(f"s{i}")
-        for i in range(max_features)
-    ]
-    totals = weighed.groupBy(*by).agg(F.first("_vocab").alias("_vocab"), *sums)
-    scored = totals.select(
-        *by,
-        F.inline(
-            F.arrays_zip(
-                F.transform("_vocab", lambda v: v["term"]).alias("term"),
-                F.array(*[F.col(f"s{i}") for i in range(max_features)]).alias("score"),
-            )
-        ),
-    ).filter(F.col("term").isNotNull())
+    scored = (
+        joined.select(*by, F.inline(_weights(F.col("_terms"), F.col("_vocab"))))
+        .groupBy(*by, "term")
+        .agg(F.sum("weight").alias("score"))
+    )
     order = [F.desc("score"), F.asc("term")]
     if by:
         return top_per_group(scored, by, order, k)

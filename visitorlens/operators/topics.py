@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from visitorlens.functions.scores import dot, unit_vector
-from visitorlens.operators.scale import is_small, salted_join, top_per_group
+from visitorlens.operators.scale import salted_join, top_per_group
 
 # Seed words of the two topics.
 UX_SEEDS = [
@@ -42,7 +45,7 @@ FREQUENCY_WEIGHT = 0.3
 THRESHOLD = 0.35
 TOP_ITEMS = 10
 
-# Seed vectors are carried as one packed row up to this many, in blocks beyond it.
+# Seed vectors are fetched up to this many, and joined in blocks beyond it.
 PACKED_SEEDS = 2_000
 SEEDS_PER_BLOCK = 500
 
@@ -51,6 +54,29 @@ def _best(vector: Column, seeds: Column) -> Column:
     return F.array_max(F.transform(seeds, lambda s: dot(vector, s)))
 
 
+def _similarity_udf(topics: list[str], matrices: list[np.ndarray]):
+    """Vectorised kernel: a batch of vectors against the unit seed vectors of every topic."""
+
+    @F.arrow_udf(T.ArrayType(T.DoubleType()))
+    def best(vectors: pa.Array) -> pa.Array:
+        rows = vectors.flatten().to_numpy(zero_copy_only=False).astype("float64")
+        rows = rows.reshape(len(vectors), -1)
+        norms = np.linalg.norm(rows, axis=1, keepdims=True)
+        # A zero vector stays zero, so that its cosine is 0.
+        rows = np.divide(rows, norms, out=np.zeros_like(rows), where=norms > 0)
+        scores = np.column_stack([(rows @ seeds.T).max(axis=1) for seeds in matrices])
+        offsets = np.arange(len(rows) + 1, dtype="int32") * len(matrices)
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(scores.reshape(-1)))
+
+    return best
+
+
+def _unit_rows(vectors: list[list[float]]) -> np.ndarray:
+    rows = np.array(vectors, dtype="float64")
+    norms = np.linalg.norm(rows, axis=1, keepdims=True)
+    return np.divide(rows, norms, out=np.zeros_like(rows), where=norms > 0)
+
+
 def seed_similarity(
     items: DataFrame,
     seeds: DataFrame,
@@ -60,28 +86,30 @@ def seed_similarity(
 ) -> DataFrame:
     """``(items' columns but the vector, topic, similarity)``: best cosine to any seed of a topic.
 
-    ``seeds`` has ``topic`` and ``embedding``. Seeds are packed into one array per
-    topic, so an item meets all of them inside its row: no pairs of items and
-    seeds are ever produced as rows.
+    ``seeds`` has ``topic`` and ``embedding``; all vectors have the same length. A
+    seed list is small: it is fetched once, and every item is compared with it
+    inside its own task in Arrow batches (interpreted array lambdas take a
+    hundred times as long on dense vectors). No row per item and seed exists.
     """
-    units = seeds.select("topic", unit_vector(F.col("embedding")).alias("_u"))
     carried = [c for c in items.columns if c != vector]
-    prepared = items.select(*carried, unit_vector(F.col(vector)).alias("_v"))
-    if is_small(seeds, packed_seeds):
-        per_topic = units.groupBy("topic").agg(F.collect_list("_u").alias("_seeds"))
-        packed = per_topic.agg(F.collect_list(F.struct("topic", "_seeds")).alias("_topics"))
-        one = F.lit(0).alias("_one")
-        joined = prepared.select("*", one).join(
-            F.broadcast(packed.select("_topics", one)), "_one"
-        )
-        scored = F.transform(
-            "_topics",
-            lambda t: F.struct(
-                t["topic"].alias("topic"), _best(F.col("_v"), t["_seeds"]).alias("similarity")
-            ),
-        )
-        return joined.select(*carried, F.inline(scored))
-    # More seeds than fit one row: blocks of seeds, each met by every item once per topic.
+    some = seeds.select("topic", "embedding").limit(packed_seeds + 1).collect()
+    if len(some) <= packed_seeds:
+        topics = sorted({row.topic for row in some})
+        if not topics:
+            return items.select(
+                *carried, F.lit("").alias("topic"), F.lit(0.0).alias("similarity")
+            ).limit(0)
+        matrices = [_unit_rows([r.embedding for r in some if r.topic == t]) for t in topics]
+        zero = F.array_repeat(F.lit(0.0), matrices[0].shape[1])
+        known = F.coalesce(F.col(vector).cast("array<double>"), zero)
+        scored = items.select(*carried, _similarity_udf(topics, matrices)(known).alias("_s"))
+        pairs = [
+            F.struct(F.lit(t).alias("topic"), F.get("_s", F.lit(i)).alias("similarity"))
+            for i, t in enumerate(topics)
+        ]
+        return scored.select(*carried, F.inline(F.array(*pairs)))
+    # More seeds than are fetched: blocks of seeds, each met by every item once per topic.
+    units = seeds.select("topic", unit_vector(F.col("embedding")).alias("_u"))
     n_blocks = -(-seeds.count() // SEEDS_PER_BLOCK)
     block = F.pmod(F.xxhash64("topic", "_u"), F.lit(n_blocks)).cast("int")
     blocks = (
@@ -89,7 +117,7 @@ def seed_similarity(
         .groupBy("topic", "_block")
         .agg(F.collect_list("_u").alias("_seeds"))
     )
-    spread = prepared.withColumn(
+    spread = items.withColumn("_v", unit_vector(F.col(vector))).withColumn(
         "_block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))
     )
     met = salted_join(spread, blocks, ["_block"]).select(
