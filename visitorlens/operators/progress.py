@@ -17,33 +17,52 @@ PAST_CUTOFF_LIMIT = 12
 MAX_RUNTIME_SECONDS = 900
 
 
-def batch_counters(
+def seen_counters(
     reviews: DataFrame,
     cutoff: Column,
     keys: Sequence[str] = KEY,
     venue: str = "venue",
     batch: str = "batch",
-    order: str = "ingest_seq",
 ) -> DataFrame:
-    """One row per venue and pass: rows seen, added, skipped as too old, empty, cut, oldest date.
+    """One row per venue and pass: rows seen, skipped as too old, empty, cut, oldest date.
 
-    A review counts as added in the pass in which its key first arrives within
-    range; too-old reviews are counted once per pass and key.
+    Too-old reviews are counted once per pass and key.
     """
     text = F.coalesce(F.col("review_text"), F.lit(""))
     too_old = F.when(~in_range(cutoff), F.struct(*keys))
-    seen = reviews.groupBy(venue, batch).agg(
+    return reviews.groupBy(venue, batch).agg(
         F.count(F.lit(1)).alias("n_rows"),
         F.count_distinct(too_old).alias("n_skipped_old"),
         F.count_if(text == "").alias("n_empty_text"),
         F.count_if(looks_truncated(text)).alias("n_truncated"),
         F.min("review_dt").alias("oldest_date"),
     )
+
+
+def with_added(
+    seen: DataFrame, added: DataFrame, venue: str = "venue", batch: str = "batch"
+) -> DataFrame:
+    """Adds ``n_added``, the number of rows of ``added`` per venue and pass."""
+    counted = added.groupBy(venue, batch).agg(F.count(F.lit(1)).alias("n_added"))
+    return seen.join(counted, [venue, batch], "left").na.fill(0, ["n_added"])
+
+
+def batch_counters(
+    reviews: DataFrame,
+    cutoff: Column,
+    keys: Sequence[str] = KEY,
+    venue: str = "venue",
+    batch: str = "batch",
+    order: str = "ingest_seq",
+) -> DataFrame:
+    """``seen_counters`` plus ``n_added``, for a history whose rows carry their pass.
+
+    A review counts as added in the pass in which its key first arrives in range.
+    """
     candidates = reviews.filter(has_content() & in_range(cutoff))
     scope = list(dict.fromkeys([venue, *keys]))
     firsts = first_seen(candidates.select(*scope, batch, order), scope, order)
-    added = firsts.groupBy(venue, batch).agg(F.count(F.lit(1)).alias("n_added"))
-    return seen.join(added, [venue, batch], "left").na.fill(0, ["n_added"])
+    return with_added(seen_counters(reviews, cutoff, keys, venue, batch), firsts, venue, batch)
 
 
 def arrivals(
@@ -56,8 +75,7 @@ def arrivals(
     seen = tagged.groupBy("venue", "batch").agg(F.count(F.lit(1)).alias("n_rows"))
     # The first sighting is an aggregate: it shrinks hot keys before the shuffle.
     first = tagged.groupBy("venue", "_key").agg(F.min_by("batch", order).alias("batch"))
-    added = first.groupBy("venue", "batch").agg(F.count(F.lit(1)).alias("n_added"))
-    return seen.join(added, ["venue", "batch"], "left").na.fill(0, ["n_added"])
+    return with_added(seen, first)
 
 
 def _passes(venue: str, batch: str):

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from visitorlens.functions.text import WHITESPACE
+from visitorlens.operators.reviews import identity_columns
 from visitorlens.schema import REVIEW_COLUMNS, REVIEW_SCHEMA, check_columns
 
 
@@ -52,6 +53,18 @@ def append_reviews(df: DataFrame, path: str, partition_by: str = "venue") -> Non
         df.write.mode("append").parquet(path)
 
 
+def land_csv(spark: SparkSession, csv_path: str, path: str, venue: str) -> None:
+    """Convert a venue's review CSV into the Parquet table, with the keys ingestion needs."""
+    rows = read_reviews_csv(spark, csv_path)
+    texts = [c for c in REVIEW_COLUMNS if c not in ("is_local_guide", "reviewer_total_reviews")]
+    rows = rows.withColumns({c: F.nullif(F.col(c), F.lit("")) for c in texts})
+    rows = rows.withColumn(
+        "reviewer_total_reviews", F.col("reviewer_total_reviews").try_cast("int")
+    )
+    keyed = rows.select("*", *identity_columns(), F.lit(venue).alias("venue"))
+    append_reviews(keyed, path)
+
+
 def write_progress(progress: DataFrame, path: str) -> None:
     """Append progress rows as JSON lines with the time of writing; see ``latest_progress``."""
     progress.withColumn("updated_at", F.current_timestamp()).write.mode("append").json(path)
