@@ -1,0 +1,93 @@
+from pyspark.sql import functions as F
+
+from visitorlens.functions import html as h
+from visitorlens.operators import pages as pg
+
+CARD = """<html><body><div class="list">
+<div class="jftiEf" data-review-id="r1"><div class="top"><button>
+  <div class="d4r55"> Ann &amp; Bo </div><div>Local Guide · 1,234 reviews</div></button></div>
+  <span class="kvMYJc" role="img" aria-label="5 stars"></span><span class="rsqaWe">3 months ago</span>
+  <div class="MyEned"><span class="wiI7pd">Great <b>hall</b>,<br>poor lobby</span><span>More</span></div></div>
+<div class="jftiEf" data-review-id="r2"><div class="d4r55">Cy</div><span class="note">Short</span>
+  <span class="other">Longer fallback text</span></div>
+<div class="jftiEf" data-review-id=""><div class="d4r55">No id</div></div>
+</div><script>var s = '<div data-review-id="no">';</script></body></html>"""
+FLAT = """<article data-review-id="f1"><h3 class="d4r55">Ann</h3><i class="kvMY7b" aria-label="2 stars"></i>
+<time class="rsqaWe">a year ago</time><p>Dull &lt;show&gt;</p>12 reviews</article>
+<article data-review-id="f2"><p>Fine</p></article>"""
+
+
+def pages(spark, *htmls):
+    rows = [(i, f"https://x/{i}", html) for i, html in enumerate(htmls)]
+    return spark.createDataFrame(rows, "page_id long, url string, html string")
+
+
+def test_nested_cards(spark):
+    got = pg.extract_cards_nested(pages(spark, CARD, "<p>no cards</p>", None)).orderBy("pos").collect()
+    first, second, third = got
+    assert (first.id, first.author, first.rating, first.date) == ("r1", "Ann & Bo", "5 stars", "3 months ago")
+    # The block around the text is longer than the text node itself.
+    assert first.text == "Great hall,\npoor lobbyMore"
+    assert (first.is_local_guide, first.reviewer_total_reviews) == (True, "1234")
+    assert (second.id, second.text, second.is_local_guide) == ("r2", "Longer fallback text", False)
+    assert (third.id, third.author, third.reviewer_total_reviews) == ("", "No id", "")
+
+
+def test_second_card_selector_is_used_only_without_the_first(spark):
+    page = '<div class="jftiEf"><b class="d4r55">A</b></div>'
+    got = pg.extract_cards_nested(pages(spark, page)).collect()
+    assert [(r.id, r.author) for r in got] == [("", "A")]
+
+
+def test_flat_cards(spark):
+    got = pg.extract_cards(pages(spark, FLAT, "<p>nothing</p>")).orderBy("pos").collect()
+    assert [(r.pos, r.id, r.author, r.rating, r.date) for r in got] == [
+        (0, "f1", "Ann", "2 stars", "a year ago"), (1, "f2", "", "", ""),
+    ]
+    assert got[0].text.endswith("12 reviews") and "Dull <show>" in got[0].text
+    assert got[0].reviewer_total_reviews == "12"
+
+
+def test_interstitial(spark):
+    cases = [
+        ("https://consent.google.com/m", "", True),
+        ("https://www.google.com/sorry/index", "", True),
+        ("https://x/sorry/", "", True),
+        ("https://maps", "Our systems have DETECTED unusual traffic", True),
+        ("https://maps", "Before you continue to Google", True),
+        ("https://maps", "to continue, please sign in", True),
+        ("https://maps", '<div class="g-ReCaptcha">', True),
+        ("https://maps", "I'm not a robot", True),
+        ("https://maps", "verify you are a human", True),
+        ("https://maps", "Live traffic and transit", False),
+        (None, None, False),
+    ]
+    df = spark.createDataFrame(cases, "url string, html string, want boolean")
+    flagged = df.select("*", h.is_interstitial(F.col("url"), F.col("html")).alias("got"))
+    assert [r for r in flagged.collect() if r.got != r.want] == []
+    kept = pg.open_pages(df.withColumn("page_id", F.lit(1)))
+    assert kept.count() == 2
+    assert df.limit(1).select(h.is_profile_url(F.lit("/Contrib/1"))).first()[0]
+
+
+def test_contributor(spark):
+    cases = [
+        ("Local Guide · 123 reviews", True, "123"), ("1,234 reviews", False, "1234"),
+        ("1 review", False, "1"), ("LOCAL GUIDE", True, ""), (None, False, ""), ("reviews 5", False, ""),
+    ]
+    df = spark.createDataFrame(cases, "b string, guide boolean, total string")
+    got = df.select(h.contributor_is_guide(F.col("b")), h.contributor_total(F.col("b"))).collect()
+    assert [tuple(r) for r in got] == [(g, t) for _, g, t in cases]
+
+
+def test_longest_text(spark):
+    rows = [
+        (["aa", "bbb", " ccc "], ["x" * 10], "bbb"),
+        (["", " "], ["x" * 5000, "y" * 4999, "z"], "y" * 4999),
+        ([], [], ""),
+        ([], ["x" * 5000], ""),
+        (["p" * 6000], ["q"], "p" * 6000),
+    ]
+    df = spark.createDataFrame(rows, "p array<string>, f array<string>, want string")
+    got = df.select("want", h.longest_text(F.col("p"), F.col("f")).alias("got")).collect()
+    assert [r for r in got if r.got != r.want] == []

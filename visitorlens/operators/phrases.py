@@ -65,7 +65,10 @@ def word_scores(phrases: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 
 def score_phrases(phrases: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """``(*by, phrase, n, rake)``: phrase score = sum of its words' degree/frequency."""
+    """``(*by, phrase, n, rake)``: phrase score = sum of its words' degree/frequency.
+
+    Rounded to nine places, so that equal scores tie however their parts were added.
+    """
     words = _phrase_words(phrases, by)
     stats = word_scores(phrases, by).select(*by, "word", "score", "n_phrases")
     if by:
@@ -77,7 +80,7 @@ def score_phrases(phrases: DataFrame, by: Sequence[str] = ()) -> DataFrame:
         stats = stats.withColumnRenamed("word", "_key")
     scored = hot_key_join(words, stats, "_key", "n_phrases")
     return scored.groupBy(*by, "phrase", "n").agg(
-        F.sum(F.col("score") * F.col("times")).alias("rake")
+        F.round(F.sum(F.col("score") * F.col("times")), 9).alias("rake")
     )
 
 
