@@ -58,6 +58,7 @@ def main() -> None:
         # The whole result is computed, without bringing it to the driver.
         QUERIES[name](spark, SF_DIR).write.format("noop").mode("overwrite").save()
         times[name] = round(time.perf_counter() - start, 3)
+        print(f"{name} {times[name]}", file=sys.stderr, flush=True)
     line = {
         "metric": "total time of the headline queries",
         "value": round(sum(times.values()), 3),

@@ -80,9 +80,13 @@ def clean_text(col: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(F.coalesce(col, F.lit(""))), "[^a-z]+", " "))
 
 
-def tokenize(col: Column) -> Column:
-    """Words of the cleaned text, in order; empty array for empty text."""
-    return F.filter(F.split(clean_text(col), " "), lambda w: w != "")
+def tokenize(col: Column, min_chars: int = 1) -> Column:
+    """Words (a-z) of a text in order, as in its cleaned form; empty array for empty text.
+
+    One pattern pass; cleaning, splitting and filtering would walk the text three times.
+    """
+    words = F.lit(f"([a-z]{{{min_chars},}})")
+    return F.regexp_extract_all(F.lower(F.coalesce(col, F.lit(""))), words)
 
 
 def remove_terms(tokens: Column, terms: Iterable[str]) -> Column:
@@ -95,8 +99,7 @@ def content_tokens(
     col: Column, stop_words: Iterable[str] = ENGLISH_STOP_WORDS, min_chars: int = 2
 ) -> Column:
     """Tokens of at least ``min_chars`` letters that are not stop words."""
-    long_enough = F.filter(tokenize(col), lambda w: F.length(w) >= min_chars)
-    return remove_terms(long_enough, stop_words)
+    return remove_terms(tokenize(col, min_chars), stop_words)
 
 
 def ngrams(tokens: Column, sizes: tuple[int, int] = (1, 2)) -> Column:

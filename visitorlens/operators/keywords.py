@@ -27,6 +27,9 @@ DEFAULT_KEYWORDS = [
     "navigation",
 ]
 
+# Up to this many different first runs of longer keywords are tested before joining runs.
+MAX_HEADS = 10_000
+
 # Letters, digits and underscore of any script. Spelled out because the meaning of
 # \w and \b in Java depends on the version, and is ASCII-only in recent ones.
 WORD_CHAR = r"[\p{L}\p{N}_]"
@@ -106,24 +109,21 @@ def keyword_table_mentions(
     sequence of whole runs, so matching is an equi-join of the keyword with the run sequences of the lengths that
     occur in the table: no regex per pair, and no pairing of reviews with keywords.
     """
+    cut = F.regexp_extract_all("keyword", F.lit(RUNS))
     keys = (
         keyword_table.select("keyword")
         .filter(F.col("keyword") != "")
         .distinct()
-        .withColumn("_runs", F.size(F.regexp_extract_all("keyword", F.lit(RUNS))))
+        .select("keyword", F.size(cut).alias("_runs"), F.get(cut, F.lit(0)).alias("_head"))
     )
-    # At most as many values as the longest keyword has characters.
+    # At most as many lengths as the longest keyword has characters.
     lengths = sorted(row["_runs"] for row in keys.select("_runs").distinct().collect())
+    longer = keys.filter(F.col("_runs") > 1).select("_head").distinct()
+    some = [row["_head"] for row in longer.limit(MAX_HEADS + 1).collect()]
+    heads = some if len(some) <= MAX_HEADS else None
     keys = keys.select("keyword")
     runs = _inner_runs(F.regexp_extract_all(F.lower(F.col(text)), F.lit(RUNS)))
-    sequences = let(
-        runs,
-        lambda r: F.array_distinct(
-            F.flatten(F.array(*[_joined_runs(r, n) for n in lengths]))
-            if lengths
-            else F.slice(r, 1, 0)
-        ),
-    )
+    sequences = let(runs, lambda r: F.array_distinct(_run_sequences(r, lengths, heads)))
     found = reviews.select(
         *by, standardize_rating(F.col(rating)).alias("rating"), F.explode(sequences).alias("keyword")
     )
@@ -141,20 +141,32 @@ def _inner_runs(runs: Column) -> Column:
         runs,
         lambda all_runs: F.filter(
             all_runs,
-            lambda run, i: run.rlike(WORD_CHAR) | ((i > 0) & (i < F.size(all_runs) - 1)),
+            lambda run, i: ((i > 0) & (i < F.size(all_runs) - 1)) | run.rlike(WORD_CHAR),
         ),
     )
 
 
-def _joined_runs(runs: Column, n: int) -> Column:
-    """Every ``n`` consecutive runs, concatenated."""
-    if n == 1:
-        return runs
-    starts = F.transform(runs, lambda _, i: F.when(i + n <= F.size(runs), i + 1))
-    return F.transform(
-        F.array_compact(starts), lambda at: F.array_join(F.slice(runs, at, F.lit(n)), "")
+def _run_sequences(runs: Column, lengths: Sequence[int], heads: Sequence[str] | None) -> Column:
+    """All sequences of consecutive runs of the given lengths, concatenated.
+
+    Sequences of several runs start only at the given ``heads``, if there are any.
+    """
+    single = runs if 1 in lengths else F.slice(runs, 1, 0)
+    several = [n for n in lengths if n > 1]
+    if not several:
+        return single
+    starts = F.array_compact(
+        F.transform(
+            runs, lambda run, i: F.when(F.lit(True) if heads is None else run.isin(heads), i)
+        )
     )
 
+    def joined(at: Column, n: int) -> Column:
+        fitting = F.filter(at, lambda i: i + n <= F.size(runs))
+        return F.transform(fitting, lambda i: F.array_join(F.slice(runs, i + 1, F.lit(n)), ""))
+
+    return let(starts, lambda at: F.concat(single, *[joined(at, n) for n in several]))
+
 
 def keyword_by_rating(
     reviews: DataFrame,

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from visitorlens.functions.html import contributor_is_guide, contributor_total
 from visitorlens.operators.reviews import normalize_reviews
 from visitorlens.operators.sentiment import SentimentWords
+from visitorlens.sources.files import spread
 
 REVIEWS_SQL = """
 SELECT
@@ -81,11 +82,13 @@ LEXICON = {
 BOOSTERS = {"very": 0.293, "thble": 0.293, "ndre": -0.293, "aux": 0.293}
 NEGATIONS = ["not", "thly", "nicht", "pas"]
 TARGET_CAP = 30
+TEXT_TABLES = {"documents", "pages"}
 PROGRESS_TARGET = 150
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if name in TEXT_TABLES else df
 
 
 def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -39,6 +39,17 @@ def read_reviews(spark: SparkSession, path: str) -> DataFrame:
     return check_columns(spark.read.parquet(path))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores for a table of fewer file splits than cores.
+
+    Text operators are bound by the processor, and a small file is one split. A
+    table with at least as many splits as cores is returned as it is, so a
+    large input is never shuffled here.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def append_reviews(df: DataFrame, path: str, partition_by: str = "venue") -> None:
     """Append to a Parquet review table, partitioned by venue, after checking the columns.
 
