@@ -18,7 +18,7 @@ def source(spark):
     raw = fx.raw_records(spark, SF)
     for part in range(4):
         chunk = raw.filter(F.floor(F.col("ingest_seq") / 50) == part)
-        chunk.coalesce(1).write.mode("append").parquet(path)
+        chunk.coalesce(1).sortWithinPartitions("ingest_seq").write.mode("append").parquet(path)
     return path, raw
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from visitorlens.functions.text import ENGLISH_STOP_WORDS, count_terms, split_phrases
-from visitorlens.operators.scale import hot_key_join, lookup_join
+from visitorlens.operators.scale import hot_key_join, salted_join
 
 # Shortest and longest phrase, in words.
 MIN_WORDS = 2
@@ -121,5 +121,5 @@ def phrase_frequency(phrases: DataFrame, by: Sequence[str] = ()) -> DataFrame:
         return phrases.withColumn("freq", F.col("n") / top)
     top = phrases.groupBy(*by).agg(F.max("n").alias("_top"))
     return (
-        lookup_join(phrases, top, by).withColumn("freq", F.col("n") / F.col("_top")).drop("_top")
+        salted_join(phrases, top, by).withColumn("freq", F.col("n") / F.col("_top")).drop("_top")
     )

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from visitorlens.functions.dates import iso_to_date, normalize_review_date
 from visitorlens.functions.keys import review_key
 from visitorlens.functions.text import fix_mojibake, looks_truncated, stars, strip
-from visitorlens.operators.scale import lookup_join, top_per_group
+from visitorlens.operators.scale import is_small, salted_join, top_per_group
 from visitorlens.schema import RATING_BUCKETS, REVIEW_COLUMNS
 
 # Sample size and least number of non-empty texts of the extraction check.
@@ -166,11 +166,11 @@ def cap_per_venue(
             .drop("n_stored")
         )
     last = ranked.groupBy(venue).agg(F.max(position).alias("_last"))
-    return (
-        lookup_join(reviews, last, [venue])
-        .filter(position <= F.col("_last"))
-        .select(*reviews.columns)
-    )
+    if is_small(reviews.select(venue).distinct()):
+        joined = reviews.join(F.broadcast(last), venue)
+    else:
+        joined = salted_join(reviews, last, [venue])
+    return joined.filter(position <= F.col("_last")).select(*reviews.columns)
 
 
 def text_quality(reviews: DataFrame, by: Sequence[str] = ("venue",)) -> DataFrame:

@@ -22,6 +22,14 @@ def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
     return df.limit(max_rows + 1).count() <= max_rows
 
 
+def _slice_of(df: DataFrame, slices: int) -> Column:
+    """Slice number that also separates equal rows, by the task that read them.
+
+    Unlike a random number it is the same when a task is run again.
+    """
+    return F.pmod(F.xxhash64(*df.columns) + F.spark_partition_id(), F.lit(slices)).cast("int")
+
+
 def salted_join(
     big: DataFrame, lookup: DataFrame, on: Sequence[str], how: str = "inner", salts: int = SALTS
 ) -> DataFrame:
@@ -29,24 +37,11 @@ def salted_join(
 
     ``lookup`` is repeated once per salt, so it should be the side with few rows per key.
     """
-    salted = big.withColumn("_salt", F.pmod(F.xxhash64(*big.columns), F.lit(salts)).cast("int"))
+    salted = big.withColumn("_salt", _slice_of(big, salts))
     copies = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return salted.join(copies, [*on, "_salt"], how).drop("_salt")
 
 
-def lookup_join(
-    big: DataFrame,
-    lookup: DataFrame,
-    on: Sequence[str],
-    how: str = "inner",
-    max_rows: int = BROADCAST_ROWS,
-) -> DataFrame:
-    """Join a caller-supplied table: broadcast if it is provably small, salted otherwise."""
-    if is_small(lookup, max_rows):
-        return big.join(F.broadcast(lookup), list(on), how)
-    return salted_join(big, lookup, on, how)
-
-
 def hot_key_join(
     big: DataFrame, stats: DataFrame, on: str, weight: str, hot_keys: int = HOT_KEYS
 ) -> DataFrame:
@@ -82,8 +77,7 @@ def top_per_group(
     if salts is None:
         salts = 1 if k <= SINGLE_STEP_TOP_K else 1024
     if salts > 1:
-        slice_id = F.pmod(F.xxhash64(*df.columns), F.lit(salts)).cast("int")
-        sliced = df.withColumn("_slice", slice_id)
+        sliced = df.withColumn("_slice", _slice_of(df, salts))
         window = Window.partitionBy(*keys, "_slice").orderBy(*order)
         df = (
             sliced.withColumn(rank, F.row_number().over(window))
