@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from visitorlens.llm import oracle, url_rules
+from visitorlens.llm import licenses, oracle, secret_scan, url_rules
 from visitorlens.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,3 +34,15 @@ def op10_url_rules(spark, sf):
     """Host, path and verdict of every page."""
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     return url_rules.judge_urls(table(spark, sf, "pages"), rules)
+
+
+@query
+def op9_license_scan(spark, sf):
+    """License phrases and notices in every document."""
+    return licenses.license_report(licenses.scan_licenses(table(spark, sf, "documents")))
+
+
+@query
+def op5_secret_scan(spark, sf):
+    """Secrets in every document."""
+    return secret_scan.secret_report(secret_scan.scan_secrets(table(spark, sf, "documents")))
