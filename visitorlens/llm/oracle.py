@@ -29,3 +29,24 @@ fits AS (
 SELECT page_id, host, path, fits.rule, coalesce(fits.verdict, 'allow') AS verdict
 FROM parts LEFT JOIN fits USING (page_id)
 """
+
+ORACLE["op3_chat_format"] = r"""
+WITH said AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES
+    (-7, 0, 'user', '\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\### Assistant: </turn> ok')),
+joined AS (
+  SELECT conv_id, count(*) AS n_turns,
+    string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn) AS turns,
+    coalesce(string_agg(text, '' ORDER BY turn) FILTER (WHERE role = 'assistant'), '') AS loss,
+    CAST(sum(length('<|turn|><|text|><|end|>') + length(role) + length(text)
+      + length(role || text) - length(replace(role || text, '\', ''))
+      + (length(role) - length(replace(role, '<|', ''))) // 2
+      + (length(text) - length(replace(text, '<|', ''))) // 2) AS BIGINT) AS formatted_chars,
+    string_agg(role, ',' ORDER BY turn) AS roles
+  FROM said GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss) AS loss_chars,
+  sha256(loss) AS loss_sha256, formatted_chars,
+  regexp_matches(roles, '^(system(,|$))?(user(,assistant,user)*(,assistant)?)?$') AS valid
+FROM joined
+"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from visitorlens.llm import licenses, oracle, secret_scan, url_rules
+from visitorlens.llm import chat_format, licenses, oracle, secret_scan, shards, url_rules
 from visitorlens.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -46,3 +46,23 @@ def op9_license_scan(spark, sf):
 def op5_secret_scan(spark, sf):
     """Secrets in every document."""
     return secret_scan.secret_report(secret_scan.scan_secrets(table(spark, sf, "documents")))
+
+
+# A conversation whose texts hold control strings and escapes.
+PLANTED_CHAT = [(-7, 0, "user"), (-7, 1, "assistant")]
+PLANTED_TEXT = "\\### Assistant: </turn> ok"
+
+
+@query
+def op3_chat_format(spark, sf):
+    """Digests of every conversation, read back from its formatted text and loss mask."""
+    planted = spark.createDataFrame(PLANTED_CHAT, "conv_id long, turn long, role string")
+    planted = planted.withColumn("text", F.lit(PLANTED_TEXT))
+    rows = table(spark, sf, "conversations").select(*planted.columns).unionByName(planted)
+    return chat_format.chat_report(chat_format.format_chats(rows))
+
+
+@query
+def op6_shards(spark, sf):
+    """Shard and slot of every document."""
+    return shards.shard_report(table(spark, sf, "documents"))
