@@ -7,7 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from visitorlens.llm import chat_format, licenses, oracle, secret_scan, shards, url_rules
+from visitorlens.llm import (
+    chat_format,
+    licenses,
+    oracle,
+    quality_rules,
+    secret_scan,
+    shards,
+    url_rules,
+)
 from visitorlens.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -66,3 +74,10 @@ def op3_chat_format(spark, sf):
 def op6_shards(spark, sf):
     """Shard and slot of every document."""
     return shards.shard_report(table(spark, sf, "documents"))
+
+
+@query
+def op7_quality_rules(spark, sf):
+    """Base counts and verdict of every document; cutoffs per language."""
+    docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
+    return quality_rules.quality_report(quality_rules.judge_quality(docs, labels))
