@@ -14,6 +14,7 @@ from visitorlens.llm import (
     quality_rules,
     secret_scan,
     shards,
+    simhash,
     url_rules,
 )
 from visitorlens.llm.common import table
@@ -81,3 +82,9 @@ def op7_quality_rules(spark, sf):
     """Base counts and verdict of every document; cutoffs per language."""
     docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
     return quality_rules.quality_report(quality_rules.judge_quality(docs, labels))
+
+
+@query
+def op2_simhash_pivots(spark, sf):
+    """Fingerprint and near-duplicate component of every document."""
+    return simhash.near_duplicates(table(spark, sf, "documents"))
