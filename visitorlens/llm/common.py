@@ -19,19 +19,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def map_rows(
+def map_slices(
     df: DataFrame,
     start: Callable[[], Callable[..., list[tuple]]],
     schema: str,
 ) -> DataFrame:
-    """Rows that ``start()(*row)`` returns for every row of ``df``.
+    """Rows that ``start()(*columns)`` returns for every slice of ``SLICE_ROWS`` rows of ``df``.
 
     ``start`` is called once per task, so that it can unpack broadcasts or compile
-    patterns. ``df`` must have only the columns the function takes. Rows stream
-    through in Arrow batches; no more than ``SLICE_ROWS`` of them are Python objects
-    at a time. An empty table gives an empty table.
+    patterns; the function gets one list per column of ``df``. Rows stream through in
+    Arrow batches. An empty table gives an empty table.
     """
-    out_type = StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    out_type = StructType.fromDDL(schema)
     names = [f.name for f in out_type.fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -39,9 +38,7 @@ def map_rows(
         fn = start()
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE_ROWS):
-                part = batch.slice(at, SLICE_ROWS)
-                columns = [c.to_pylist() for c in part.columns]
-                rows = [out for row in zip(*columns, strict=True) for out in fn(*row)]
+                rows = fn(*[c.to_pylist() for c in batch.slice(at, SLICE_ROWS).columns])
                 if rows:
                     values = zip(*rows, strict=True)
                     yield pa.RecordBatch.from_arrays(
@@ -55,6 +52,20 @@ def map_rows(
     return df.mapInArrow(run, out_type)
 
 
+def map_rows(
+    df: DataFrame,
+    start: Callable[[], Callable[..., list[tuple]]],
+    schema: str,
+) -> DataFrame:
+    """Rows that ``start()(*row)`` returns for every row of ``df``; see ``map_slices``."""
+
+    def start_slices() -> Callable[..., list[tuple]]:
+        fn = start()
+        return lambda *columns: [out for row in zip(*columns, strict=True) for out in fn(*row)]
+
+    return map_slices(df, start_slices, schema)
+
+
 def column_types(df: DataFrame, columns: Sequence[str]) -> str:
     """DDL of some columns of ``df``, for the schema of ``map_rows``."""
     by_name = {f.name: f.dataType.simpleString() for f in df.schema.fields}

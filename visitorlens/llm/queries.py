@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from visitorlens.llm import (
     chat_format,
+    decontaminate,
     licenses,
     oracle,
     quality_rules,
@@ -88,3 +89,9 @@ def op7_quality_rules(spark, sf):
 def op2_simhash_pivots(spark, sf):
     """Fingerprint and near-duplicate component of every document."""
     return simhash.near_duplicates(table(spark, sf, "documents"))
+
+
+@query
+def op1_decontaminate(spark, sf):
+    """Every benchmark item that a document contains, exactly or within the edit budget."""
+    return decontaminate.find_contained(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
