@@ -11,6 +11,7 @@ from visitorlens.llm import (
     chat_format,
     decontaminate,
     licenses,
+    mixing,
     oracle,
     quality_rules,
     secret_scan,
@@ -95,3 +96,11 @@ def op2_simhash_pivots(spark, sf):
 def op1_decontaminate(spark, sf):
     """Every benchmark item that a document contains, exactly or within the edit budget."""
     return decontaminate.find_contained(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+@query
+def op4_mixing(spark, sf):
+    """The documents of the mixture, once per pass over their source that takes them."""
+    mixed = mixing.mix_sources(table(spark, sf, "documents"))
+    tokens = mixing.count_tokens(F.col("text")).alias("tokens")
+    return mixed.select("doc_id", "source", tokens, "epoch", "position")
