@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from visitorlens.llm import (
     chat_format,
     decontaminate,
+    html_text,
     licenses,
     mixing,
     oracle,
@@ -104,3 +105,9 @@ def op4_mixing(spark, sf):
     mixed = mixing.mix_sources(table(spark, sf, "documents"))
     tokens = mixing.count_tokens(F.col("text")).alias("tokens")
     return mixed.select("doc_id", "source", tokens, "epoch", "position")
+
+
+@query
+def op8_html_text(spark, sf):
+    """Main text of every page."""
+    return html_text.extract_main_text(table(spark, sf, "pages"))
