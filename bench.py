@@ -29,7 +29,7 @@ HEADLINE = [
     "seed_similarity",
     "topic_top_items",
     "page_cards",
-    "page_cards_nested",
+    "review_cards",
     "batch_progress",
     "stop_reason",
 ]

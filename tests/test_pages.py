@@ -12,9 +12,6 @@ CARD = """<html><body><div class="list">
   <span class="other">Longer fallback text</span></div>
 <div class="jftiEf" data-review-id=""><div class="d4r55">No id</div></div>
 </div><script>var s = '<div data-review-id="no">';</script></body></html>"""
-FLAT = """<article data-review-id="f1"><h3 class="d4r55">Ann</h3><i class="kvMY7b" aria-label="2 stars"></i>
-<time class="rsqaWe">a year ago</time><p>Dull &lt;show&gt;</p>12 reviews</article>
-<article data-review-id="f2"><p>Fine</p></article>"""
 
 
 def pages(spark, *htmls):
@@ -22,30 +19,41 @@ def pages(spark, *htmls):
     return spark.createDataFrame(rows, "page_id long, url string, html string")
 
 
-def test_nested_cards(spark):
-    got = pg.extract_cards_nested(pages(spark, CARD, "<p>no cards</p>", None)).orderBy("pos").collect()
+def test_cards_of_divs(spark):
+    got = pg.extract_cards(pages(spark, CARD, "<p>no cards</p>", None)).orderBy("pos").collect()
     first, second, third = got
     assert (first.id, first.author, first.rating, first.date) == ("r1", "Ann & Bo", "5 stars", "3 months ago")
-    # The block around the text is longer than the text node itself.
-    assert first.text == "Great hall,\npoor lobbyMore"
+    # The text element alone, not the button beside it.
+    assert first.text == "Great hall,poor lobby"
     assert (first.is_local_guide, first.reviewer_total_reviews) == (True, "1234")
     assert (second.id, second.text, second.is_local_guide) == ("r2", "Longer fallback text", False)
     assert (third.id, third.author, third.reviewer_total_reviews) == ("", "No id", "")
 
 
-def test_second_card_selector_is_used_only_without_the_first(spark):
-    page = '<div class="jftiEf"><b class="d4r55">A</b></div>'
-    got = pg.extract_cards_nested(pages(spark, page)).collect()
-    assert [(r.id, r.author) for r in got] == [("", "A")]
+def test_second_card_start_is_used_only_without_the_first(spark):
+    page = '<div class="jftiEf"><b class="d4r55">A</b></div><div class="x jftiEf y"><b class="d4r55">B</b></div>'
+    got = pg.extract_cards(pages(spark, page)).orderBy("pos").collect()
+    assert [(r.id, r.author) for r in got] == [("", "A"), ("", "B")]
+
 
+def test_a_start_with_the_same_id_belongs_to_the_card(spark):
+    page = (
+        '<div data-review-id="a"><button data-review-id="a">x</button><span class="wiI7pd">one</span></div>'
+        '<div data-review-id="b"><span class="wiI7pd">two</span></div><div data-review-id=""></div><div data-review-id=""></div>'
+    )
+    got = pg.extract_cards(pages(spark, page)).orderBy("pos").collect()
+    assert [(r.pos, r.id, r.text) for r in got] == [(0, "a", "one"), (1, "b", "two"), (2, "", ""), (3, "", "")]
 
-def test_flat_cards(spark):
-    got = pg.extract_cards(pages(spark, FLAT, "<p>nothing</p>")).orderBy("pos").collect()
+
+def test_articles_and_the_contributor_near_the_author(spark):
+    page = """<article data-review-id="f1"><div><h3 class="d4r55">Ann</h3> 7 reviews</div><i class="kvMY7b" aria-label="2 stars"></i>
+<time class="rsqaWe">a year ago</time><p class="wiI7pd">Dull &lt;show&gt;</p><span>the best of 99 reviews</span></article>
+<article data-review-id="f2"><p>Fine</p></article>"""
+    got = pg.extract_cards(pages(spark, page)).orderBy("pos").collect()
     assert [(r.pos, r.id, r.author, r.rating, r.date) for r in got] == [
         (0, "f1", "Ann", "2 stars", "a year ago"), (1, "f2", "", "", ""),
     ]
-    assert got[0].text.endswith("12 reviews") and "Dull <show>" in got[0].text
-    assert got[0].reviewer_total_reviews == "12"
+    assert (got[0].text, got[0].reviewer_total_reviews) == ("Dull <show>", "7")
 
 
 def test_interstitial(spark):

@@ -65,17 +65,20 @@ def test_lexicon_table_small_and_large_agree(spark):
     spec = sn.SentimentWords(table)
     want = {r.i: r.compound for r in sn.sentiment_scores(frame(spark), SPEC).collect()}
     assert {r.i: r.compound for r in sn.sentiment_scores(frame(spark), spec).collect()} == want
-    joined = sn.score_with_lexicon_table(frame(spark), spec, "review_text", "i")
+    joined = sn.score_with_lexicon_table(frame(spark), spec, "review_text", sn.lexicon_entries(table))
+    assert joined.columns == ["i", "review_text", "compound"]
     assert {r.i: r.compound for r in joined.collect()} == want
 
 
-def test_large_lexicon_needs_an_id(spark, monkeypatch):
+def test_repeated_terms_and_lexicon_sizes_have_one_rule(spark, monkeypatch):
+    twice = [(t, v + d) for t, v in LEXICON.items() for d in (-0.5, 0.5)] + [(None, 1.0), ("x", None)]
+    table = spark.createDataFrame(twice, "term string, valence double")
+    rows = frame(spark).unionAll(frame(spark))
+    scored = [sn.sentiment_scores(rows, s) for s in (SPEC, sn.SentimentWords(table))]
     monkeypatch.setattr(sn, "MAX_LITERAL_ENTRIES", 3)
-    table = spark.createDataFrame(list(LEXICON.items()), "term string, valence double")
-    spec = sn.SentimentWords(table)
-    with pytest.raises(ValueError, match="id_col"):
-        sn.sentiment_scores(frame(spark), spec)
-    assert sn.sentiment_scores(frame(spark), spec, id_col="i").count() == len(GOLDEN)
+    scored += [sn.sentiment_scores(rows, s) for s in (SPEC, sn.SentimentWords(table))]
+    results = [sorted((r.i, round(r.compound, 4)) for r in s.collect()) for s in scored]
+    assert results[0] == results[1] == results[3] and len(results[0]) == 2 * len(GOLDEN)
 
 
 def test_labels_conserve_rows_and_columns(spark):

@@ -49,7 +49,8 @@ def test_append_and_land(spark):
     files.land_csv(spark, path, target, "hall")
     files.land_csv(spark, path, target, "007")
     df = files.read_reviews(spark, target)
-    assert df.count() == 4
+    files.land_csv(spark, path, target, "hall")
+    assert df.count() == files.read_reviews(spark, target).count() == 4
     keys = {r.review_key[:3] for r in df.collect()}
     assert keys == {"id:", "fb:"}
     assert df.filter("venue = 'hall' and review_dt = date'2024-01-05'").count() == 1
@@ -57,13 +58,28 @@ def test_append_and_land(spark):
         files.append_reviews(df.drop("rating"), target)
 
 
+def test_csv_files_with_headers_of_their_own(spark):
+    path = folder()
+    for name, columns in (("a", REVIEW_COLUMNS), ("b", [*reversed(REVIEW_COLUMNS), "extra"])):
+        values = {c: f"{c}-{name}" for c in [*REVIEW_COLUMNS, "extra"]} | {"is_local_guide": "True"}
+        with open(f"{path}/{name}.csv", "w") as f:
+            f.write(",".join(columns) + "\n" + ",".join(values[c] for c in columns) + "\n")
+    got = files.read_reviews_csv(spark, path).orderBy("review_id").collect()
+    assert [(r.review_id, r.review_text, r.extra) for r in got] == [
+        ("review_id-a", "review_text-a", None), ("review_id-b", "review_text-b", "extra-b"),
+    ]
+
+
 def test_progress_documents(spark):
     path = folder() + "/progress"
-    schema = spark.createDataFrame([], "venue string, batch long, n_added long").schema
-    for batch, n in ((0, 5), (1, 2)):
-        files.write_progress(spark.createDataFrame([("v", batch, n)], schema), path)
+    schema = spark.createDataFrame([], "venue string, run_tag string, batch long, n_added long").schema
+    # The first batch is replayed, and a new run begins with batch 0 again.
+    for tag, batch, n in (("r-0", 0, 5), ("r-0", 0, 5), ("r-1", 1, 2), ("s-0", 0, 3)):
+        files.write_progress(spark.createDataFrame([("v", tag, batch, n)], schema), path)
+    rows = files.progress_rows(spark, path, schema)
+    assert rows.count() == 3 and rows.agg(F.sum("n_added")).first()[0] == 10
     row = files.latest_progress(spark, path, schema).first()
-    assert (row.venue, row.batch, row.n_added) == ("v", 1, 2)
+    assert (row.venue, row.run_tag, row.batch, row.n_added) == ("v", "s-0", 0, 3)
     assert row.updated_at is not None
 
 

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from visitorlens.operators.reviews import new_reviews, normalize_reviews
 from visitorlens.plans import fixtures as fx
-from visitorlens.sources.files import latest_progress
+from visitorlens.sources.files import latest_progress, progress_rows
 from visitorlens.streaming import ingest
 
 SF = "/root/testdata/sf0.001"
@@ -75,9 +75,23 @@ def test_replayed_batch_is_idempotent_and_keeps_its_count(spark, source):
         )
     want = expected(spark, raw).count()
     assert spark.read.parquet(root + "/table").count() == want
-    progress = spark.read.json(root + "/progress")
-    totals = progress.groupBy("updated_at").agg(F.sum("n_added").alias("n")).collect()
-    assert [r.n for r in totals] == [want, want]
+    schema = spark.read.json(root + "/progress").drop("updated_at").schema
+    progress = progress_rows(spark, root + "/progress", schema)
+    assert progress.agg(F.sum("n_added")).first()[0] == want
+    assert {r.run_tag for r in progress.collect()} == {"run-0"}
+
+
+def test_null_and_empty_venues_are_stored_once(spark):
+    rows = [(v, str(i), "a", "5 stars", "today", "text", False, "", i) for i, v in enumerate(["", None, " ", "v"])]
+    schema = "venue string, id string, author string, rating string, date string, text string, is_local_guide boolean, reviewer_total_reviews string, ingest_seq int"
+    raw = spark.createDataFrame(rows, schema)
+    root = tempfile.mkdtemp(prefix="run-", dir="/tmp")
+    for _ in range(2):
+        ingest.ingest_batch(raw, root + "/table", fx.as_of(), fx.cutoff(), "run-0", 0)
+    stored = spark.read.parquet(root + "/table").groupBy("venue").count().collect()
+    assert {r.venue: r["count"] for r in stored} == {ingest.NO_VENUE: 3, "v": 1}
+    with pytest.raises(ValueError):
+        ingest.ingest_batch(raw, root, fx.as_of(), fx.cutoff(), "run-0", 0, prefer="longest")
 
 
 def test_per_venue_target(spark, source):

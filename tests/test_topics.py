@@ -29,11 +29,10 @@ def expected():
     return out
 
 
-@pytest.mark.parametrize("packed", [2_000, 2])
-def test_similarity_equals_numpy_packed_and_in_blocks(spark, monkeypatch, packed):
-    monkeypatch.setattr(tp, "SEEDS_PER_BLOCK", 4)
+@pytest.mark.parametrize("block", [2_000, 4, 1])
+def test_similarity_equals_numpy_in_any_blocks(spark, block):
     items, seeds = frames(spark)
-    rows = tp.seed_similarity(items, seeds, packed_seeds=packed).collect()
+    rows = tp.seed_similarity(items, seeds, block=block).collect()
     got = {(r.item_id, r.topic): r.similarity for r in rows}
     assert len(rows) == len(got) == 82
     assert got == pytest.approx(expected(), abs=1e-6)
@@ -42,7 +41,9 @@ def test_similarity_equals_numpy_packed_and_in_blocks(spark, monkeypatch, packed
 def test_null_vector_and_no_seeds(spark):
     items, seeds = frames(spark)
     null = items.limit(1).withColumn("embedding", F.lit(None).cast("array<float>"))
-    assert {r.similarity for r in tp.seed_similarity(null, seeds).collect()} == {0.0}
+    for block in (2_000, 1):
+        twice = tp.seed_similarity(null.unionAll(null), seeds, block=block).collect()
+        assert {r.similarity for r in twice} == {0.0} and len(twice) == 4
     assert tp.seed_similarity(items, seeds.limit(0)).count() == 0
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from visitorlens.functions.expr import let
 from visitorlens.functions.text import standardize_rating
-from visitorlens.operators.scale import is_small
+from visitorlens.operators.scale import is_small, null_safe_join
 from visitorlens.schema import RATING_BUCKETS
 
 # The keywords tracked when the caller names none.
@@ -190,7 +190,7 @@ def keyword_by_rating(
         *by, F.col("e.k").alias("keyword"), F.col("e.i").alias("keyword_no")
     )
     return (
-        rows.join(wide, [*by, "keyword"], "left")
+        null_safe_join(rows, wide, [*by, "keyword"], "left")
         .na.fill(0, list(ratings))
         .orderBy(*by, "keyword_no")
         .select(*by, "keyword", *ratings)

@@ -2,37 +2,28 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping, Sequence
-from dataclasses import dataclass
-from html.parser import HTMLParser
+from collections.abc import Sequence
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from visitorlens.functions.html import (
-    MAX_FALLBACK_TEXT,
     contributor_is_guide,
     contributor_total,
     first_nonempty,
     inner_text,
     is_interstitial,
+    longest_text,
 )
 
-# Markup of review cards. Each pattern captures one card of a flat layout;
-# the first pattern that finds anything on a page supplies its cards.
-CARD_PATTERNS = [
-    r'(?s)(<[^>]*\bdata-review-id="[^"]*"[^>]*>.*?</article>)',
-    r'(?s)(<div[^>]*\bclass="[^"]*jftiEf[^"]*"[^>]*>.*?</article>)',
-]
+# Names in the markup of review cards.
+CARD_STARTS = [r"<[^>]*\bdata-review-id=", r"<div\b[^>]*\bclass=\"[^\"]*\bjftiEf\b"]
+AUTHOR, DATE, RATING = "d4r55", "rsqaWe", "kvMY7b|kvMYJc"
+TEXT_CLASS, TEXT_FRAME, TEXT_SECTION = "wiI7pd", "MyEned", "data-expandable-section"
+ID_ATTRIBUTE, RATING_ATTRIBUTE = "data-review-id", "aria-label"
 
-# Fields inside a card.
-CARD_FIELDS = {
-    "id": r'data-review-id="([^"]*)"',
-    "author": r'class="[^"]*\bd4r55\b[^"]*"[^>]*>([^<]*)<',
-    "rating": r'class="[^"]*\b(?:kvMY7b|kvMYJc)\b[^"]*"[^>]*aria-label="([^"]*)"',
-    "date": r'class="[^"]*\brsqaWe\b[^"]*"[^>]*>([^<]*)<',
-}
+# A line that says something of the contributor.
+ABOUT_CONTRIBUTOR = r"(?i)local guide|\breviews?\b"
 
 
 def open_pages(pages: DataFrame) -> DataFrame:
@@ -40,184 +31,91 @@ def open_pages(pages: DataFrame) -> DataFrame:
     return pages.filter(~is_interstitial(F.col("url"), F.col("html")))
 
 
-def extract_cards(
-    pages: DataFrame,
-    card_patterns: Sequence[str] = CARD_PATTERNS,
-    fields: Mapping[str, str] = CARD_FIELDS,
-) -> DataFrame:
-    """``(page_id, url, pos, *fields, text, is_local_guide, reviewer_total_reviews)``.
+def _attribute(tag: Column, name: str) -> Column:
+    return inner_text(F.regexp_extract(tag, rf'\b{name}\s*=\s*"([^"]*)"', 1))
 
-    For layouts whose cards do not nest. All native: the blocks are cut out
-    inside the row and exploded; a page without cards gives no rows.
-    """
-    blocks = first_nonempty(
-        *[F.regexp_extract_all("html", F.lit(p), F.lit(1)) for p in card_patterns]
-    )
-    cards = pages.select("page_id", "url", F.posexplode(blocks).alias("pos", "_card"))
-    card = F.col("_card")
-    return cards.select(
-        "page_id",
-        "url",
-        "pos",
-        *[inner_text(F.regexp_extract(card, p, 1)).alias(name) for name, p in fields.items()],
-        inner_text(card).alias("text"),
-        contributor_is_guide(inner_text(card)).alias("is_local_guide"),
-        contributor_total(inner_text(card)).alias("reviewer_total_reviews"),
-    )
 
+def _tag_with_class(card: Column, names: str) -> Column:
+    return F.regexp_extract(card, rf'<[^>]*\bclass="[^"]*\b(?:{names})\b[^"]*"[^>]*>', 0)
 
-@dataclass(frozen=True)
-class CardLayout:
-    """Simple selectors: ``tag``, ``.class``, ``[attribute]`` or ``tag.class``; no nesting."""
 
-    # Selectors of the review markup.
-    card: tuple[str, ...] = ("[data-review-id]", "div.jftiEf")
-    id_attribute: str = "data-review-id"
-    author: tuple[str, ...] = (".d4r55",)
-    rating: tuple[str, ...] = (".kvMY7b", ".kvMYJc")
-    rating_attribute: str = "aria-label"
-    date: tuple[str, ...] = (".rsqaWe",)
-    text: tuple[str, ...] = (".wiI7pd", ".MyEned", "[data-expandable-section]")
-    fallback: tuple[str, ...] = ("span", "div")
+def _inner_of_class(card: Column, name: str) -> Column:
+    """Markup inside the first element of a class, up to the first end tag of its kind."""
+    pattern = rf'(?s)<(\w+)\b[^>]*\bclass="[^"]*\b{name}\b[^"]*"[^>]*>(.*?)</\1>'
+    return F.regexp_extract(card, pattern, 2)
 
 
-VOID_TAGS = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "wbr"}
-NO_TEXT_TAGS = {"script", "style", "template", "noscript"}
-BLOCK_TAGS = {"div", "p", "li", "ul", "ol", "article", "section", "tr", "h1", "h2", "h3", "h4"}
+def _pieces(html: Column, start: str) -> Column:
+    """The page cut at every card start; what stands before the first is left out.
+
+    A start with the id of the piece before belongs to the same card.
+    """
+    cut = F.split(html, f"(?={start})")
+    cut = F.filter(cut, lambda piece: piece.rlike(f"(?s)^{start}"))
+    ids = F.transform(cut, lambda piece: _attribute(piece, ID_ATTRIBUTE))
+    begins = F.filter(
+        F.sequence(F.lit(0), F.size(cut)),
+        lambda i: (i == F.size(cut))
+        | (F.get(ids, i) == "")
+        | ~F.get(ids, i).eqNullSafe(F.get(ids, i - 1)),
+    )
+    return F.transform(
+        F.slice(begins, F.lit(1), F.greatest(F.size(begins) - 1, F.lit(0))),
+        lambda begin, k: F.array_join(
+            F.slice(cut, begin + 1, F.get(begins, k + 1) - begin), ""
+        ),
+    )
 
-CARD_SCHEMA = (
-    "page_id long, url string, pos int, id string, author string, rating string, date string, "
-    "text string, contributor_blob string"
-)
 
+def _leaves(card: Column) -> Column:
+    """Texts that stand directly inside an element, in order."""
+    found = F.regexp_extract_all(card, F.lit(r"<(?:button|span|div)\b[^>]*>([^<]+)<"), F.lit(1))
+    return F.transform(found, inner_text)
 
-class _Element:
-    __slots__ = ("attrs", "children", "tag")
-
-    def __init__(self, tag: str, attrs: dict):
-        self.tag, self.attrs, self.children = tag, attrs, []
-
-    def matches(self, selector: str) -> bool:
-        if selector.startswith("["):
-            return selector[1:-1] in self.attrs
-        tag, _, name = selector.partition(".")
-        return (not tag or tag == self.tag) and (
-            not name or name in (self.attrs.get("class") or "").split()
-        )
-
-    def descendants(self) -> Iterator[_Element]:
-        stack = [iter(self.children)]
-        while stack:
-            child = next(stack[-1], None)
-            if child is None:
-                stack.pop()
-            elif isinstance(child, _Element):
-                yield child
-                stack.append(iter(child.children))
-
-    def find(self, selectors: Sequence[str]) -> Iterator[_Element]:
-        return (e for e in self.descendants() if any(e.matches(s) for s in selectors))
-
-    def text(self) -> str:
-        parts, stack = [], [self]
-        while stack:
-            node = stack.pop()
-            if isinstance(node, str):
-                parts.append(node)
-            elif node.tag == "br":
-                parts.append("\n")
-            elif node.tag not in NO_TEXT_TAGS:
-                edge = ["\n"] if node.tag in BLOCK_TAGS else []
-                stack.extend(reversed([*edge, *node.children, *edge]))
-        lines = (" ".join(line.split()) for line in "".join(parts).split("\n"))
-        return "\n".join(line for line in lines if line)
-
-
-class _TreeBuilder(HTMLParser):
-    """Forgiving element tree: an end tag closes up to its nearest open start tag."""
-
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.root = _Element("", {})
-        self.open = [self.root]
-
-    def handle_starttag(self, tag, attrs):
-        element = _Element(tag, dict(attrs))
-        self.open[-1].children.append(element)
-        if tag not in VOID_TAGS:
-            self.open.append(element)
-
-    def handle_startendtag(self, tag, attrs):
-        self.open[-1].children.append(_Element(tag, dict(attrs)))
-
-    def handle_endtag(self, tag):
-        for depth in range(len(self.open) - 1, 0, -1):
-            if self.open[depth].tag == tag:
-                del self.open[depth:]
-                return
-
-    def handle_data(self, data):
-        self.open[-1].children.append(data)
-
-
-def _card_records(html: str, layout: CardLayout) -> Iterator[tuple]:
-    builder = _TreeBuilder()
-    builder.feed(html or "")
-    builder.close()
-    cards: list[_Element] = []
-    for selector in layout.card:
-        cards = list(builder.root.find([selector]))
-        if cards:
-            break
-    for card in cards:
-
-        def first(selectors: Sequence[str], card=card) -> _Element | None:
-            return next(card.find(selectors), None)
-
-        author, rating, date = first(layout.author), first(layout.rating), first(layout.date)
-        # max() keeps the first of equally long candidates.
-        shown = [e.text() for s in layout.text if (e := first([s]))]
-        text = max(shown, key=len, default="")
-        if not text:
-            others = (e.text() for e in card.find(layout.fallback))
-            text = max((t for t in others if len(t) < MAX_FALLBACK_TEXT), key=len, default="")
-        near_author = " ".join(
-            t
-            for e in card.find(("button", "span", "div"))
-            if "review" in (t := e.text()).lower() or "local guide" in t.lower()
-        )
-        yield (
-            card.attrs.get(layout.id_attribute) or "",
-            author.text() if author else "",
-            (rating.attrs.get(layout.rating_attribute) or "") if rating else "",
-            date.text() if date else "",
-            text,
-            near_author,
-        )
-
-
-def extract_cards_nested(pages: DataFrame, layout: CardLayout | None = None) -> DataFrame:
-    """Like ``extract_cards`` for layouts with nested elements, by selectors instead of patterns.
-
-    Regular expressions cannot match nested tags, so each page is parsed with the
-    standard library in Arrow batches. Pages are independent: no shuffle.
+
+def extract_cards(
+    pages: DataFrame,
+    card_starts: Sequence[str] = CARD_STARTS,
+    text_patterns: Sequence[str] = (),
+) -> DataFrame:
+    """``(page_id, url, pos, id, author, rating, date, text, is_local_guide,
+    reviewer_total_reviews)`` per card.
+
+    A card goes from its start to the next one or the end of the page; the first pattern
+    of ``card_starts`` that finds any decides. Its text is the longest of the text
+    elements, or else of the other elements' own texts below 5,000 characters.
+    ``text_patterns`` (with one group) are further text elements. What is said near the
+    author's name counts before other lines about the contributor. All native: the cards
+    are cut out inside the row and exploded; a page without cards gives no rows.
     """
-    chosen = layout or CardLayout()
-    columns = ["page_id", "url", "pos", "id", "author", "rating", "date", "text"]
-
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = [
-                (page_id, url, pos, *record)
-                for page_id, url, html in zip(batch.page_id, batch.url, batch.html, strict=True)
-                for pos, record in enumerate(_card_records(html, chosen))
-            ]
-            yield pd.DataFrame(rows, columns=[*columns, "contributor_blob"])
-
-    parsed = pages.select("page_id", "url", "html").mapInPandas(parse, CARD_SCHEMA)
-    blob = F.col("contributor_blob")
-    return parsed.select(
-        *columns,
-        contributor_is_guide(blob).alias("is_local_guide"),
-        contributor_total(blob).alias("reviewer_total_reviews"),
+    page = F.regexp_replace(F.coalesce("html", F.lit("")), "(?is)<(script|style)\\b.*?</\\1>", "")
+    cut = pages.withColumn("_page", page)
+    cards = first_nonempty(*[_pieces(F.col("_page"), start) for start in card_starts])
+    cut = cut.select("page_id", "url", F.posexplode(cards).alias("pos", "_card"))
+    card = F.col("_card")
+    framed = rf'(?s)class="[^"]*\b{TEXT_FRAME}\b.*?<span[^>]*>(.*?)</span>'
+    section = rf"(?s)<(\w+)\b[^>]*\b{TEXT_SECTION}\b[^>]*>(.*?)</\1>"
+    shown = [
+        _inner_of_class(card, TEXT_CLASS),
+        F.regexp_extract(card, framed, 1),
+        F.regexp_extract(card, section, 2),
+        *[F.regexp_extract(card, p, 1) for p in text_patterns],
+    ]
+    near = F.regexp_extract(card, rf'(?s)\b{AUTHOR}\b[^>]*>(.*?)</div>', 1)
+    about = F.array_join(F.filter(_leaves(card), lambda t: t.rlike(ABOUT_CONTRIBUTOR)), " ")
+    parts = cut.select(
+        "page_id",
+        "url",
+        "pos",
+        _attribute(F.regexp_extract(card, "^<[^>]*>", 0), ID_ATTRIBUTE).alias("id"),
+        inner_text(_inner_of_class(card, AUTHOR)).alias("author"),
+        _attribute(_tag_with_class(card, RATING), RATING_ATTRIBUTE).alias("rating"),
+        inner_text(_inner_of_class(card, DATE)).alias("date"),
+        longest_text(F.array(*[inner_text(t) for t in shown]), _leaves(card)).alias("text"),
+        F.concat_ws(" ", inner_text(F.regexp_replace(near, "<", " <")), about).alias("_about"),
+    )
+    return parts.select(
+        *parts.columns[:-1],
+        contributor_is_guide(F.col("_about")).alias("is_local_guide"),
+        contributor_total(F.col("_about")).alias("reviewer_total_reviews"),
     )

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from visitorlens.functions.text import looks_truncated
 from visitorlens.operators.reviews import KEY, first_seen, has_content, in_range
+from visitorlens.operators.scale import null_safe_join
 
 # Limits of one collection run.
 TARGET_REVIEWS = 3000
@@ -44,7 +45,7 @@ def with_added(
 ) -> DataFrame:
     """Adds ``n_added``, the number of rows of ``added`` per venue and pass."""
     counted = added.groupBy(venue, batch).agg(F.count(F.lit(1)).alias("n_added"))
-    return seen.join(counted, [venue, batch], "left").na.fill(0, ["n_added"])
+    return null_safe_join(seen, counted, [venue, batch], "left").na.fill(0, ["n_added"])
 
 
 def batch_counters(

@@ -4,13 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from visitorlens.functions.dates import iso_to_date, normalize_review_date
 from visitorlens.functions.keys import review_key
 from visitorlens.functions.text import fix_mojibake, looks_truncated, stars, strip
-from visitorlens.operators.scale import is_small, salted_join, top_per_group
+from visitorlens.operators.scale import (
+    is_small,
+    null_safe_join,
+    salted_join,
+    top_per_group,
+)
 from visitorlens.schema import RATING_BUCKETS, REVIEW_COLUMNS
 
 # Sample size and least number of non-empty texts of the extraction check.
@@ -153,7 +158,8 @@ def cap_per_venue(
 
     ``already(venue, n_stored)`` lowers the allowance of venues with stored rows.
     Only the order columns are ranked; the full rows are then compared with the
-    venue's last admitted position and are never sorted or shuffled by venue.
+    venue's last admitted position and are never sorted or shuffled by venue. Of rows
+    with that very position as many are kept as there is room for.
     """
     position = F.struct(*[F.col(c) for c in order])
     ranked = top_per_group(
@@ -161,16 +167,23 @@ def cap_per_venue(
     )
     if already is not None:
         ranked = (
-            ranked.join(already.select(venue, "n_stored"), venue, "left")
+            null_safe_join(ranked, already.select(venue, "n_stored"), [venue], "left")
             .filter(F.col("_rank") <= F.lit(target) - F.coalesce("n_stored", F.lit(0)))
             .drop("n_stored")
         )
-    last = ranked.groupBy(venue).agg(F.max(position).alias("_last"))
-    if is_small(reviews.select(venue).distinct()):
-        joined = reviews.join(F.broadcast(last), venue)
+    counted = ranked.groupBy(venue, position.alias("_last")).agg(F.count(F.lit(1)).alias("_room"))
+    last = counted.groupBy(venue).agg(
+        F.max("_last").alias("_last"), F.max_by("_room", "_last").alias("_room")
+    )
+    if is_small(last):
+        joined = null_safe_join(reviews, F.broadcast(last), [venue])
     else:
         joined = salted_join(reviews, last, [venue])
-    return joined.filter(position <= F.col("_last")).select(*reviews.columns)
+    before = joined.filter(position < F.col("_last")).select(*reviews.columns)
+    tied = joined.filter(position == F.col("_last"))
+    turn = Window.partitionBy(venue).orderBy(F.xxhash64(*reviews.columns))
+    fitting = tied.withColumn("_turn", F.row_number().over(turn)).filter("_turn <= _room")
+    return before.unionByName(fitting.select(*reviews.columns))
 
 
 def text_quality(reviews: DataFrame, by: Sequence[str] = ("venue",)) -> DataFrame:

@@ -27,19 +27,31 @@ def _slice_of(df: DataFrame, slices: int) -> Column:
 
     Unlike a random number it is the same when a task is run again.
     """
-    return F.pmod(F.xxhash64(*df.columns) + F.spark_partition_id(), F.lit(slices)).cast("int")
+    slice_of_row = F.pmod(F.xxhash64(*df.columns), F.lit(slices))
+    return F.pmod(slice_of_row + F.spark_partition_id(), F.lit(slices)).cast("int")
+
+
+def null_safe_join(
+    left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner"
+) -> DataFrame:
+    """Equi-join in which a null key is a key like any other; keys appear once."""
+    renamed = right.withColumnsRenamed({c: f"_right_{c}" for c in on})
+    same = F.lit(True)
+    for c in on:
+        same &= F.col(c).eqNullSafe(F.col(f"_right_{c}"))
+    return left.join(renamed, same, how).drop(*[f"_right_{c}" for c in on])
 
 
 def salted_join(
     big: DataFrame, lookup: DataFrame, on: Sequence[str], how: str = "inner", salts: int = SALTS
 ) -> DataFrame:
-    """Equi-join in which every key of ``big`` is spread over ``salts`` tasks.
+    """Null-safe join in which every key of ``big`` is spread over ``salts`` tasks.
 
     ``lookup`` is repeated once per salt, so it should be the side with few rows per key.
     """
     salted = big.withColumn("_salt", _slice_of(big, salts))
     copies = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted.join(copies, [*on, "_salt"], how).drop("_salt")
+    return null_safe_join(salted, copies, [*on, "_salt"], how).drop("_salt")
 
 
 def hot_key_join(

@@ -257,39 +257,55 @@ def sentiment_scores(
     reviews: DataFrame,
     spec: SentimentWords,
     text: str = "review_text",
-    id_col: str | None = None,
 ) -> DataFrame:
     """Adds ``compound``. Null or blank text scores 0.
 
+    A term that a lexicon table lists several times has the mean of its valences.
     A lexicon of up to 50,000 terms becomes a constant of the plan: one narrow
-    pass, no join, no shuffle. A larger lexicon table is joined with the
-    documents' distinct words instead, which needs a unique ``id_col``.
+    pass, no join, no shuffle. A larger one is joined with the distinct words of
+    the distinct texts instead, with the same result.
     """
     lexicon = spec.lexicon
+    if not isinstance(lexicon, DataFrame) and len(lexicon) > MAX_LITERAL_ENTRIES:
+        rows = [(term, float(valence)) for term, valence in lexicon.items()]
+        lexicon = reviews.sparkSession.createDataFrame(rows, "term string, valence double")
     if isinstance(lexicon, DataFrame):
-        some = lexicon.select("term", "valence").limit(MAX_LITERAL_ENTRIES + 1).collect()
+        entries = lexicon_entries(lexicon)
+        some = entries.limit(MAX_LITERAL_ENTRIES + 1).collect()
         if len(some) > MAX_LITERAL_ENTRIES:
-            if id_col is None:
-                raise ValueError("a lexicon this large needs id_col, a unique row id")
-            return score_with_lexicon_table(reviews, spec, text, id_col)
+            return score_with_lexicon_table(reviews, spec, text, entries)
         lexicon = {row.term: row.valence for row in some}
     lookup = literal_lookup(reviews.sparkSession, lexicon)
     return reviews.withColumn("compound", compound_score(F.col(text), spec, lookup))
 
 
+def lexicon_entries(lexicon: DataFrame) -> DataFrame:
+    """``(term, valence)`` with one row per term: the mean of its valences; nulls are left out."""
+    known = lexicon.select("term", F.col("valence").cast("double").alias("valence")).dropna()
+    return known.groupBy("term").agg(F.avg("valence").alias("valence"))
+
+
 def score_with_lexicon_table(
-    reviews: DataFrame, spec: SentimentWords, text: str, id_col: str
+    reviews: DataFrame, spec: SentimentWords, text: str, entries: DataFrame
 ) -> DataFrame:
-    """The way for a lexicon of any size: each document first fetches its own entries."""
+    """The way for a lexicon of any size: each distinct text first fetches its own entries.
+
+    What a text needs depends on the text alone, so texts are told apart by their
+    SHA-256, and copies fetch once. A text held by very many rows is broadcast.
+    """
+    keyed = reviews.withColumn("_text_key", F.sha2(F.coalesce(F.col(text), F.lit("")), 256))
     words = F.array_distinct(F.transform(sentiment_tokens(F.col(text)), F.lower))
-    used = reviews.select(id_col, F.explode(words).alias("term"))
+    texts = keyed.groupBy("_text_key").agg(
+        F.first(words).alias("_words"), F.count(F.lit(1)).alias("_rows")
+    )
+    used = texts.select("_text_key", F.explode("_words").alias("term"))
     per_term = used.groupBy("term").agg(F.count(F.lit(1)).alias("_n"))
-    entries = spec.lexicon.select("term", F.col("valence").cast("double").alias("valence"))
     found = hot_key_join(used, entries.join(per_term, "term"), "term", "_n")
-    own = found.groupBy(id_col).agg(
+    own = found.groupBy("_text_key").agg(
         F.map_from_entries(F.collect_list(F.struct("term", "valence"))).alias("_own")
     )
-    joined = reviews.join(own, id_col, "left")
+    known = texts.drop("_words").join(own, "_text_key", "left")
+    joined = hot_key_join(keyed, known, "_text_key", "_rows").drop("_rows", "_text_key")
     empty = F.from_json(F.lit("{}"), "map<string,double>")
     entry_of = F.coalesce(F.col("_own"), empty)
     return joined.withColumn(
@@ -302,10 +318,9 @@ def sentiment_labels(
     reviews: DataFrame,
     spec: SentimentWords,
     text: str = "review_text",
-    id_col: str | None = None,
 ) -> DataFrame:
     """Every row and column plus ``sentiment``: Positive, Neutral or Negative."""
-    scored = sentiment_scores(reviews, spec, text, id_col)
+    scored = sentiment_scores(reviews, spec, text)
     return scored.withColumn("sentiment", label_sentiment(F.col("compound"))).drop("compound")
 
 

@@ -15,7 +15,7 @@ from visitorlens.functions.text import (
     ngrams,
     tokenize,
 )
-from visitorlens.operators.scale import is_small, salted_join, top_per_group
+from visitorlens.operators.scale import is_small, null_safe_join, salted_join, top_per_group
 
 # Size of the vocabulary, of the report, and the n-gram range.
 MAX_FEATURES = 50
@@ -127,7 +127,7 @@ def tfidf_top_terms(
     else:
         documents = reviews.select(*by, terms.alias("_terms"))
         if is_small(reviews.select(*by).distinct(), MAX_BROADCAST_GROUPS):
-            joined = documents.join(F.broadcast(vocabulary), list(by))
+            joined = null_safe_join(documents, F.broadcast(vocabulary), by)
         else:
             joined = salted_join(documents, vocabulary, by)
     scored = (
@@ -157,7 +157,7 @@ def _vocabulary(
         F.sort_array(F.collect_list(F.struct("term", "n_docs"))).alias("_kept")
     )
     if by:
-        listed = listed.join(sizes_of, list(by))
+        listed = null_safe_join(listed, sizes_of, by)
         total = F.col("n_all")
     else:
         total = sizes_of.scalar()

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from visitorlens.functions.scores import dot, unit_vector
-from visitorlens.operators.scale import salted_join, top_per_group
+from visitorlens.operators.scale import top_per_group
 
 # Seed words of the two topics.
 UX_SEEDS = [
@@ -45,13 +45,8 @@ FREQUENCY_WEIGHT = 0.3
 THRESHOLD = 0.35
 TOP_ITEMS = 10
 
-# Seed vectors are fetched up to this many, and joined in blocks beyond it.
-PACKED_SEEDS = 2_000
-SEEDS_PER_BLOCK = 500
-
-
-def _best(vector: Column, seeds: Column) -> Column:
-    return F.array_max(F.transform(seeds, lambda s: dot(vector, s)))
+# Seed vectors that are compared in one go.
+SEEDS_PER_BLOCK = 2_000
 
 
 def _similarity_udf(topics: list[str], matrices: list[np.ndarray]):
@@ -64,15 +59,18 @@ def _similarity_udf(topics: list[str], matrices: list[np.ndarray]):
         norms = np.linalg.norm(rows, axis=1, keepdims=True)
         # A zero vector stays zero, so that its cosine is 0.
         rows = np.divide(rows, norms, out=np.zeros_like(rows), where=norms > 0)
-        scores = np.column_stack([(rows @ seeds.T).max(axis=1) for seeds in matrices])
+        # A topic without seeds in this block scores below any cosine.
+        scores = np.column_stack(
+            [(rows @ seeds.T).max(axis=1, initial=-2.0) for seeds in matrices]
+        )
         offsets = np.arange(len(rows) + 1, dtype="int32") * len(matrices)
         return pa.ListArray.from_arrays(pa.array(offsets), pa.array(scores.reshape(-1)))
 
     return best
 
 
-def _unit_rows(vectors: list[list[float]]) -> np.ndarray:
-    rows = np.array(vectors, dtype="float64")
+def _unit_rows(vectors: list[list[float]], width: int) -> np.ndarray:
+    rows = np.array(vectors, dtype="float64").reshape(-1, width)
     norms = np.linalg.norm(rows, axis=1, keepdims=True)
     return np.divide(rows, norms, out=np.zeros_like(rows), where=norms > 0)
 
@@ -82,49 +80,42 @@ def seed_similarity(
     seeds: DataFrame,
     item_id: str = "item_id",
     vector: str = "embedding",
-    packed_seeds: int = PACKED_SEEDS,
+    block: int = SEEDS_PER_BLOCK,
 ) -> DataFrame:
     """``(items' columns but the vector, topic, similarity)``: best cosine to any seed of a topic.
 
-    ``seeds`` has ``topic`` and ``embedding``; all vectors have the same length. A
-    seed list is small: it is fetched once, and every item is compared with it
-    inside its own task in Arrow batches (interpreted array lambdas take a
-    hundred times as long on dense vectors). No row per item and seed exists.
+    ``seeds`` has ``topic`` and ``embedding``; all vectors have the same length. A null or
+    zero vector has similarity 0 to every topic; repeated items stay repeated; seeds
+    without a topic or vector are left out. The seeds are the caller's topic lists: they
+    are fetched, and every item is compared with them inside its own task in Arrow
+    batches, one block of seeds after the other (interpreted array lambdas take a hundred
+    times as long on dense vectors). No row per item and seed exists.
     """
     carried = [c for c in items.columns if c != vector]
-    some = seeds.select("topic", "embedding").limit(packed_seeds + 1).collect()
-    if len(some) <= packed_seeds:
-        topics = sorted({row.topic for row in some})
-        if not topics:
-            return items.select(
-                *carried, F.lit("").alias("topic"), F.lit(0.0).alias("similarity")
-            ).limit(0)
-        matrices = [_unit_rows([r.embedding for r in some if r.topic == t]) for t in topics]
-        zero = F.array_repeat(F.lit(0.0), matrices[0].shape[1])
-        known = F.coalesce(F.col(vector).cast("array<double>"), zero)
-        scored = items.select(*carried, _similarity_udf(topics, matrices)(known).alias("_s"))
-        pairs = [
-            F.struct(F.lit(t).alias("topic"), F.get("_s", F.lit(i)).alias("similarity"))
-            for i, t in enumerate(topics)
-        ]
-        return scored.select(*carried, F.inline(F.array(*pairs)))
-    # More seeds than are fetched: blocks of seeds, each met by every item once per topic.
-    units = seeds.select("topic", unit_vector(F.col("embedding")).alias("_u"))
-    n_blocks = -(-seeds.count() // SEEDS_PER_BLOCK)
-    block = F.pmod(F.xxhash64("topic", "_u"), F.lit(n_blocks)).cast("int")
-    blocks = (
-        units.withColumn("_block", block)
-        .groupBy("topic", "_block")
-        .agg(F.collect_list("_u").alias("_seeds"))
+    fetched = seeds.select("topic", "embedding").dropna().collect()
+    topics = sorted({row.topic for row in fetched})
+    if not topics:
+        return items.select(
+            *carried, F.lit("").alias("topic"), F.lit(0.0).alias("similarity")
+        ).limit(0)
+    width = len(fetched[0].embedding)
+    known = F.coalesce(
+        F.col(vector).cast("array<double>"), F.array_repeat(F.lit(0.0), width)
     )
-    spread = items.withColumn("_v", unit_vector(F.col(vector))).withColumn(
-        "_block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))
-    )
-    met = salted_join(spread, blocks, ["_block"]).select(
-        *carried, "topic", _best(F.col("_v"), F.col("_seeds")).alias("_s")
-    )
-    others = [c for c in carried if c != item_id]
-    return met.groupBy(item_id, *others, "topic").agg(F.max("_s").alias("similarity"))
+    best = None
+    for at in range(0, len(fetched), block):
+        part = fetched[at : at + block]
+        matrices = [
+            _unit_rows([r.embedding for r in part if r.topic == t], width) for t in topics
+        ]
+        scores = _similarity_udf(topics, matrices)(known)
+        best = scores if best is None else F.zip_with(best, scores, lambda a, b: F.greatest(a, b))
+    scored = items.select(*carried, best.alias("_s"))
+    pairs = [
+        F.struct(F.lit(t).alias("topic"), F.get("_s", F.lit(i)).alias("similarity"))
+        for i, t in enumerate(topics)
+    ]
+    return scored.select(*carried, F.inline(F.array(*pairs)))
 
 
 def topic_items(

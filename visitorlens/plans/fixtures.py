@@ -12,9 +12,8 @@ from pyspark.sql import functions as F
 from visitorlens.functions.html import contributor_is_guide, contributor_total
 from visitorlens.operators.reviews import normalize_reviews
 from visitorlens.operators.sentiment import SentimentWords
-from visitorlens.sources.files import spread
 
-REVIEWS_SQL = """
+FIELDS_SQL = """
 SELECT
   doc_id AS ingest_seq,
   source AS venue,
@@ -37,12 +36,16 @@ SELECT
        WHEN 5 THEN '5 days ago' WHEN 6 THEN concat('Jan ', CAST(doc_id % 31 + 1 AS STRING), ', 2024')
        WHEN 7 THEN concat(CAST(doc_id % 31 + 1 AS STRING), ' February 2023') WHEN 8 THEN 'Sept 2021'
        WHEN 9 THEN concat('1/', CAST(doc_id % 31 + 1 AS STRING), '/2022')
-       WHEN 10 THEN '2 hours ago' ELSE '' END AS raw_date,
+       WHEN 10 THEN '2 hours ago' ELSE '' END AS raw_date,"""
+# Null, blank, cut and mis-decoded texts.
+DAMAGED_TEXT = """
   CASE WHEN doc_id % 17 = 0 THEN NULL WHEN doc_id % 19 = 0 THEN '   '
        WHEN doc_id % 23 = 0 THEN concat(substring(text, 1, 60), '…')
        WHEN doc_id % 29 = 0 THEN concat('Â', text, 'â€¦') ELSE text END AS review_text
-FROM {documents}
 """
+REVIEWS_SQL = FIELDS_SQL + DAMAGED_TEXT + "FROM {documents}"
+# For the queries that read texts; the damage is for those that repair or count it.
+TEXTS_SQL = FIELDS_SQL + " text AS review_text FROM {documents}"
 
 AS_OF = "2024-06-15"
 CUTOFF = "2022-01-01"
@@ -82,20 +85,23 @@ LEXICON = {
 BOOSTERS = {"very": 0.293, "thble": 0.293, "ndre": -0.293, "aux": 0.293}
 NEGATIONS = ["not", "thly", "nicht", "pas"]
 TARGET_CAP = 30
-TEXT_TABLES = {"documents", "pages"}
 PROGRESS_TARGET = 150
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return spread(df) if name in TEXT_TABLES else df
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``documents`` as reviews with raw (unnormalised) fields."""
+    """``documents`` as reviews with raw (unnormalised) fields, some texts damaged on purpose."""
     return spark.sql(REVIEWS_SQL, documents=table(spark, sf_dir, "documents"))
 
 
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same reviews with the whole text of every document."""
+    return spark.sql(TEXTS_SQL, documents=table(spark, sf_dir, "documents"))
+
+
 def raw_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same reviews in the shape page extraction delivers."""
     blob = F.col("contributor_blob")

@@ -16,7 +16,6 @@ from visitorlens.functions.dates import (
 )
 from visitorlens.functions.html import INTERSTITIAL_PHRASES, INTERSTITIAL_URL_PARTS
 from visitorlens.functions.text import ENGLISH_STOP_WORDS, WHITESPACE
-from visitorlens.operators.pages import CARD_FIELDS
 from visitorlens.operators.sentiment import edge_mark_pattern
 from visitorlens.plans.fixtures import (
     AS_OF,
@@ -28,8 +27,9 @@ from visitorlens.plans.fixtures import (
     PROGRESS_TARGET,
     REVIEWS_SQL,
     TARGET_CAP,
+    TEXTS_SQL,
 )
-from visitorlens.plans.queries import N_PASSES, PAGE_CARDS
+from visitorlens.plans.queries import N_PASSES
 
 ORACLE: dict[str, str] = {}
 
@@ -54,6 +54,7 @@ def mojibake(x: str) -> str:
 
 
 R = f"r AS ({REVIEWS_SQL.format(documents='documents')})"
+WHOLE = f"r AS ({TEXTS_SQL.format(documents='documents')})"
 DAY = f"DATE '{AS_OF}'"
 
 
@@ -161,21 +162,23 @@ STAR_COLUMNS = ", ".join(
 )
 
 
-ORACLE["keyword_mentions"] = f"""WITH {R}, {mentions("r")}
+ORACLE["keyword_mentions"] = f"""WITH {WHOLE}, {mentions("r")}
 SELECT keyword, {STANDARD} AS rating, count(*) AS n FROM m GROUP BY ALL"""
 
 _REPORT = f"""s AS (SELECT keyword, venue, {STANDARD} AS rating FROM m)"""
-ORACLE["keyword_by_rating"] = f"""WITH {R}, {mentions("r")}, {_REPORT}
+ORACLE["keyword_by_rating"] = f"""WITH {WHOLE}, {mentions("r")}, {_REPORT}
 SELECT k.kw AS keyword, {STAR_COLUMNS}
 FROM {values([(k,) for k in KEYWORDS])} k(kw) LEFT JOIN s ON s.keyword = k.kw GROUP BY k.kw"""
-ORACLE["keyword_by_venue"] = f"""WITH {R}, {mentions("r")}, {_REPORT}
+ORACLE["keyword_by_venue"] = f"""WITH {WHOLE}, {mentions("r")}, {_REPORT}
 SELECT v.venue AS venue, k.kw AS keyword, {STAR_COLUMNS}
 FROM (SELECT DISTINCT venue FROM r) v CROSS JOIN {values([(k,) for k in KEYWORDS])} k(kw)
 LEFT JOIN s ON s.keyword = k.kw AND s.venue = v.venue GROUP BY v.venue, k.kw"""
-ORACLE["keyword_by_month"] = f"""WITH {NORMALIZED}, {mentions("n")}
+ORACLE["keyword_by_month"] = f"""WITH {WHOLE},
+n0 AS (SELECT *, {iso_of("raw_date")} AS review_date FROM r),
+n AS (SELECT *, {ISO_DATE} AS review_dt FROM n0), {mentions("n")}
 SELECT CAST(CAST(date_trunc('month', review_dt) AS DATE) AS VARCHAR) AS month, keyword,
-  count(*) AS n FROM m WHERE review_dt IS NOT NULL GROUP BY ALL"""
-ORACLE["keyword_table_mentions"] = f"""WITH {R},
+  count(*) AS n FROM m GROUP BY ALL"""
+ORACLE["keyword_table_mentions"] = f"""WITH {WHOLE},
 k AS (SELECT DISTINCT unnest(string_split_regex(
     lower(regexp_extract(html, '<title>([^<]*)</title>', 1)), '[ .,]+')) AS keyword FROM pages),
 plain AS (SELECT keyword FROM k WHERE regexp_full_match(keyword, '[\\p{{L}}\\p{{N}}_]+')),
@@ -197,7 +200,7 @@ SELECT keyword, rating, count(*) AS n FROM found GROUP BY ALL"""
 
 ORACLE["fix_mojibake"] = f"""WITH {R}
 SELECT ingest_seq, {mojibake("review_text")} AS fixed FROM r"""
-ORACLE["clean_text"] = f"""WITH {R} SELECT ingest_seq,
+ORACLE["clean_text"] = f"""WITH {WHOLE} SELECT ingest_seq,
   trim(regexp_replace(regexp_replace(lower(coalesce(review_text, '')), '[^a-z\\s]', ' ', 'g'),
     '\\s+', ' ', 'g')) AS cleaned FROM r"""
 ORACLE["normalize_dates"] = f"""WITH {R},
@@ -264,7 +267,7 @@ SELECT venue, ingest_seq FROM s WHERE place <= {TARGET_CAP}"""
 # Terms
 
 STOPS = values([(w,) for w in sorted(ENGLISH_STOP_WORDS)])
-TOKENS = f"""{R},
+TOKENS = f"""{WHOLE},
 stops AS (SELECT w FROM {STOPS} s(w)),
 lists AS (SELECT ingest_seq, venue,
     regexp_extract_all(lower(coalesce(review_text, '')), '[a-z]+') AS l FROM r),
@@ -441,7 +444,7 @@ labelled AS (SELECT id, CASE WHEN compound <= -0.05 THEN 'Negative'
     WHEN compound >= 0.05 THEN 'Positive' ELSE 'Neutral' END AS sentiment FROM scored)"""
 
 
-SENTIMENT = f"WITH {R}, {sentiment('r', 'ingest_seq', 'review_text')}"
+SENTIMENT = f"WITH {WHOLE}, {sentiment('r', 'ingest_seq', 'review_text')}"
 ORACLE["sentiment_scores"] = f"{SENTIMENT} SELECT id AS ingest_seq, compound FROM scored"
 ORACLE["sentiment_labels"] = f"""{SENTIMENT}
 SELECT ingest_seq, venue, rating, sentiment FROM r JOIN labelled ON id = ingest_seq"""
@@ -467,20 +470,23 @@ def inner(x: str) -> str:
     return strip(out)
 
 
-_CARDS = " ".join(
-    f"WHEN len(regexp_extract_all(html, {q(p)}, 1)) > 0 THEN regexp_extract_all(html, {q(p)}, 1)"
-    for p in PAGE_CARDS
-)
 ORACLE["page_cards"] = f"""WITH
-blocks AS (SELECT page_id, CASE {_CARDS} ELSE [] END AS l FROM pages),
-cards AS (SELECT page_id, generate_subscripts(l, 1) - 1 AS pos, unnest(l) AS card FROM blocks),
-texts AS (SELECT *, {inner("card")} AS body FROM cards)
-SELECT page_id, CAST(pos AS INT) AS pos,
-  {inner("regexp_extract(card, " + q(CARD_FIELDS["id"]) + ", 1)")} AS id,
-  {inner("regexp_extract(card, " + q(CARD_FIELDS["author"]) + ", 1)")} AS author,
-  body AS text, regexp_matches(body, '(?i)local guide') AS is_local_guide,
-  replace(regexp_extract(body, '(?i)(\\d[\\d,]*)\\s+reviews?', 1), ',', '') AS reviewer_total_reviews
-FROM texts"""
+bare AS (SELECT page_id, regexp_replace(html, '(?is)<(?:script|style)\\b.*?</(?:script|style)>', '', 'g')
+    AS html FROM pages),
+cut AS (SELECT page_id, CASE WHEN contains(html, '<p>') THEN string_split(html, '<p>')[2:]
+    ELSE string_split(html, '<li>')[2:] END AS l, contains(html, '<p>') AS is_p FROM bare),
+cards AS (SELECT page_id, is_p, generate_subscripts(l, 1) - 1 AS pos, unnest(l) AS card FROM cut),
+texts AS (SELECT *, {inner("regexp_extract(card, '(?s)^(.*?)</p>', 1)")} AS body FROM cards)
+SELECT page_id, CAST(pos AS INT) AS pos, '' AS id, '' AS author,
+  CASE WHEN is_p THEN body ELSE '' END AS text, false AS is_local_guide,
+  '' AS reviewer_total_reviews FROM texts"""
+ORACLE["review_cards"] = f"""WITH
+links AS (SELECT page_id, {inner("regexp_extract(html, '<title>([^<]*)</title>', 1)")} AS title,
+    regexp_extract_all(html, '<a href="/[^"]*">([^<]*)</a>', 1) AS l FROM pages),
+c AS (SELECT page_id, title, generate_subscripts(l, 1) - 1 AS pos, unnest(l) AS name FROM links)
+SELECT page_id, CAST(pos AS INT) AS pos, page_id || '-' || pos AS id, {inner("name")} AS author,
+  (pos % 5 + 1) || ' stars' AS rating, 'a year ago' AS date,
+  title AS text, true AS is_local_guide, CAST(pos + 2 AS VARCHAR) AS reviewer_total_reviews FROM c"""
 ORACLE["page_longest_paragraph"] = f"""WITH
 b AS (SELECT page_id, regexp_extract_all(html, '(?s)<p>(.*?)</p>', 1) AS p,
     regexp_extract_all(html, '(?s)<li>(.*?)</li>', 1) AS li FROM pages),

@@ -43,12 +43,12 @@ def _rounded(df: DataFrame, *columns: str) -> DataFrame:
 
 @query
 def keyword_by_rating(spark, sf):
-    return keywords.keyword_by_rating(fx.reviews(spark, sf), fx.KEYWORDS)
+    return keywords.keyword_by_rating(fx.texts(spark, sf), fx.KEYWORDS)
 
 
 @query
 def keyword_mentions(spark, sf):
-    return keywords.keyword_mentions(fx.reviews(spark, sf), fx.KEYWORDS)
+    return keywords.keyword_mentions(fx.texts(spark, sf), fx.KEYWORDS)
 
 
 @query
@@ -58,22 +58,23 @@ def keyword_table_mentions(spark, sf):
     words = fx.table(spark, sf, "pages").select(
         F.explode(F.filter(F.split(F.lower(title), "[ .,]+"), lambda w: w != "")).alias("keyword")
     )
-    return keywords.keyword_table_mentions(fx.reviews(spark, sf), words)
+    return keywords.keyword_table_mentions(fx.texts(spark, sf), words)
 
 
 @query
 def keyword_by_venue(spark, sf):
-    return keywords.keyword_by_rating(fx.reviews(spark, sf), fx.KEYWORDS, by=["venue"])
+    return keywords.keyword_by_rating(fx.texts(spark, sf), fx.KEYWORDS, by=["venue"])
 
 
 @query
 def keyword_by_month(spark, sf):
-    rows = fx.normalized(spark, sf).withColumn(
-        "month", F.date_format(F.date_trunc("month", "review_dt"), "yyyy-MM-dd")
+    """Reviews without a readable date are counted under a null month."""
+    day = dates.iso_to_date(dates.normalize_review_date(F.col("raw_date"), fx.as_of()))
+    rows = fx.texts(spark, sf).withColumn(
+        "month", F.date_format(F.date_trunc("month", day), "yyyy-MM-dd")
     )
-    dated = rows.filter(F.col("month").isNotNull())
     return (
-        keywords.keyword_mentions(dated, fx.KEYWORDS, by=["month"])
+        keywords.keyword_mentions(rows, fx.KEYWORDS, by=["month"])
         .groupBy("month", "keyword")
         .agg(F.sum("n").alias("n"))
     )
@@ -91,7 +92,7 @@ def fix_mojibake(spark, sf):
 
 @query
 def clean_text(spark, sf):
-    return fx.reviews(spark, sf).select(
+    return fx.texts(spark, sf).select(
         "ingest_seq", text.clean_text(F.col("review_text")).alias("cleaned")
     )
 
@@ -229,32 +230,32 @@ def target_cap(spark, sf):
 
 @query
 def tokenize_counts(spark, sf):
-    return terms.token_counts(fx.reviews(spark, sf))
+    return terms.token_counts(fx.texts(spark, sf))
 
 
 @query
 def term_doc_frequency(spark, sf):
-    return terms.term_doc_frequency(fx.reviews(spark, sf))
+    return terms.term_doc_frequency(fx.texts(spark, sf))
 
 
 @query
 def top_terms_by_count(spark, sf):
-    return terms.top_terms_by_count(terms.term_doc_frequency(fx.reviews(spark, sf)))
+    return terms.top_terms_by_count(terms.term_doc_frequency(fx.texts(spark, sf)))
 
 
 @query
 def top_bigrams(spark, sf):
-    return terms.top_bigrams(fx.reviews(spark, sf))
+    return terms.top_bigrams(fx.texts(spark, sf))
 
 
 @query
 def tfidf_top_terms(spark, sf):
-    return _rounded(terms.tfidf_top_terms(fx.reviews(spark, sf)), "score")
+    return _rounded(terms.tfidf_top_terms(fx.texts(spark, sf)), "score")
 
 
 @query
 def tfidf_by_venue(spark, sf):
-    return _rounded(terms.tfidf_top_terms(fx.reviews(spark, sf), by=["venue"]), "score")
+    return _rounded(terms.tfidf_top_terms(fx.texts(spark, sf), by=["venue"]), "score")
 
 
 # Phrases
@@ -262,30 +263,30 @@ def tfidf_by_venue(spark, sf):
 
 @query
 def phrase_frequency(spark, sf):
-    found = phrases.candidate_phrases(fx.reviews(spark, sf))
+    found = phrases.candidate_phrases(fx.texts(spark, sf))
     return _rounded(phrases.phrase_frequency(found), "freq")
 
 
 @query
 def rake_word_scores(spark, sf):
-    found = phrases.candidate_phrases(fx.reviews(spark, sf))
+    found = phrases.candidate_phrases(fx.texts(spark, sf))
     return _rounded(phrases.word_scores(found), "score").drop("n_phrases")
 
 
 @query
 def rake_phrases(spark, sf):
-    return _rounded(phrases.rake_phrases(fx.reviews(spark, sf)), "rake")
+    return _rounded(phrases.rake_phrases(fx.texts(spark, sf)), "rake")
 
 
 @query
 def rake_ranked_with_repeats(spark, sf):
-    ranked = phrases.repeat_phrases(phrases.rake_phrases(fx.reviews(spark, sf)))
+    ranked = phrases.repeat_phrases(phrases.rake_phrases(fx.texts(spark, sf)))
     return _rounded(ranked, "rake")
 
 
 @query
 def rake_by_venue(spark, sf):
-    return _rounded(phrases.rake_phrases(fx.reviews(spark, sf), by=["venue"]), "rake")
+    return _rounded(phrases.rake_phrases(fx.texts(spark, sf), by=["venue"]), "rake")
 
 
 # Topics
@@ -335,7 +336,7 @@ def topic_top_items(spark, sf):
 @query
 def phrase_topic_hashed(spark, sf):
     """Keyphrases of all reviews to topics, embedded by hashed character trigrams."""
-    ranked = phrases.score_phrases(phrases.candidate_phrases(fx.reviews(spark, sf)))
+    ranked = phrases.score_phrases(phrases.candidate_phrases(fx.texts(spark, sf)))
     assigned = topics.phrase_topics(phrases.phrase_frequency(ranked), topics.embed_hashed)
     top = topics.topic_top_items(assigned, ties=[F.desc("rake")], item_id="phrase")
     return _rounded(top.select("topic", "rank", "phrase", "n", "score"), "score")
@@ -346,12 +347,12 @@ def phrase_topic_hashed(spark, sf):
 
 @query
 def sentiment_scores(spark, sf):
-    scored = sentiment.sentiment_scores(fx.reviews(spark, sf), fx.sentiment_words())
+    scored = sentiment.sentiment_scores(fx.texts(spark, sf), fx.sentiment_words())
     return scored.select("ingest_seq", "compound")
 
 
 def _labelled(spark, sf):
-    return sentiment.sentiment_labels(fx.reviews(spark, sf), fx.sentiment_words())
+    return sentiment.sentiment_labels(fx.texts(spark, sf), fx.sentiment_words())
 
 
 @query
@@ -384,22 +385,41 @@ def sentiment_conservation(spark, sf):
 
 # Pages
 
-# Paragraphs stand for review cards here: the test pages have no review markup.
-PAGE_CARDS = [*pages.CARD_PATTERNS, r"(?s)<p>(.*?)</p>", r"(?s)<li>(.*?)</li>"]
 
 
 @query
 def page_cards(spark, sf):
-    return pages.extract_cards(fx.table(spark, sf, "pages"), PAGE_CARDS).select(
+    """Paragraphs stand for review cards here: the test pages have no review markup."""
+    starts = [*pages.CARD_STARTS, "<p>", "<li>"]
+    cards = pages.extract_cards(fx.table(spark, sf, "pages"), starts, ["(?s)^<p>(.*?)</p>"])
+    return cards.select(
         "page_id", "pos", "id", "author", "text", "is_local_guide", "reviewer_total_reviews"
     )
 
 
 @query
-def page_cards_nested(spark, sf):
-    layout = pages.CardLayout(card=("article",), author=("h1",), text=("p",), fallback=("b",))
-    cards = pages.extract_cards_nested(fx.table(spark, sf, "pages"), layout)
-    return cards.select("page_id", "pos", "author", "text")
+def review_cards(spark, sf):
+    """Every page's links as review cards: the markup is written around titles and links."""
+    links = F.regexp_extract_all("html", F.lit('<a href="/[^"]*">([^<]*)</a>'), F.lit(1))
+    markup = F.transform(
+        links,
+        lambda t, i: F.concat(
+            F.lit('<div class="jftiEf x" data-review-id="'),
+            F.concat_ws("-", F.col("page_id"), i),
+            F.lit('"><div><div class="d4r55">'),
+            t,
+            F.lit("</div><div>Local Guide · "),
+            i + 2,
+            F.lit(' reviews</div></div><span class="kvMYJc" aria-label="'),
+            i % 5 + 1,
+            F.lit(' stars"></span><span class="rsqaWe">a year ago</span><div class="MyEned">'),
+            F.lit('<span class="wiI7pd">'),
+            F.regexp_extract("html", "<title>([^<]*)</title>", 1),
+            F.lit("</span><button>More</button></div></div>"),
+        ),
+    )
+    made = fx.table(spark, sf, "pages").withColumn("html", F.array_join(markup, ""))
+    return pages.extract_cards(made).drop("url")
 
 
 @query

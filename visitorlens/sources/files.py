@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -11,7 +12,7 @@ from visitorlens.operators.reviews import identity_columns
 from visitorlens.schema import REVIEW_COLUMNS, REVIEW_SCHEMA, check_columns
 
 
-def csv_columns(spark: SparkSession, path: str) -> list[str]:
+def csv_columns(spark: SparkSession, path: str | list[str]) -> list[str]:
     """Header of a review CSV (byte-order mark ignored)."""
     return spark.read.csv(path, header=True, multiLine=True, quote='"', escape='"').columns
 
@@ -19,11 +20,30 @@ def csv_columns(spark: SparkSession, path: str) -> list[str]:
 def read_reviews_csv(spark: SparkSession, path: str) -> DataFrame:
     """Review CSV with quoted newlines and an optional byte-order mark.
 
-    Columns are matched by name, so their order in the file does not matter;
-    extra columns are read as text and pass through. Quoted newlines make a CSV
-    file unsplittable: convert it once with ``append_reviews`` and analyse that.
+    Columns are matched by name, so their order in a file does not matter; extra
+    columns are read as text and pass through. The files of a folder may have headers of
+    their own: files with the same header are read together, and the groups are united
+    by name. Quoted newlines make a CSV file unsplittable: convert it once with
+    ``append_reviews`` and analyse that.
     """
-    header = csv_columns(spark, path)
+    files = sorted(_files_of(spark, path))
+    by_header: dict[tuple[str, ...], list[str]] = {}
+    for file in files or [path]:
+        by_header.setdefault(tuple(csv_columns(spark, file)), []).append(file)
+    parts = [_read_csv(spark, group, list(header)) for header, group in by_header.items()]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part, allowMissingColumns=True)
+    return out
+
+
+def _files_of(spark: SparkSession, path: str) -> list[str]:
+    """Paths of the files below ``path``, wherever Spark can read them."""
+    listed = spark.read.format("binaryFile").load(path).select("path", "length")
+    return [row.path for row in listed.filter("length > 0").select("path").collect()]
+
+
+def _read_csv(spark: SparkSession, path: list[str], header: list[str]) -> DataFrame:
     flag_types = {f.name: f.dataType for f in REVIEW_SCHEMA}
     schema = T.StructType([T.StructField(c, flag_types.get(c, T.StringType())) for c in header])
     df = (
@@ -35,19 +55,11 @@ def read_reviews_csv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_reviews(spark: SparkSession, path: str) -> DataFrame:
-    """Review table in Parquet, after checking its columns."""
-    return check_columns(spark.read.parquet(path))
+    """Review table in Parquet, after checking its columns.
 
-
-def spread(df: DataFrame) -> DataFrame:
-    """Use all cores for a table of fewer file splits than cores.
-
-    Text operators are bound by the processor, and a small file is one split. A
-    table with at least as many splits as cores is returned as it is, so a
-    large input is never shuffled here.
+    Converted and ingested files differ in their additional columns; all are kept.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return check_columns(spark.read.option("mergeSchema", "true").parquet(path))
 
 
 def append_reviews(df: DataFrame, path: str, partition_by: str = "venue") -> None:
@@ -65,7 +77,11 @@ def append_reviews(df: DataFrame, path: str, partition_by: str = "venue") -> Non
 
 
 def land_csv(spark: SparkSession, csv_path: str, path: str, venue: str) -> None:
-    """Convert a venue's review CSV into the Parquet table, with the keys ingestion needs."""
+    """Convert a venue's review CSV into the Parquet table, with the keys ingestion needs.
+
+    Rows whose key the venue already has in the table are left out, so landing a file
+    twice adds nothing the second time. Repeated rows within one file are kept.
+    """
     rows = read_reviews_csv(spark, csv_path)
     texts = [c for c in REVIEW_COLUMNS if c not in ("is_local_guide", "reviewer_total_reviews")]
     rows = rows.withColumns({c: F.nullif(F.col(c), F.lit("")) for c in texts})
@@ -73,9 +89,23 @@ def land_csv(spark: SparkSession, csv_path: str, path: str, venue: str) -> None:
         "reviewer_total_reviews", F.col("reviewer_total_reviews").try_cast("int")
     )
     keyed = rows.select("*", *identity_columns(), F.lit(venue).alias("venue"))
+    if table_exists(spark, path):
+        stored = spark.read.schema("review_key string, venue string").parquet(path)
+        stored = stored.filter(F.col("venue") == venue).select("review_key").distinct()
+        keyed = keyed.join(stored, "review_key", "left_anti").select(*keyed.columns)
     append_reviews(keyed, path)
 
 
+def table_exists(spark: SparkSession, path: str) -> bool:
+    try:
+        spark.read.schema("review_key string").parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return False
+    return True
+
+
 def write_progress(progress: DataFrame, path: str) -> None:
     """Append progress rows as JSON lines with the time of writing; see ``latest_progress``."""
     progress.withColumn("updated_at", F.current_timestamp()).write.mode("append").json(path)
@@ -83,14 +113,25 @@ def write_progress(progress: DataFrame, path: str) -> None:
 
 def latest_progress(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """Newest progress row of every venue."""
-    stored = spark.read.schema(
-        T.StructType([*schema.fields, T.StructField("updated_at", T.TimestampType())])
-        if "updated_at" not in schema.names
-        else schema
-    ).json(path)
-    others = [c for c in stored.columns if c != "venue"]
-    newest = F.max_by(F.struct(*others), F.struct("updated_at", "batch"))
-    return stored.groupBy("venue").agg(newest.alias("_p")).select("venue", "_p.*")
+    return _newest(progress_rows(spark, path, schema), ["venue"])
+
+
+def progress_rows(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """One row per venue, run and batch: the newest, if a batch was replayed.
+
+    These rows can be summed over replays, restarts and new checkpoints.
+    """
+    stamp = T.StructField("updated_at", T.TimestampType())
+    named = schema if "updated_at" in schema.names else T.StructType([*schema.fields, stamp])
+    keys = [c for c in ("venue", "run_tag", "batch") if c in named.names]
+    return _newest(spark.read.schema(named).json(path), keys)
+
+
+def _newest(rows: DataFrame, keys: list[str]) -> DataFrame:
+    others = [c for c in rows.columns if c not in keys]
+    latest = [c for c in ("updated_at", "batch") if c in others]
+    newest = F.max_by(F.struct(*others), F.struct(*latest))
+    return rows.groupBy(*keys).agg(newest.alias("_p")).select(*keys, "_p.*")
 
 
 def export_csv(df: DataFrame, path: str, single_file: bool = False) -> None:

@@ -2,7 +2,8 @@
 
 The target table is the deduplication state, so nothing is forgotten and a stopped
 run resumes by itself. Appending is idempotent: a batch that is replayed after a
-failure finds the rows it already wrote and adds only the missing ones.
+failure finds the rows it already wrote and adds only the missing ones. A null or
+empty venue is stored as ``NO_VENUE``, since a partition folder can't tell them apart.
 """
 
 from __future__ import annotations
@@ -15,11 +16,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from visitorlens.functions.text import strip
 from visitorlens.operators.progress import seen_counters, with_added
 from visitorlens.operators.reviews import cap_per_venue, new_reviews, normalize_reviews
 from visitorlens.sources.files import append_reviews, write_progress
 
 KEYS = ["venue", "review_key"]
+NO_VENUE = "(no venue)"
 # Up to this many venues of a batch, only their partitions of the target are read.
 PRUNED_VENUES = 1_000
 
@@ -58,6 +61,12 @@ def stored_rows(spark: SparkSession, target: str) -> DataFrame:
         return spark.createDataFrame([], STORED_SCHEMA)
 
 
+def with_venue(records: DataFrame) -> DataFrame:
+    """``records`` with ``NO_VENUE`` for null, empty and blank venues."""
+    named = F.coalesce(F.nullif(strip(F.col("venue")), F.lit("")), F.lit(NO_VENUE))
+    return records.withColumn("venue", named)
+
+
 def _of_same_venues(stored: DataFrame, batch: DataFrame) -> DataFrame:
     venues = [row.venue for row in batch.select("venue").distinct().limit(PRUNED_VENUES + 1).collect()]
     return stored.filter(F.col("venue").isin(venues)) if len(venues) <= PRUNED_VENUES else stored
@@ -75,8 +84,16 @@ def ingest_batch(
     per_venue: int | None = None,
     progress_path: str | None = None,
 ) -> None:
-    """Append the new reviews of one batch of raw records and write its progress row."""
+    """Append the new reviews of one batch of raw records and write its progress rows.
+
+    A batch that is replayed writes its progress again, with the same tag and counts;
+    ``progress_rows`` reads the newest of them. A review that is stored stays as it is, so
+    ``prefer`` other than ``first`` would only hold within a batch, and is refused.
+    """
+    if prefer != "first":
+        raise ValueError("stored reviews are never replaced: prefer must be 'first' here")
     spark = batch.sparkSession
+    batch = with_venue(batch)
     reviews = normalize_reviews(batch, as_of)
     stored = _of_same_venues(stored_rows(spark, target), batch)
     new = new_reviews(reviews, stored, cutoff, KEYS, order, prefer)
@@ -90,7 +107,8 @@ def ingest_batch(
         written = _of_same_venues(stored_rows(spark, target), batch)
         added = written.filter(F.col("ingest_batch") == tag).select("venue", number)
         seen = seen_counters(reviews.select("*", number), cutoff, KEYS)
-        write_progress(with_added(seen, added), progress_path)
+        counted = with_added(seen, added).withColumn("run_tag", F.lit(tag))
+        write_progress(counted, progress_path)
 
 
 def ingest_stream(
