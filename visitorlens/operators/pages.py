@@ -7,10 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from visitorlens.functions.expr import let
 from visitorlens.functions.html import (
     contributor_is_guide,
     contributor_total,
-    first_nonempty,
     inner_text,
     is_interstitial,
     longest_text,
@@ -32,7 +32,8 @@ def open_pages(pages: DataFrame) -> DataFrame:
 
 
 def _attribute(tag: Column, name: str) -> Column:
-    return inner_text(F.regexp_extract(tag, rf'\b{name}\s*=\s*"([^"]*)"', 1))
+    """An attribute of the tag that the markup begins with."""
+    return inner_text(F.regexp_extract(tag, rf'^<[^>]*?\b{name}\s*=\s*"([^"]*)"', 1))
 
 
 def _tag_with_class(card: Column, names: str) -> Column:
@@ -50,21 +51,30 @@ def _pieces(html: Column, start: str) -> Column:
 
     A start with the id of the piece before belongs to the same card.
     """
-    cut = F.split(html, f"(?={start})")
-    cut = F.filter(cut, lambda piece: piece.rlike(f"(?s)^{start}"))
-    ids = F.transform(cut, lambda piece: _attribute(piece, ID_ATTRIBUTE))
-    begins = F.filter(
-        F.sequence(F.lit(0), F.size(cut)),
-        lambda i: (i == F.size(cut))
-        | (F.get(ids, i) == "")
-        | ~F.get(ids, i).eqNullSafe(F.get(ids, i - 1)),
-    )
-    return F.transform(
-        F.slice(begins, F.lit(1), F.greatest(F.size(begins) - 1, F.lit(0))),
-        lambda begin, k: F.array_join(
-            F.slice(cut, begin + 1, F.get(begins, k + 1) - begin), ""
-        ),
-    )
+    cut = F.filter(F.split(html, f"(?={start})"), lambda piece: piece.rlike(f"(?s)^{start}"))
+
+    def merged(pieces: Column, ids: Column) -> Column:
+        begins = F.filter(
+            F.sequence(F.lit(0), F.size(pieces)),
+            lambda i: (i == F.size(pieces))
+            | (F.get(ids, i) == "")
+            | ~F.get(ids, i).eqNullSafe(F.get(ids, i - 1)),
+        )
+        return let(
+            begins,
+            lambda at: F.transform(
+                F.slice(at, F.lit(1), F.greatest(F.size(at) - 1, F.lit(0))),
+                lambda begin, k: F.array_join(
+                    F.slice(pieces, begin + 1, F.get(at, k + 1) - begin), ""
+                ),
+            ),
+        )
+
+    def with_ids(pieces: Column) -> Column:
+        ids = F.transform(pieces, lambda piece: _attribute(piece, ID_ATTRIBUTE))
+        return let(ids, lambda known: merged(pieces, known))
+
+    return let(cut, with_ids)
 
 
 def _leaves(card: Column) -> Column:
@@ -89,9 +99,14 @@ def extract_cards(
     are cut out inside the row and exploded; a page without cards gives no rows.
     """
     page = F.regexp_replace(F.coalesce("html", F.lit("")), "(?is)<(script|style)\\b.*?</\\1>", "")
-    cut = pages.withColumn("_page", page)
-    cards = first_nonempty(*[_pieces(F.col("_page"), start) for start in card_starts])
-    cut = cut.select("page_id", "url", F.posexplode(cards).alias("pos", "_card"))
+
+    def cards_of(html: Column) -> Column:
+        chosen = F.lit(None)
+        for start in reversed(card_starts):
+            chosen = F.when(html.rlike(f"(?s){start}"), _pieces(html, start)).otherwise(chosen)
+        return chosen
+
+    cut = pages.select("page_id", "url", F.posexplode(let(page, cards_of)).alias("pos", "_card"))
     card = F.col("_card")
     framed = rf'(?s)class="[^"]*\b{TEXT_FRAME}\b.*?<span[^>]*>(.*?)</span>'
     section = rf"(?s)<(\w+)\b[^>]*\b{TEXT_SECTION}\b[^>]*>(.*?)</\1>"
@@ -107,7 +122,7 @@ def extract_cards(
         "page_id",
         "url",
         "pos",
-        _attribute(F.regexp_extract(card, "^<[^>]*>", 0), ID_ATTRIBUTE).alias("id"),
+        _attribute(card, ID_ATTRIBUTE).alias("id"),
         inner_text(_inner_of_class(card, AUTHOR)).alias("author"),
         _attribute(_tag_with_class(card, RATING), RATING_ATTRIBUTE).alias("rating"),
         inner_text(_inner_of_class(card, DATE)).alias("date"),
