@@ -37,7 +37,7 @@ def test_entry(spark):
 
 
 def test_no_query_runs_python_per_row_or_pairs_everything(spark):
-    arrow = {"seed_similarity", "topic_items", "topic_top_items", "phrase_topic_hashed"}
+    arrow = {"seed_similarity", "topic_items", "topic_top_items", "phrase_topic_hashed", "phrase_topic_letters"}
     for name, fn in QUERIES.items():
         plan = fn(spark, SF)._jdf.queryExecution().executedPlan().toString()
         assert "BatchEvalPython" not in plan, name

@@ -69,14 +69,6 @@ def inner_text(html: Column) -> Column:
     return strip(text)
 
 
-def first_nonempty(*arrays: Column) -> Column:
-    """The first of several arrays that has any element, else an empty array."""
-    chosen = F.lit(None)
-    for candidates in reversed(arrays):
-        chosen = F.when(F.size(candidates) > 0, candidates).otherwise(chosen)
-    return F.coalesce(chosen, F.slice(arrays[0], 1, 0))
-
-
 def _longest(texts: Column) -> Column:
     ranked = F.transform(
         texts, lambda t, i: F.struct(F.length(t).alias("n"), (-i).alias("i"), t.alias("t"))

@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from visitorlens.functions.scores import dot, unit_vector
 from visitorlens.operators.scale import top_per_group
 
 # Seed words of the two topics.

@@ -85,6 +85,7 @@ LEXICON = {
 BOOSTERS = {"very": 0.293, "thble": 0.293, "ndre": -0.293, "aux": 0.293}
 NEGATIONS = ["not", "thly", "nicht", "pas"]
 TARGET_CAP = 30
+LETTERS = "abcdefghijklmnopqrstuvwxyz"
 PROGRESS_TARGET = 150
 
 

@@ -17,11 +17,13 @@ from visitorlens.functions.dates import (
 from visitorlens.functions.html import INTERSTITIAL_PHRASES, INTERSTITIAL_URL_PARTS
 from visitorlens.functions.text import ENGLISH_STOP_WORDS, WHITESPACE
 from visitorlens.operators.sentiment import edge_mark_pattern
+from visitorlens.operators.topics import ARCHITECTURE_SEEDS, UX_SEEDS
 from visitorlens.plans.fixtures import (
     AS_OF,
     BOOSTERS,
     CUTOFF,
     KEYWORDS,
+    LETTERS,
     LEXICON,
     NEGATIONS,
     PROGRESS_TARGET,
@@ -196,6 +198,15 @@ found AS (SELECT ingest_seq, rating, keyword FROM t JOIN plain USING (keyword)
   UNION ALL SELECT ingest_seq, rating, keyword FROM odd)
 SELECT keyword, rating, count(*) AS n FROM found GROUP BY ALL"""
 
+ORACLE["keyword_table_phrases"] = f"""WITH {WHOLE},
+k AS (SELECT DISTINCT lower(regexp_extract(html, '<title>([\\p{{L}}\\p{{N}}_]+ [\\p{{L}}\\p{{N}}_]+)', 1))
+    AS keyword FROM pages),
+maybe AS MATERIALIZED (SELECT {STANDARD} AS rating, lower(review_text) AS t, keyword
+  FROM r JOIN k ON keyword <> '' AND contains(lower(review_text), keyword))
+SELECT keyword, rating, count(*) AS n FROM maybe
+WHERE regexp_matches(t, '(^|[^\\p{{L}}\\p{{N}}_])' || keyword || '($|[^\\p{{L}}\\p{{N}}_])')
+GROUP BY ALL"""
+
 # Scalars and the review table
 
 ORACLE["fix_mojibake"] = f"""WITH {R}
@@ -367,6 +378,21 @@ ORACLE["topic_top_items"] = f"""WITH {ASSIGNED}, t AS (SELECT topic, row_number(
     OVER (PARTITION BY topic ORDER BY score DESC, item_id DESC) AS rank, item_id, score FROM assigned)
 SELECT topic, rank, item_id, round(score, 6) AS score FROM t WHERE rank <= 10"""
 
+_LETTERS = ", ".join(
+    f"CAST(length({{0}}) - length(replace({{0}}, '{c}', '')) AS DOUBLE)" for c in LETTERS
+)
+_SEEDS = values([(t, s) for t, words in (("ux", UX_SEEDS), ("architecture", ARCHITECTURE_SEEDS)) for s in words])
+ORACLE["phrase_topic_letters"] = f"""WITH {rake("")},
+seeds AS MATERIALIZED (SELECT topic, [{_LETTERS.format("seed")}] AS s FROM {_SEEDS} x(topic, seed)),
+found AS MATERIALIZED (SELECT phrase, n, n / (SELECT max(n) FROM ranked) AS freq,
+    [{_LETTERS.format("phrase")}] AS e FROM ranked),
+sim AS (SELECT phrase, n, freq, topic, max(list_cosine_similarity(e, s)) AS similarity
+  FROM found, seeds GROUP BY ALL),
+sc AS (SELECT *, 0.7 * similarity + 0.3 * freq AS score FROM sim),
+best AS (SELECT * FROM sc QUALIFY row_number()
+    OVER (PARTITION BY phrase ORDER BY score DESC, topic DESC) = 1)
+SELECT phrase, topic, n, round(score, 6) AS score FROM best WHERE score >= 0.35"""
+
 # Sentiment
 
 

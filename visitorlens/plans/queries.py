@@ -61,6 +61,14 @@ def keyword_table_mentions(spark, sf):
     return keywords.keyword_table_mentions(fx.texts(spark, sf), words)
 
 
+@query
+def keyword_table_phrases(spark, sf):
+    """Keywords of two words: how the titles of all pages begin."""
+    start = F.regexp_extract("html", r"<title>([\p{L}\p{N}_]+ [\p{L}\p{N}_]+)", 1)
+    pairs = fx.table(spark, sf, "pages").select(F.lower(start).alias("keyword"))
+    return keywords.keyword_table_mentions(fx.texts(spark, sf), pairs)
+
+
 @query
 def keyword_by_venue(spark, sf):
     return keywords.keyword_by_rating(fx.texts(spark, sf), fx.KEYWORDS, by=["venue"])
@@ -342,6 +350,24 @@ def phrase_topic_hashed(spark, sf):
     return _rounded(top.select("topic", "rank", "phrase", "n", "score"), "score")
 
 
+@query
+def phrase_topic_letters(spark, sf):
+    """Keyphrases of all reviews to topics, embedded by how often each letter occurs."""
+
+    def embed(df, column):
+        letters = F.array(*[F.lit(c) for c in fx.LETTERS])
+        counts = F.transform(
+            letters,
+            lambda c: (F.length(column) - F.length(F.replace(F.col(column), c, F.lit(""))))
+            .cast("double"),
+        )
+        return df.withColumn("embedding", counts)
+
+    ranked = phrases.score_phrases(phrases.candidate_phrases(fx.texts(spark, sf)))
+    assigned = topics.phrase_topics(phrases.phrase_frequency(ranked), embed)
+    return _rounded(assigned.select("phrase", "topic", "n", "score"), "score")
+
+
 # Sentiment
 
 
