@@ -67,7 +67,10 @@ def _covered(pairs: Column) -> Column:
 def with_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with one column ``_counts`` of the base counts and what the scores need.
 
-    Every array is a column of its own before it is used twice, so it is built once.
+    Every array is a column of its own before it is used twice, so it is built once. The
+    counts come out of an explode of one element: Spark doesn't move a filter on them
+    below it, where it would put the expressions in place of the columns and build the
+    arrays anew for every element.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     spaced = text
@@ -102,7 +105,7 @@ def with_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
         number(F.size("_lines"), "n_lines"),
         number(F.regexp_count(text, F.lit("[A-Z]")), "n_capitals"),
     )
-    return done.withColumn("_counts", counts).drop(
+    return done.withColumn("_counts", F.explode(F.array(counts))).drop(
         "_spaced", "_lines", "_words", "_triples", "_pairs"
     )
 
