@@ -16,7 +16,7 @@ from visitorlens.operators.sentiment import SentimentWords
 FIELDS_SQL = """
 SELECT
   doc_id AS ingest_seq,
-  source AS venue,
+  CASE doc_id % 41 WHEN 0 THEN NULL WHEN 1 THEN '' ELSE source END AS venue,
   lang,
   CASE WHEN doc_id % 7 = 0 THEN ''
        WHEN doc_id % 10 = 9 THEN concat('r', CAST(doc_id - 1 AS STRING))

@@ -174,7 +174,7 @@ FROM {values([(k,) for k in KEYWORDS])} k(kw) LEFT JOIN s ON s.keyword = k.kw GR
 ORACLE["keyword_by_venue"] = f"""WITH {WHOLE}, {mentions("r")}, {_REPORT}
 SELECT v.venue AS venue, k.kw AS keyword, {STAR_COLUMNS}
 FROM (SELECT DISTINCT venue FROM r) v CROSS JOIN {values([(k,) for k in KEYWORDS])} k(kw)
-LEFT JOIN s ON s.keyword = k.kw AND s.venue = v.venue GROUP BY v.venue, k.kw"""
+LEFT JOIN s ON s.keyword = k.kw AND s.venue IS NOT DISTINCT FROM v.venue GROUP BY v.venue, k.kw"""
 ORACLE["keyword_by_month"] = f"""WITH {WHOLE},
 n0 AS (SELECT *, {iso_of("raw_date")} AS review_date FROM r),
 n AS (SELECT *, {ISO_DATE} AS review_dt FROM n0), {mentions("n")}
@@ -272,7 +272,7 @@ SELECT *, NOT (n_sample >= 20 AND n_nonempty < 3) AS passed FROM g"""
 ORACLE["target_cap"] = f"""WITH {STORED},
 have AS (SELECT venue, count(*) AS n_stored FROM stored GROUP BY venue),
 s AS (SELECT n.venue, n.ingest_seq, row_number() OVER (PARTITION BY n.venue ORDER BY n.ingest_seq)
-    + coalesce(have.n_stored, 0) AS place FROM n LEFT JOIN have ON have.venue = n.venue)
+    + coalesce(have.n_stored, 0) AS place FROM n LEFT JOIN have ON have.venue IS NOT DISTINCT FROM n.venue)
 SELECT venue, ingest_seq FROM s WHERE place <= {TARGET_CAP}"""
 
 # Terms
@@ -280,7 +280,7 @@ SELECT venue, ingest_seq FROM s WHERE place <= {TARGET_CAP}"""
 STOPS = values([(w,) for w in sorted(ENGLISH_STOP_WORDS)])
 TOKENS = f"""{WHOLE},
 stops AS (SELECT w FROM {STOPS} s(w)),
-lists AS (SELECT ingest_seq, venue,
+lists AS (SELECT ingest_seq, coalesce(venue, '(null)') AS venue,
     regexp_extract_all(lower(coalesce(review_text, '')), '[a-z]+') AS l FROM r),
 tok AS (SELECT ingest_seq, venue, unnest(l) AS w, generate_subscripts(l, 1) AS pos FROM lists)"""
 GRAMS = f"""{TOKENS},
@@ -297,7 +297,7 @@ def tfidf(by: str) -> str:
     part = f"PARTITION BY {by} " if by else ""
     using = f"({comma}term)"
     totals = (
-        f"SELECT {comma}count(*) AS total FROM r GROUP BY {by}"
+        f"SELECT coalesce({by}, '(null)') AS {by}, count(*) AS total FROM r GROUP BY ALL"
         if by
         else "SELECT count(*) AS total FROM r"
     )
@@ -312,7 +312,7 @@ tf AS (SELECT {comma}ingest_seq, term, count(*) AS tf FROM grams JOIN vocab USIN
 w AS (SELECT {comma}ingest_seq, term, tf * idf AS w FROM tf JOIN idf USING {using}),
 norm AS (SELECT ingest_seq, sqrt(sum(w * w)) AS norm FROM w GROUP BY ingest_seq),
 score AS (SELECT {comma}term, sum(w / norm) AS score FROM w JOIN norm USING (ingest_seq) GROUP BY ALL)
-SELECT {comma}term, round(score, 6) AS score FROM score
+SELECT {f"nullif({by}, '(null)') AS {by}, " if by else ""}term, round(score, 6) AS score FROM score
 QUALIFY row_number() OVER ({part}ORDER BY score DESC, term) <= 20"""
 
 
@@ -355,7 +355,7 @@ ORACLE["rake_phrases"] = f"WITH {rake('')} SELECT phrase, n, round(rake, 6) AS r
 ORACLE["rake_ranked_with_repeats"] = f"""WITH {rake("")}
 SELECT occ.phrase, round(rake, 6) AS rake FROM occ JOIN ranked USING (phrase)"""
 ORACLE["rake_by_venue"] = f"""WITH {rake("venue")}
-SELECT venue, phrase, n, round(rake, 6) AS rake FROM ranked"""
+SELECT nullif(venue, '(null)') AS venue, phrase, n, round(rake, 6) AS rake FROM ranked"""
 
 # Topics
 
@@ -544,7 +544,7 @@ firsts AS (SELECT * FROM p WHERE {HAS_CONTENT} AND {in_range}
   QUALIFY row_number() OVER (PARTITION BY venue, review_key ORDER BY ingest_seq) = 1),
 added AS (SELECT venue, batch, count(*) AS n_added FROM firsts GROUP BY venue, batch),
 counters AS (SELECT seen.*, coalesce(n_added, 0) AS n_added FROM seen
-  LEFT JOIN added ON added.venue = seen.venue AND added.batch = seen.batch),
+  LEFT JOIN added ON added.venue IS NOT DISTINCT FROM seen.venue AND added.batch = seen.batch),
 progress AS (SELECT *,
     CAST(sum(n_added) OVER (PARTITION BY venue ORDER BY batch) AS BIGINT) AS total_added,
     last_value(oldest_date IGNORE NULLS) OVER (PARTITION BY venue ORDER BY batch

@@ -129,9 +129,9 @@ def shift_dates(spark, sf):
 
 @query
 def venue_slug(spark, sf):
-    name = F.concat(F.initcap("venue"), F.lit(", "), F.initcap("lang"), F.lit(" – Théâtre & Co. "))
+    name = F.concat(F.initcap("source"), F.lit(", "), F.initcap("lang"), F.lit(" – Théâtre & Co. "))
     return (
-        fx.reviews(spark, sf)
+        fx.table(spark, sf, "documents")
         .select(name.alias("name"))
         .distinct()
         .select(

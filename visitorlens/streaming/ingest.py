@@ -11,6 +11,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Callable
 
+from pyspark import StorageLevel
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -93,10 +94,27 @@ def ingest_batch(
     if prefer != "first":
         raise ValueError("stored reviews are never replaced: prefer must be 'first' here")
     spark = batch.sparkSession
-    batch = with_venue(batch)
-    reviews = normalize_reviews(batch, as_of)
-    stored = _of_same_venues(stored_rows(spark, target), batch)
-    new = new_reviews(reviews, stored, cutoff, KEYS, order, prefer)
+    # The batch is read and normalised once; everything below works on what is kept.
+    reviews = normalize_reviews(with_venue(batch), as_of).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        _ingest(spark, reviews, target, cutoff, tag, batch_id, order, per_venue, progress_path)
+    finally:
+        reviews.unpersist()
+
+
+def _ingest(
+    spark: SparkSession,
+    reviews: DataFrame,
+    target: str,
+    cutoff: Column,
+    tag: str,
+    batch_id: int,
+    order: str,
+    per_venue: int | None,
+    progress_path: str | None,
+) -> None:
+    stored = _of_same_venues(stored_rows(spark, target), reviews)
+    new = new_reviews(reviews, stored, cutoff, KEYS, order)
     if per_venue is not None:
         held = stored.groupBy("venue").agg(F.count(F.lit(1)).alias("n_stored"))
         new = cap_per_venue(new, per_venue, held, order=(order, "review_key"))
@@ -104,7 +122,7 @@ def ingest_batch(
     if progress_path is not None:
         # Counted from the table: after the append the batch itself holds nothing new.
         number = F.lit(batch_id).alias("batch")
-        written = _of_same_venues(stored_rows(spark, target), batch)
+        written = _of_same_venues(stored_rows(spark, target), reviews)
         added = written.filter(F.col("ingest_batch") == tag).select("venue", number)
         seen = seen_counters(reviews.select("*", number), cutoff, KEYS)
         counted = with_added(seen, added).withColumn("run_tag", F.lit(tag))
