@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from visitorlens.llm.common import column_types, cut, map_rows
-from visitorlens.operators.scale import is_small
+from visitorlens.operators.scale import hot_key_join, is_small
 
 SHINGLE_WORDS = 4
 MAX_BITS = 4
@@ -307,8 +307,12 @@ def connected(links: DataFrame) -> DataFrame:
 
 
 def with_components(fingerprinted: DataFrame, id_col: str = "doc_id", **settings: int) -> DataFrame:
-    """``(fp, component_id)`` for every distinct fingerprint of ``(id, fp)``."""
-    distinct = cut(fingerprinted.groupBy("fp").agg(F.min(id_col).alias("least_id")))
+    """``(fp, n_rows, component_id, root)`` for every distinct fingerprint of ``(id, fp)``."""
+    distinct = cut(
+        fingerprinted.groupBy("fp").agg(
+            F.min(id_col).alias("least_id"), F.count(F.lit(1)).alias("n_rows")
+        )
+    )
     roots = connected(find_links(distinct, **settings)).withColumnRenamed("node", "fp")
     roots = roots.union(roots.select(F.col("root").alias("fp"), "root").distinct())
     linked = roots.join(distinct, "fp")
@@ -316,6 +320,7 @@ def with_components(fingerprinted: DataFrame, id_col: str = "doc_id", **settings
     linked = roots.join(ids, "root").select("fp", "root", "of_root", "is_linked")
     return distinct.join(linked, "fp", "left").select(
         "fp",
+        "n_rows",
         F.when(F.col("is_linked"), F.col("of_root")).otherwise(F.col("least_id")).alias("component_id"),
         F.coalesce("root", "fp").alias("root"),
     )
@@ -326,8 +331,9 @@ def near_duplicates(
 ) -> DataFrame:
     """``(id, fingerprint, component_id)`` for every row; the fingerprint in hexadecimal."""
     fingerprinted = cut(with_fingerprints(docs, id_col, text_col))
-    components = with_components(fingerprinted, id_col, **settings)
-    return fingerprinted.join(components, "fp").select(
+    components = cut(with_components(fingerprinted, id_col, **settings))
+    # A fingerprint of very many rows is sent to them, the others are joined.
+    return hot_key_join(fingerprinted, components, "fp", "n_rows").select(
         id_col,
         F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
         "component_id",
@@ -353,7 +359,9 @@ def keep_one(
     rows = cut(map_rows(docs.select(id_col, *named, text_col), start, schema))
     components = with_components(rows, id_col, **settings)
     order = F.struct(F.col(id_col).isNull().alias("no_id"), id_col, *marks)
-    chosen = rows.join(components, "fp").groupBy("root").agg(F.min(order).alias("chosen"))
+    # One row per fingerprint first, in each task, so that no fingerprint is hot in the join.
+    least = rows.groupBy("fp").agg(F.min(order).alias("least"))
+    chosen = least.join(components, "fp").groupBy("root").agg(F.min("least").alias("chosen"))
     chosen = chosen.select(*[F.col(f"chosen.{m}").alias(m) for m in marks])
     marked = docs.withColumns(dict(zip(marks, hashes, strict=True)))
     return marked.join(chosen, marks, "left_semi").dropDuplicates(marks).drop(*marks)
