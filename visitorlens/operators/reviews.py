@@ -12,6 +12,7 @@ from visitorlens.functions.keys import review_key
 from visitorlens.functions.text import fix_mojibake, looks_truncated, stars, strip
 from visitorlens.operators.scale import (
     is_small,
+    null_safe_anti_join,
     null_safe_join,
     salted_join,
     top_per_group,
@@ -108,9 +109,10 @@ def first_seen(
     record = F.struct(*[c for c in reviews.columns if c not in keys])
     if prefer == "longest":
         size = F.length(F.coalesce(F.col("review_text"), F.lit("")))
-        chosen = F.min_by(record, F.struct(-size, F.col(order)))
+        chosen = F.min_by(record, F.struct(-size, F.col(order).isNull(), F.col(order)))
     elif prefer == "first":
-        chosen = F.min_by(record, F.col(order))
+        # Rows without an arrival order come last.
+        chosen = F.min_by(record, F.struct(F.col(order).isNull(), F.col(order)))
     else:
         raise ValueError(f"prefer must be 'first' or 'longest', not {prefer!r}")
     picked = reviews.groupBy(*keys).agg(chosen.alias("_row"))
@@ -132,14 +134,18 @@ def new_reviews(
 ) -> DataFrame:
     """Rows of ``incoming`` to append: in range, not empty, first of their key, not stored.
 
-    The narrow filters and the per-key aggregate run first, so each side of the
-    anti join holds a key at most once and cannot be skewed.
+    Only keys and arrival orders are aggregated and compared with the stored keys, so
+    each side of the anti join holds a key at most once and cannot be skewed. Whole rows
+    are fetched for the new keys alone, which after the first run are few. Null keys are
+    keys like any other.
     """
     candidates = incoming.filter(has_content() & in_range(cutoff))
-    firsts = first_seen(candidates, keys, order, prefer)
-    return firsts.join(stored_keys(stored, keys), list(keys), "left_anti").select(
-        *incoming.columns
-    )
+    firsts = candidates.groupBy(*keys).agg(F.min(order).alias("_first"))
+    fresh = null_safe_anti_join(firsts, stored_keys(stored, keys), keys)
+    rows = null_safe_join(candidates, fresh, keys)
+    if prefer == "first":
+        rows = rows.filter(F.col(order).eqNullSafe(F.col("_first")))
+    return first_seen(rows.drop("_first"), keys, order, prefer).select(*incoming.columns)
 
 
 def union_reviews(stored: DataFrame, new: DataFrame) -> DataFrame:

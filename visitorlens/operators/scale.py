@@ -42,6 +42,15 @@ def null_safe_join(
     return left.join(renamed, same, how).drop(*[f"_right_{c}" for c in on])
 
 
+def null_safe_anti_join(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame:
+    """Rows of ``left`` whose keys, null included, ``right`` does not have."""
+    renamed = right.select(*[F.col(c).alias(f"_right_{c}") for c in on])
+    same = F.lit(True)
+    for c in on:
+        same &= F.col(c).eqNullSafe(F.col(f"_right_{c}"))
+    return left.join(renamed, same, "left_anti")
+
+
 def salted_join(
     big: DataFrame, lookup: DataFrame, on: Sequence[str], how: str = "inner", salts: int = SALTS
 ) -> DataFrame:
