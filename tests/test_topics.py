@@ -38,6 +38,18 @@ def test_similarity_equals_numpy_in_any_blocks(spark, block):
     assert got == pytest.approx(expected(), abs=1e-6)
 
 
+@pytest.mark.parametrize("weights", [0.7, {"a": 0.2, "b": 0.9}])
+def test_assignment_in_the_row_equals_the_two_steps(spark, weights):
+    items, seeds = frames(spark)
+    items = items.withColumn("freq", F.when(F.length("item_id") % 2 == 0, 0.4))
+    want = tp.topic_items(tp.seed_similarity(items, seeds), ["b", "a"], semantic_weight=weights)
+    got = tp.assign_topics(items, seeds, ["b", "a"], semantic_weight=weights)
+    key = lambda df: sorted((r.item_id, r.topic, round(r.score, 9)) for r in df.collect())
+    assert key(got) == key(want) and len(key(got)) > 3
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    assert tp.assign_topics(items, seeds.limit(0), ["a"]).count() == 0
+
+
 def test_null_vector_and_no_seeds(spark):
     items, seeds = frames(spark)
     null = items.limit(1).withColumn("embedding", F.lit(None).cast("array<float>"))

@@ -91,16 +91,25 @@ def seed_similarity(
     times as long on dense vectors). No row per item and seed exists.
     """
     carried = [c for c in items.columns if c != vector]
-    fetched = seeds.select("topic", "embedding").dropna().collect()
-    topics = sorted({row.topic for row in fetched})
+    topics, best = _best_scores(seeds, vector, block)
     if not topics:
         return items.select(
             *carried, F.lit("").alias("topic"), F.lit(0.0).alias("similarity")
         ).limit(0)
-    width = len(fetched[0].embedding)
-    known = F.coalesce(
-        F.col(vector).cast("array<double>"), F.array_repeat(F.lit(0.0), width)
-    )
+    scored = items.select(*carried, best.alias("_s"))
+    pairs = [
+        F.struct(F.lit(t).alias("topic"), F.get("_s", F.lit(i)).alias("similarity"))
+        for i, t in enumerate(topics)
+    ]
+    return scored.select(*carried, F.inline(F.array(*pairs)))
+
+
+def _best_scores(seeds: DataFrame, vector: str, block: int) -> tuple[list[str], Column]:
+    """Topics, and the array of a vector's best cosine to a seed of each of them."""
+    fetched = seeds.select("topic", "embedding").dropna().collect()
+    topics = sorted({row.topic for row in fetched})
+    width = len(fetched[0].embedding) if fetched else 0
+    known = F.coalesce(F.col(vector).cast("array<double>"), F.array_repeat(F.lit(0.0), width))
     best = None
     for at in range(0, len(fetched), block):
         part = fetched[at : at + block]
@@ -109,12 +118,51 @@ def seed_similarity(
         ]
         scores = _similarity_udf(topics, matrices)(known)
         best = scores if best is None else F.zip_with(best, scores, lambda a, b: F.greatest(a, b))
-    scored = items.select(*carried, best.alias("_s"))
-    pairs = [
-        F.struct(F.lit(t).alias("topic"), F.get("_s", F.lit(i)).alias("similarity"))
-        for i, t in enumerate(topics)
+    return topics, best
+
+
+def assign_topics(
+    items: DataFrame,
+    seeds: DataFrame,
+    topics: Sequence[str],
+    vector: str = "embedding",
+    freq: str = "freq",
+    semantic_weight: float | Mapping[str, float] = SEMANTIC_WEIGHT,
+    frequency_weight: float | Mapping[str, float] = FREQUENCY_WEIGHT,
+    threshold: float = THRESHOLD,
+    block: int = SEEDS_PER_BLOCK,
+) -> DataFrame:
+    """``seed_similarity`` and ``topic_items`` in one narrow pass.
+
+    ``(items' columns but the vector, topic, score)`` for every row that reaches
+    ``threshold``; the best topic is chosen inside the row, so nothing is shuffled.
+    """
+    carried = [c for c in items.columns if c != vector]
+    found, best = _best_scores(seeds, vector, block)
+    named = [t for t in topics if t in found]
+    if not named:
+        return items.select(*carried, F.lit("").alias("topic"), F.lit(0.0).alias("score")).limit(0)
+
+    def weight(w: float | Mapping[str, float], topic: str) -> float:
+        return float(w.get(topic, 0.0) if isinstance(w, Mapping) else w)
+
+    share = F.coalesce(F.col(freq), F.lit(0.0))
+    options = [
+        F.struct(
+            (
+                weight(semantic_weight, t) * F.get("_s", F.lit(found.index(t)))
+                + weight(frequency_weight, t) * share
+            ).alias("score"),
+            F.lit(-rank).alias("rank"),
+            F.lit(t).alias("topic"),
+        )
+        for rank, t in enumerate(named)
     ]
-    return scored.select(*carried, F.inline(F.array(*pairs)))
+    chosen = items.select(*carried, best.alias("_s")).withColumn(
+        "_best", F.array_max(F.array(*options))
+    )
+    out = chosen.select(*carried, "_best.topic", "_best.score")
+    return out.filter(F.col("score") >= threshold)
 
 
 def topic_items(
@@ -212,11 +260,10 @@ def phrase_topics(
     that joins stored vectors or calls the user's own pandas UDF.
     """
     seed_vectors = embed(seed_table(phrases.sparkSession, seeds), "seed")
-    similar = seed_similarity(embed(phrases, "phrase"), seed_vectors, item_id="phrase")
-    return topic_items(
-        similar,
+    return assign_topics(
+        embed(phrases, "phrase"),
+        seed_vectors,
         list(seeds),
-        item_id="phrase",
         semantic_weight=semantic_weight,
         frequency_weight=frequency_weight,
         threshold=threshold,

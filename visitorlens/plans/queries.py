@@ -319,8 +319,9 @@ def _seeds(spark, sf):
 
 def _assigned(spark, sf):
     vectors, freq = _items(spark, sf)
-    similar = topics.seed_similarity(vectors, _seeds(spark, sf))
-    return topics.topic_items(similar.join(freq, "label", "left"), ["A", "B"])
+    return topics.assign_topics(
+        vectors.join(freq, "label", "left"), _seeds(spark, sf), ["A", "B"]
+    )
 
 
 @query
