@@ -99,6 +99,21 @@ def test_tables(spark):
     assert dc.drop_contained(docs.limit(0), bench).count() == 0
 
 
+@pytest.mark.parametrize("edits", [0, 6])
+def test_short_passages_from_anywhere_inside_an_item(edits):
+    rng = random.Random(11)
+    word = lambda n: "".join(rng.choices("abcdefghijklm", k=n))
+    item = word(300)
+    index = dc.ItemIndex([(1, item)])
+    for start in range(0, 220, 7):
+        passage = list(item[start : start + 80])
+        for at in range(5, 5 + 12 * edits, 12):
+            passage[at] = "Z"
+        found = index.search([word(60) + "".join(passage) + word(60)])[0]
+        assert found and found[0][2] <= edits, start
+    assert not index.search([word(60) + item[100:160] + word(60)])[0]
+
+
 def test_parameters_must_leave_a_bound():
     with pytest.raises(ValueError):
         dc.Match(q=12, max_error=0.1)

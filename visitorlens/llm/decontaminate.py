@@ -4,8 +4,8 @@ Texts are compared as code points with A-Z in lower case and every run of white
 one space. A benchmark item is contained in a document where a *window* of the item
 (``window`` characters, or the whole item if it is shorter) aligns with a region of the
 document with at most ``edits = floor(max_error * window)`` insertions, deletions and
-substitutions. Windows start at every multiple of ``step`` characters and at the item's
-last window.
+substitutions. Windows start at every multiple of ``step`` characters, by default at every
+character, and at the item's last window.
 
 * Lemma: a window of ``w`` characters that aligns within ``e`` edits shares at least
   ``w - q + 1 - q * e`` q-grams with the region, on diagonals (document position less item
@@ -55,7 +55,7 @@ class Match:
 
     q: int = 10
     window: int = 80
-    step: int = 20
+    step: int = 1
     max_error: float = 0.075
     min_chars: int = 40
 
