@@ -13,7 +13,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from visitorlens.llm import decontaminate, mixing, near_copies, quality_rules, shards
+from visitorlens.llm import decontaminate, mixing, quality_rules, shards, simhash
 from visitorlens.llm.common import table
 
 N_SHARDS = 16
@@ -25,8 +25,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near copies (Jaccard similarity of 0.8) the row with the least id."""
-    return near_copies.keep_one(docs)
+    """Of each component of linked fingerprints the row with the least id."""
+    return simhash.keep_one(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
