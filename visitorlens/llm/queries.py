@@ -10,14 +10,17 @@ from pyspark.sql import functions as F
 from visitorlens.llm import (
     chat_format,
     decontaminate,
+    exact_topk,
     html_text,
     licenses,
     mixing,
     oracle,
+    prefix_trie,
     quality_rules,
     secret_scan,
     shards,
     simhash,
+    turn_repair,
     url_rules,
 )
 from visitorlens.llm.common import table
@@ -111,3 +114,26 @@ def op4_mixing(spark, sf):
 def op8_html_text(spark, sf):
     """Main text of every page."""
     return html_text.extract_main_text(table(spark, sf, "pages"))
+
+
+@query
+def op11_exact_topk(spark, sf):
+    """The ten best inner products of every hundredth vector."""
+    vectors = table(spark, sf, "embeddings")
+    return exact_topk.top_k(vectors, vectors.filter(F.col("vec_id") % 100 == 0))
+
+
+@query
+def op12_prefix_trie(spark, sf):
+    """Every shared prefix of turns among conversations that begin like others."""
+    chats = prefix_trie.conversation_turns(table(spark, sf, "conversations"))
+    return prefix_trie.prefix_trie(prefix_trie.with_shared_starts(chats))
+
+
+@query
+def op13_turn_repair(spark, sf):
+    """The cheapest repair of every damaged conversation."""
+    rows = turn_repair.damaged(table(spark, sf, "conversations"))
+    return turn_repair.repair_report(
+        turn_repair.repair_conversations(rows, present=F.col("present"))
+    )
