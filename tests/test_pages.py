@@ -56,6 +56,38 @@ def test_articles_and_the_contributor_near_the_author(spark):
     assert (got[0].text, got[0].reviewer_total_reviews) == ("Dull <show>", "7")
 
 
+def test_nested_elements_belong_to_the_element(spark):
+    page = """<div data-review-id='n1'><div class=d4r55>Anna <div>x</div> B</div>
+<div>Local <i>Guide</i> · <b>1,204</b> reviews</div><i aria-label='4 stars' class='kvMY7b z'></i>
+<span class='rsqaWe'>2 <span>weeks</span> ago</span>
+<span title="a > b" class="wiI7pd">Great <span>seats</span> and a <b>long<br> tail</b> of text</span></div>
+<footer>12 reviews and a very long line outside of the card</footer>
+<div data-review-id=n2><div><div>Only <span>nested <span>spans</span></span> here</div></div></div>"""
+    first, second = pg.extract_cards(pages(spark, page)).orderBy("pos").collect()
+    assert (first.id, first.author, first.rating, first.date) == ("n1", "Anna x B", "4 stars", "2 weeks ago")
+    assert first.text == "Great seats and a long tail of text"
+    assert (first.is_local_guide, first.reviewer_total_reviews) == (True, "1204")
+    assert (second.id, second.text, second.reviewer_total_reviews) == ("n2", "Only nested spans here", "")
+
+
+def test_unclosed_and_stray_tags(spark):
+    page = (
+        '<ul><li data-review-id="u1"><span class="wiI7pd">open <b>bold <p>one<p>two</span> outside</li></ul>'
+        '<ul><li data-review-id="u2"><p class="wiI7pd">till the block<div>no</div></i></li><li>no</li></ul>'
+        '<div data-review-id="u3"><span class="wiI7pd">1 < 2 </i>and <img alt="</span>"/>3'
+    )
+    got = pg.extract_cards(pages(spark, page)).orderBy("pos").collect()
+    assert [(r.id, r.text) for r in got] == [
+        ("u1", "open bold onetwo"), ("u2", "till the block"), ("u3", "1 < 2 and 3"),
+    ]
+
+
+def test_a_card_of_very_many_elements(spark):
+    page = '<div data-review-id="m"><div class="wiI7pd">' + "<span>a</span> " * 5000 + "<div>" * 300 + "end" + "</div>" * 302
+    got = pg.extract_cards(pages(spark, page)).first()
+    assert got.text == "a " * 5000 + "end"
+
+
 def test_interstitial(spark):
     cases = [
         ("https://consent.google.com/m", "", True),

@@ -31,6 +31,23 @@ TOTAL_REVIEWS = r"(?i)(\d[\d,]*)\s+reviews?"
 # Fixed value: candidates of this length or more are page furniture, not a review.
 MAX_FALLBACK_TEXT = 5000
 
+# Elements without content, elements that end an open paragraph, and elements whose stray
+# end tag belongs to something that was opened further out.
+VOID = "area base br col embed hr img input link meta source track wbr".split()
+BLOCKS = (
+    "address article aside blockquote div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr "
+    "main nav ol p pre section table ul"
+).split()
+FRAMES = "article aside body div footer form header html li main nav ol section table tbody td tr ul".split()
+
+# A tag, in which quoted values may hold ">", and a tag with the text up to the next one.
+_REST = r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+>"""
+TAG = rf"</?[a-zA-Z]{_REST}"
+_TOKEN = rf"{TAG}(?:[^<]++|<(?![/a-zA-Z]))*+"
+# Attributes before the one that is looked for, and a value in any quotes or none.
+_BEFORE = r"""^<[a-zA-Z][^\s/>]*+(?:[^>"'\s]++|\s|"[^"]*+"|'[^']*+')*?\s"""
+_VALUE = r"""\s*=\s*("[^"]*+"|'[^']*+'|[^\s"'>]++)"""
+
 # The five basic character references; the ampersand comes last.
 ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")]
 
@@ -63,7 +80,7 @@ def contributor_total(blob: Column) -> Column:
 
 def inner_text(html: Column) -> Column:
     """Text of an HTML fragment: tags removed, basic entities decoded, trimmed."""
-    text = F.regexp_replace(html, "<[^>]*>", "")
+    text = F.regexp_replace(html, f"(?s)<!--.*?-->|{TAG}|<[!?][^>]*>", "")
     for name, char in ENTITIES:
         text = F.replace(text, F.lit(name), F.lit(char))
     return strip(text)
@@ -94,3 +111,90 @@ def longest_text(preferred: Column, fallback: Column | None = None) -> Column:
         best,
         lambda b: F.when(b != "", b).otherwise(F.coalesce(_longest(short), F.lit(""))),
     )
+
+
+def markup_tokens(html: Column) -> Column:
+    """Tags with the text behind them: ``array<struct<name, is_end, is_void, at, markup>>``."""
+
+    def token(markup: Column, at: Column) -> Column:
+        name = F.lower(F.regexp_extract(markup, r"^</?([a-zA-Z][^\s/>]*+)", 1))
+        empty = F.regexp_extract(markup, f"^{TAG}", 0).endswith("/>")
+        return F.struct(
+            name.alias("name"),
+            F.startswith(markup, F.lit("</")).alias("is_end"),
+            (name.isin(*VOID) | empty).alias("is_void"),
+            at.alias("at"),
+            markup.alias("markup"),
+        )
+
+    return F.transform(F.regexp_extract_all(html, F.lit(_TOKEN), F.lit(0)), token)
+
+
+def element_spans(tokens: Column) -> Column:
+    """``array<struct<begin, end>>``: positions of the start tag and of what ends the element.
+
+    A fold over the tags with a stack of the open elements, the innermost first. An end
+    tag closes the innermost open element of its name and all inside it; a block closes an
+    open paragraph; a stray end tag of a frame closes all, other stray ones nothing. What
+    is still open at the end ends there. Every element with content has one span.
+    """
+    open_type = "array<struct<name: string, at: int>>"
+    spans_type = "array<struct<begin: int, end: int>>"
+    nothing = F.struct(
+        F.array().cast(open_type).alias("open"), F.array().cast(spans_type).alias("spans")
+    )
+
+    def closed(inner: Column, at: Column) -> Column:
+        return F.transform(inner, lambda x: F.struct(x["at"].alias("begin"), at.alias("end")))
+
+    def step(done: Column, tag: Column) -> Column:
+        ends_paragraph = ~tag["is_end"] & tag["name"].isin(*BLOCKS)
+        wanted = F.when(tag["is_end"], tag["name"]).when(ends_paragraph, "p")
+        names = F.transform(done["open"], lambda x: x["name"])
+        place = F.coalesce(F.array_position(names, wanted), F.lit(0)).cast("int")
+        is_stray = tag["is_end"] & tag["name"].isin(*FRAMES)
+
+        def moved(place: Column) -> Column:
+            n = F.when((place == 0) & is_stray, F.size(done["open"])).otherwise(place)
+            rest = F.slice(done["open"], n + 1, F.size(done["open"]))
+            own = F.array(F.struct(tag["name"].alias("name"), tag["at"].alias("at")))
+            is_open = ~tag["is_end"] & ~tag["is_void"]
+            return F.struct(
+                F.when(is_open, F.concat(own, rest)).otherwise(rest).alias("open"),
+                F.when(n == 0, done["spans"])
+                .otherwise(F.concat(done["spans"], closed(F.slice(done["open"], F.lit(1), n), tag["at"])))
+                .alias("spans"),
+            )
+
+        return let(place, moved)
+
+    return F.aggregate(
+        tokens,
+        nothing,
+        step,
+        lambda done: F.concat(done["spans"], closed(done["open"], F.size(tokens))),
+    )
+
+
+def markup_inside(tokens: Column, span: Column) -> Column:
+    """Markup between the start tag of a span and its end; ``''`` without a span."""
+    inside = F.slice(tokens, span["begin"] + 2, F.greatest(span["end"] - span["begin"] - 1, F.lit(0)))
+    own = F.regexp_replace(F.get(tokens, span["begin"])["markup"], f"^{TAG}", "")
+    return F.coalesce(
+        F.concat(own, F.array_join(F.transform(inside, lambda t: t["markup"]), "")), F.lit("")
+    )
+
+
+def attribute(tag: Column, name: str) -> Column:
+    """Value of an attribute of the tag that the markup begins with; ``''`` without it."""
+    value = F.regexp_extract(tag, f"(?si){_BEFORE}{name}{_VALUE}", 1)
+    return inner_text(F.regexp_replace(value, "^[\"']|[\"']$", ""))
+
+
+def has_attribute(tag: Column, name: str) -> Column:
+    return tag.rlike(rf"(?si){_BEFORE}{name}(?=[\s=/>])")
+
+
+def has_class(tag: Column, names: str) -> Column:
+    """Whether the tag that the markup begins with has one of some classes (``a|b``)."""
+    return F.concat(F.lit(" "), attribute(tag, "class"), F.lit(" ")).rlike(rf"\s(?:{names})\s")

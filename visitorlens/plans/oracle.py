@@ -510,9 +510,10 @@ ORACLE["review_cards"] = f"""WITH
 links AS (SELECT page_id, {inner("regexp_extract(html, '<title>([^<]*)</title>', 1)")} AS title,
     regexp_extract_all(html, '<a href="/[^"]*">([^<]*)</a>', 1) AS l FROM pages),
 c AS (SELECT page_id, title, generate_subscripts(l, 1) - 1 AS pos, unnest(l) AS name FROM links)
-SELECT page_id, CAST(pos AS INT) AS pos, page_id || '-' || pos AS id, {inner("name")} AS author,
+SELECT page_id, CAST(pos AS INT) AS pos, page_id || '-' || pos AS id, {inner("name")} || ' of here' AS author,
   (pos % 5 + 1) || ' stars' AS rating, 'a year ago' AS date,
-  title AS text, true AS is_local_guide, CAST(pos + 2 AS VARCHAR) AS reviewer_total_reviews FROM c"""
+  CASE pos % 3 WHEN 0 THEN title WHEN 1 THEN title || ' by ' || {inner("name")} || ' and a tail'
+    ELSE 'Late ' || title || ' end!' END AS text, true AS is_local_guide, CAST(pos + 2 AS VARCHAR) AS reviewer_total_reviews FROM c"""
 ORACLE["page_longest_paragraph"] = f"""WITH
 b AS (SELECT page_id, regexp_extract_all(html, '(?s)<p>(.*?)</p>', 1) AS p,
     regexp_extract_all(html, '(?s)<li>(.*?)</li>', 1) AS li FROM pages),

@@ -426,26 +426,42 @@ def page_cards(spark, sf):
 
 @query
 def review_cards(spark, sf):
-    """Every page's links as review cards: the markup is written around titles and links."""
+    """Every page's links as review cards: the markup is written around titles and links.
+
+    It has nested elements of the same name, all three kinds of quotes, and unclosed ones.
+    """
     links = F.regexp_extract_all("html", F.lit('<a href="/[^"]*">([^<]*)</a>'), F.lit(1))
-    markup = F.transform(
-        links,
-        lambda t, i: F.concat(
-            F.lit('<div class="jftiEf x" data-review-id="'),
+    title = F.trim(F.regexp_extract("html", "<title>([^<]*)</title>", 1))
+
+    def card(t, i):
+        said = F.when(
+            i % 3 == 0,
+            F.concat(F.lit('<span class="wiI7pd">'), title, F.lit("</span>")),
+        ).when(
+            i % 3 == 1,
+            F.concat(
+                F.lit("<span title='a > b' class='x wiI7pd'>"),
+                title,
+                F.lit(" <span><b>by</b></span> <span>"),
+                t,
+                F.lit("</span> and a tail</span>"),
+            ),
+        )
+        return F.concat(
+            F.lit("<div class='jftiEf x' data-review-id='"),
             F.concat_ws("-", F.col("page_id"), i),
-            F.lit('"><div><div class="d4r55">'),
+            F.lit("'><div><div class=d4r55>"),
             t,
-            F.lit("</div><div>Local Guide · "),
+            F.lit(" <div>of <i>here</div></div><div>Local Guide · <b>"),
             i + 2,
-            F.lit(' reviews</div></div><span class="kvMYJc" aria-label="'),
+            F.lit('</b> reviews</div></div><span class="kvMYJc" aria-label="'),
             i % 5 + 1,
-            F.lit(' stars"></span><span class="rsqaWe">a year ago</span><div class="MyEned">'),
-            F.lit('<span class="wiI7pd">'),
-            F.regexp_extract("html", "<title>([^<]*)</title>", 1),
-            F.lit("</span><button>More</button></div></div>"),
-        ),
-    )
-    made = fx.table(spark, sf, "pages").withColumn("html", F.array_join(markup, ""))
+            F.lit(" stars\"></span><span class='rsqaWe'>a <span>year</span> ago</span><div class=\"MyEned\">"),
+            F.coalesce(said, F.concat(F.lit("<span>Late <span>"), title, F.lit("</span> <p>end<div>!</div></span>"))),
+            F.lit("<button>More</button></div></div><p>Outside of every card, 99 reviews</p>"),
+        )
+
+    made = fx.table(spark, sf, "pages").withColumn("html", F.array_join(F.transform(links, card), ""))
     return pages.extract_cards(made).drop("url")
 
 
