@@ -53,10 +53,10 @@ RANKED_ROWS = 20_000
 def row_arcs(code: str) -> list[list[tuple[int, int, str, str | None]]]:
     """For each state the edits of a row: ``(cost, next state, initial, new role)``.
 
-    ``code`` is ``x`` for a row that must go, else its role's initial (``-`` if not in the
-    grammar), in upper case if truncated.
+    ``code`` is ``x`` for a row that must go, else its role's initial, in upper case if
+    truncated; an initial that the grammar doesn't have is ``-``, or ``=`` if truncated.
     """
-    extra = TRUNCATED if code.isupper() else 0
+    extra = TRUNCATED if code.isupper() or code == "=" else 0
     out = []
     for number, state in enumerate(STATES):
         arcs = [(COSTS["D"], number, "D", None)]
