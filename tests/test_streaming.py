@@ -1,11 +1,12 @@
 import tempfile
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from visitorlens.operators.reviews import new_reviews, normalize_reviews
 from visitorlens.plans import fixtures as fx
-from visitorlens.sources.files import latest_progress, progress_rows
+from visitorlens.sources.files import compact_reviews, latest_progress, progress_rows, with_timings
 from visitorlens.streaming import ingest
 
 SF = "/root/testdata/sf0.001"
@@ -120,3 +121,152 @@ def test_checkpoint_location():
     assert ingest.checkpoint_location(Session(), "x", "/tmp/c/") == "/tmp/c/x"
     with pytest.raises(ValueError):
         ingest.checkpoint_location(Session(), "x")
+
+
+# Stop rules, timings, horizon, compaction
+
+
+RAW = "venue string, id string, author string, rating string, date string, text string, is_local_guide boolean, reviewer_total_reviews string, ingest_seq int"
+
+
+def passes_of(spark, path, passes):
+    """One file per pass; a pass is a list of (venue, id, date) or of ids of venue v."""
+    seq = 0
+    for rows in passes:
+        data = []
+        for row in rows:
+            venue, key, date = row if isinstance(row, tuple) else ("v", row, "today")
+            data.append((venue, key, "a", "5 stars", date, f"text {seq}", False, "", seq))
+            seq += 1
+        spark.createDataFrame(data, RAW).coalesce(1).write.mode("append").parquet(path)
+        time.sleep(0.01)
+
+
+def collect(spark, path, root, rules, **settings):
+    stream = spark.readStream.schema(RAW).option("maxFilesPerTrigger", 1).option("latestFirst", False).parquet(path)
+    return ingest.run_ingestion(
+        stream, root + "/table", fx.as_of(), fx.cutoff(), root + "/progress", rules, root + "/checkpoint", **settings
+    )
+
+
+def ids(spark, root):
+    return sorted(r.review_id for r in spark.read.parquet(root + "/table").collect())
+
+
+def folders():
+    root = tempfile.mkdtemp(prefix="run-", dir="/tmp")
+    return root, root + "/raw"
+
+
+def test_a_run_stops_at_its_target_and_a_higher_one_goes_on(spark):
+    root, path = folders()
+    passes_of(spark, path, [["a", "b"], ["c", "d"], ["e"], ["f"]])
+    rules = ingest.StopRules(target=3)
+    assert collect(spark, path, root, rules) == "target"
+    assert ids(spark, root) == ["a", "b", "c"]
+    # The same target: rows stored before the run count, so it ends after one pass.
+    assert collect(spark, path, root, rules) == "target"
+    assert ids(spark, root) == ["a", "b", "c"]
+    # The pass that was not processed is the next one.
+    assert collect(spark, path, root, ingest.StopRules(target=100)) is None
+    assert ids(spark, root) == ["a", "b", "c", "f"]
+
+
+def test_a_run_stops_when_it_stagnates_and_a_resume_goes_on(spark):
+    root, path = folders()
+    passes_of(spark, path, [["a"], ["a"], ["a"], ["b"], ["b"], ["c"]])
+    rules = ingest.StopRules(no_growth_limit=2)
+    assert collect(spark, path, root, rules) == "stagnant"
+    assert ids(spark, root) == ["a"]
+    assert collect(spark, path, root, rules) is None
+    assert ids(spark, root) == ["a", "b", "c"]
+
+
+def test_a_run_goes_on_while_any_venue_may(spark):
+    root, path = folders()
+    passes_of(spark, path, [
+        [("v", "a", "today"), ("w", "b", "today")], [("v", "a", "today"), ("w", "c", "today")],
+        [("v", "a", "today"), ("w", "c", "today")], [("v", "d", "today"), ("w", "e", "today")],
+    ])
+    assert collect(spark, path, root, ingest.StopRules(no_growth_limit=1)) == "stagnant"
+    # v stagnated in the second pass, w in the third.
+    assert ids(spark, root) == ["a", "b", "c"]
+
+
+def test_a_run_stops_beyond_the_cutoff_and_by_time(spark):
+    root, path = folders()
+    passes_of(spark, path, [["a"], [("v", "b", "1/1/1990")], [("v", "c", "1/2/1990")], ["d"]])
+    assert collect(spark, path, root, ingest.StopRules(past_cutoff_limit=2)) == "cutoff"
+    assert ids(spark, root) == ["a"]
+    # No time at all: the first pass of a run is always processed.
+    assert collect(spark, path, root, ingest.StopRules(max_seconds=0)) is None
+    assert ids(spark, root) == ["a", "d"]
+
+
+def test_every_progress_row_has_its_pass_and_its_timing(spark):
+    root, path = folders()
+    passes_of(spark, path, [["a", "b"], [("v", "c", "today"), ("w", "d", "today"), ("w", "d", "today")], ["e"]])
+    assert collect(spark, path, root, None) is None
+    schema = spark.createDataFrame([], ingest.PROGRESS_SCHEMA).schema
+    timings = spark.read.schema(ingest.TIMING_SCHEMA).json(root + "/progress-timings")
+    rows = with_timings(progress_rows(spark, root + "/progress", schema), timings).collect()
+    assert sorted((r.venue, r.batch, r.n_rows, r.input_rows) for r in rows) == [
+        ("v", 0, 2, 2), ("v", 1, 1, 3), ("v", 2, 1, 1), ("w", 1, 2, 3),
+    ]
+    assert all(r.duration_ms > 0 for r in rows)
+    assert timings.count() == timings.select("run_tag").distinct().count() == 3
+
+
+def test_a_horizon_stores_the_same_rows(spark, source):
+    path, raw = source
+    root, other = folders()[0], folders()[0]
+    again = root + "/raw"
+    # Everything arrives twice.
+    for _ in range(2):
+        spark.read.parquet(path).repartition(3, "ingest_seq").write.mode("append").parquet(again)
+    stream = spark.readStream.schema(raw.schema).option("maxFilesPerTrigger", 2).parquet(again)
+    for folder, horizon in ((root, "1 day"), (other, None)):
+        ingest.run_ingestion(
+            stream, folder + "/table", fx.as_of(), fx.cutoff(), folder + "/progress", None, folder + "/checkpoint", horizon=horizon
+        )
+
+    def stored(folder):
+        rows = spark.read.parquet(folder + "/table").drop("ingest_batch")
+        return sorted(map(str, rows.select(sorted(rows.columns)).collect()))
+
+    assert stored(root) == stored(other) and len(stored(root)) == expected(spark, raw).count()
+    schema = spark.createDataFrame([], ingest.PROGRESS_SCHEMA).schema
+    seen = [progress_rows(spark, f + "/progress", schema).agg(F.sum("n_rows")).first()[0] for f in (root, other)]
+    assert seen[0] < 0.7 * seen[1] and seen[1] == 2 * raw.count()
+
+
+def test_a_forgotten_key_is_still_found_in_the_table(spark):
+    root, path = folders()
+    passes_of(spark, path, [["a", "b", "a"], [("v", "old", "1/1/1990")]])
+    assert collect(spark, path, root, None, horizon="1 millisecond") is None
+    passes_of(spark, path, [["a"], [("v", "old", "today")], ["c"]])
+    assert collect(spark, path, root, None, horizon="1 millisecond") is None
+    assert ids(spark, root) == ["a", "b", "c", "old"]
+    first = spark.read.parquet(root + "/table").filter("review_id = 'a'").first()
+    assert first.review_text == "text 0"
+
+
+def test_compaction_keeps_all_rows_in_few_files(spark):
+    root, path = folders()
+    passes_of(spark, path, [[("v", f"a{i}", "today"), ("7", f"b{i}", "today")] for i in range(4)] + [[("few", "c", "today")]])
+    assert collect(spark, path, root, None) is None
+    before = sorted(map(str, spark.read.parquet(root + "/table").collect()))
+    spark.conf.set("spark.checkpoint.dir", root + "/shared")
+    try:
+        assert sorted(compact_reviews(spark, root + "/table", 3)) == ["7", "v"]
+        assert compact_reviews(spark, root + "/table", 3) == []
+    finally:
+        spark.conf.unset("spark.checkpoint.dir")
+    table = spark.read.parquet(root + "/table")
+    assert sorted(map(str, table.collect())) == before
+    files = table.groupBy("venue").agg(F.count_distinct("_metadata.file_path").alias("n")).collect()
+    assert {r.n for r in files} == {1}
+    # Ingestion goes on from the compacted table.
+    passes_of(spark, path, [[("v", "a0", "today"), ("v", "new", "today")]])
+    assert collect(spark, path, root, None) is None
+    assert spark.read.parquet(root + "/table").count() == len(before) + 1

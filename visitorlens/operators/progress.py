@@ -127,14 +127,20 @@ def stop_reason(
     max_seconds: int | None = None,
     venue: str = "venue",
     batch: str = "batch",
+    already: DataFrame | None = None,
 ) -> DataFrame:
     """``(venue, batch, total_added, stop_reason)``: the first pass that ends a venue's run.
 
     Reasons in order of precedence: time, target, cutoff, stagnant. Time needs a
-    timestamp ``batch``; the cutoff rule needs ``oldest_seen``. Venues that may go
-    on have no row.
+    timestamp ``batch``; the cutoff rule needs ``oldest_seen``. Rows stored before the
+    first pass, ``already(venue, n_stored)``, count towards the target. Venues that may
+    go on have no row.
     """
     table = stagnation_streak(progress(passes, venue, batch), venue, batch)
+    total = F.col("total_added")
+    if already is not None:
+        table = null_safe_join(table, already.select(venue, "n_stored"), [venue], "left")
+        total = total + F.coalesce("n_stored", F.lit(0))
     reason = F.when(F.col("stagnant") >= no_growth_limit, F.lit("stagnant"))
     if cutoff is not None and "oldest_seen" in table.columns:
         beyond = (F.col("oldest_seen") < cutoff) & (F.col("n_added") == 0)
@@ -143,7 +149,7 @@ def stop_reason(
             reason
         )
     if target is not None:
-        reason = F.when(F.col("total_added") >= target, F.lit("target")).otherwise(reason)
+        reason = F.when(total >= target, F.lit("target")).otherwise(reason)
     if max_seconds is not None:
         start = F.min(batch).over(Window.partitionBy(venue))
         table = table.withColumn(

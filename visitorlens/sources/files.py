@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -134,6 +136,55 @@ def _newest(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(newest.alias("_p")).select(*keys, "_p.*")
 
 
+def with_timings(progress: DataFrame, timings: DataFrame) -> DataFrame:
+    """Adds ``input_rows`` and ``duration_ms`` of its pass to every progress row.
+
+    ``timings`` has ``run_tag, input_rows, duration_ms, updated_at``; of repeated rows the
+    newest counts. There is one row per pass, so they are few.
+    """
+    measured = F.struct("updated_at", "input_rows", "duration_ms")
+    newest = timings.groupBy("run_tag").agg(F.max(measured).alias("_timing"))
+    joined = progress.join(newest, "run_tag", "left")
+    return joined.select(*progress.columns, "_timing.input_rows", "_timing.duration_ms")
+
+
+def compact_reviews(spark: SparkSession, path: str, max_files: int = 8) -> list[str]:
+    """Rewrite the venues of a review table that lie in more than ``max_files`` files.
+
+    Returns their names. Ingestion adds a file per venue and batch, so run this between
+    runs of it, never during one. The rows are first copied to the folder of
+    ``spark.checkpoint.dir``; then each venue's folder is replaced. The copy goes only
+    after the new files have been counted. Only file names are read to choose the venues.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        raise ValueError("set spark.checkpoint.dir: rows are copied there before they are replaced")
+    stored = spark.read.option("mergeSchema", "true").parquet(path)
+    # Numbers as venue names stay text.
+    named = T.StructType(
+        [T.StructField(f.name, T.StringType()) if f.name == "venue" else f for f in stored.schema.fields]
+    )
+    files = spark.read.schema("venue string").parquet(path)
+    per_venue = files.groupBy("venue").agg(
+        F.count_distinct("_metadata.file_path").alias("files"), F.count(F.lit(1)).alias("n")
+    )
+    crowded = per_venue.filter(F.col("files") > max_files)
+    names = [row.venue for row in crowded.select("venue").toLocalIterator()]
+    if not names:
+        return []
+    copy = f"{root.rstrip('/')}/compact-{uuid.uuid4().hex}"
+    rows = spark.read.schema(named).parquet(path)
+    rows.join(crowded.select("venue"), "venue", "left_semi").write.partitionBy("venue").parquet(copy)
+    copied = spark.read.schema(named).parquet(copy)
+    balanced = copied.hint("rebalance", "venue").write.mode("overwrite").partitionBy("venue")
+    balanced.option("partitionOverwriteMode", "dynamic").parquet(path)
+    before = copied.groupBy("venue").agg(F.count(F.lit(1)).alias("n"))
+    after = spark.read.schema("venue string").parquet(path).groupBy("venue").agg(F.count(F.lit(1)).alias("n"))
+    if not before.exceptAll(after).isEmpty():
+        raise RuntimeError(f"rows are missing after compaction; they are kept in {copy}")
+    return names
+
+
 def export_csv(df: DataFrame, path: str, single_file: bool = False) -> None:
     """CSV with header. ``single_file`` is for reports of a few rows, such as the pivot."""
     out = df.coalesce(1) if single_file else df
