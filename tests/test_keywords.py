@@ -39,8 +39,40 @@ def test_list_equals_regular_expressions(spark):
 def test_table_equals_regular_expressions(spark, monkeypatch):
     table = spark.createDataFrame([(w,) for w in [*WORDS, "seat", ""]], "keyword string")
     assert counted(kw.keyword_table_mentions(frame(spark), table)) == expected(WORDS)
-    monkeypatch.setattr(kw, "is_small", lambda df: False)
+    # The same in several passes, each with a part of the table.
+    monkeypatch.setattr(kw, "BLOCK_CHARS", 150)
     assert counted(kw.keyword_table_mentions(frame(spark), table)) == expected(WORDS)
+    assert counted(kw.keyword_table_mentions(frame(spark), table.limit(0))) == {}
+
+
+def test_marks_in_texts_and_keywords(spark):
+    texts = ["a\x01b", "a\x02ab", "a\x02 b", "a\x01", "\x01b a"]
+    words = ["a\x01b", "a\x02ab", "a", "b", "a\x02", "ab"]
+    df = spark.createDataFrame([(t, "1 star") for t in texts], "review_text string, rating string")
+    table = spark.createDataFrame([(w,) for w in words], "keyword string")
+    want = {
+        (w, "1 star"): n
+        for w in words
+        if (n := sum(bool(re.search(r"\b" + re.escape(w) + r"\b", t)) for t in texts))
+    }
+    assert counted(kw.keyword_table_mentions(df, table)) == want
+
+
+def test_a_table_of_many_first_words(spark, monkeypatch):
+    """Above ten thousand first runs of longer keywords, and the same with the few that occur."""
+    df = frame(spark)
+    many = [f"w{i} x" for i in range(12_000)] + WORDS
+    few = counted(kw.keyword_table_mentions(df, spark.createDataFrame([(w,) for w in WORDS], "keyword string")))
+    table = spark.createDataFrame([(w,) for w in many], "keyword string")
+    jobs = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("table", "before the result")
+    result = kw.keyword_table_mentions(df, table)
+    before = len(jobs.getJobIdsForGroup("table"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert counted(result) == few == expected(WORDS)
+    plan = result._jdf.queryExecution().executedPlan().toString()
+    # Measuring the table is one query; with adaptive execution a stage is a job of its own.
+    assert before <= 3 and "BroadcastHashJoin" in plan and "NestedLoop" not in plan
 
 
 def test_report_keeps_unmatched_keywords_and_order(spark):

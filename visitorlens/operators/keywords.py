@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import json
+import math
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from visitorlens.functions.expr import let
 from visitorlens.functions.text import standardize_rating
-from visitorlens.operators.scale import is_small, null_safe_join
+from visitorlens.operators.scale import null_safe_join
 from visitorlens.schema import RATING_BUCKETS
 
 # The keywords tracked when the caller names none.
@@ -27,8 +29,10 @@ DEFAULT_KEYWORDS = [
     "navigation",
 ]
 
-# Up to this many different first runs of longer keywords are tested before joining runs.
-MAX_HEADS = 10_000
+# Characters of keywords that are broadcast at once; a larger table takes several passes.
+BLOCK_CHARS = 16_000_000
+# What a keyword takes in a broadcast beside its characters.
+ENTRY_CHARS = 64
 
 # Letters, digits and underscore of any script. Spelled out because the meaning of
 # \w and \b in Java depends on the version, and is ASCII-only in recent ones.
@@ -106,33 +110,51 @@ def keyword_table_mentions(
 
     Cut a text into maximal runs of word and of other characters and drop the
     marks at its two ends. A keyword between word boundaries is then exactly a
-    sequence of whole runs, so matching is an equi-join of the keyword with the run sequences of the lengths that
-    occur in the table: no regex per pair, and no pairing of reviews with keywords.
+    sequence of whole runs. The table is indexed by its keywords' first runs: a text's
+    distinct runs are joined with that, and the few candidates of several runs are
+    verified by looking for the whole sequence in the text. A table that is too large
+    to be broadcast is cut into blocks by a hash, with one pass each; a keyword is in one
+    block, so the counts are only put together.
     """
-    cut = F.regexp_extract_all("keyword", F.lit(RUNS))
-    keys = (
-        keyword_table.select("keyword")
-        .filter(F.col("keyword") != "")
-        .distinct()
-        .select("keyword", F.size(cut).alias("_runs"), F.get(cut, F.lit(0)).alias("_head"))
+    keys = keyword_table.select("keyword").filter(F.col("keyword") != "").distinct()
+    size = F.sum(F.length("keyword") + ENTRY_CHARS)
+    blocks = math.ceil((keys.agg(size).first()[0] or 0) / BLOCK_CHARS) or 1
+    runs = F.regexp_extract_all("keyword", F.lit(RUNS))
+    keys = keys.select(
+        "keyword",
+        F.get(runs, F.lit(0)).alias("_run"),
+        F.when(F.size(runs) > 1, _marked_runs(runs)).alias("_sequence"),
     )
-    # At most as many lengths as the longest keyword has characters.
-    lengths = sorted(row["_runs"] for row in keys.select("_runs").distinct().collect())
-    longer = keys.filter(F.col("_runs") > 1).select("_head").distinct()
-    some = [row["_head"] for row in longer.limit(MAX_HEADS + 1).collect()]
-    heads = some if len(some) <= MAX_HEADS else None
-    keys = keys.select("keyword")
-    runs = _inner_runs(F.regexp_extract_all(F.lower(F.col(text)), F.lit(RUNS)))
-    sequences = let(runs, lambda r: F.array_distinct(_run_sequences(r, lengths, heads)))
-    found = reviews.select(
-        *by, standardize_rating(F.col(rating)).alias("rating"), F.explode(sequences).alias("keyword")
+    texts = reviews.select(
+        *by,
+        standardize_rating(F.col(rating)).alias("rating"),
+        _inner_runs(F.regexp_extract_all(F.lower(F.col(text)), F.lit(RUNS))).alias("_runs"),
     )
-    if is_small(keys):
-        hits = found.join(F.broadcast(keys), "keyword")
+    # Marked before the explode, or it would be done for every run.
+    marked = texts.withColumn("_text", _marked_runs(F.col("_runs")))
+    found = marked.select(*by, "rating", "_text", F.explode(F.array_distinct("_runs")).alias("_run"))
+
+    def counted(part: DataFrame) -> DataFrame:
+        hits = found.join(F.broadcast(part), "_run")
+        hits = hits.filter(F.col("_sequence").isNull() | F.contains("_text", F.col("_sequence")))
         return hits.groupBy(*by, "keyword", "rating").agg(F.count(F.lit(1)).alias("n"))
-    # Counting first leaves one row per sequence and rating, so no key is hot in the join.
-    counted = found.groupBy(*by, "keyword", "rating").agg(F.count(F.lit(1)).alias("n"))
-    return counted.join(keys, "keyword", "left_semi")
+
+    if blocks == 1:
+        return counted(keys)
+    block = F.pmod(F.xxhash64("keyword"), F.lit(blocks))
+    return reduce(DataFrame.unionByName, [counted(keys.filter(block == i)) for i in range(blocks)])
+
+
+def _marked_runs(runs: Column) -> Column:
+    """Runs with a mark before, between and after them, so that whole runs can be found.
+
+    A mark that stands in a text is escaped: the mark and its escape are no word
+    characters, so a run of word characters never holds them.
+    """
+    escaped = F.transform(
+        runs, lambda r: F.replace(F.replace(r, F.lit("\x02"), F.lit("\x02b")), F.lit("\x01"), F.lit("\x02a"))
+    )
+    return F.concat(F.lit("\x01"), F.array_join(escaped, "\x01"), F.lit("\x01"))
 
 
 def _inner_runs(runs: Column) -> Column:
@@ -146,28 +168,6 @@ def _inner_runs(runs: Column) -> Column:
     )
 
 
-def _run_sequences(runs: Column, lengths: Sequence[int], heads: Sequence[str] | None) -> Column:
-    """All sequences of consecutive runs of the given lengths, concatenated.
-
-    Sequences of several runs start only at the given ``heads``, if there are any.
-    """
-    single = runs if 1 in lengths else F.slice(runs, 1, 0)
-    several = [n for n in lengths if n > 1]
-    if not several:
-        return single
-    starts = F.array_compact(
-        F.transform(
-            runs, lambda run, i: F.when(F.lit(True) if heads is None else run.isin(heads), i)
-        )
-    )
-
-    def joined(at: Column, n: int) -> Column:
-        fitting = F.filter(at, lambda i: i + n <= F.size(runs))
-        return F.transform(fitting, lambda i: F.array_join(F.slice(runs, i + 1, F.lit(n)), ""))
-
-    return let(starts, lambda at: F.concat(single, *[joined(at, n) for n in several]))
-
-
 def keyword_by_rating(
     reviews: DataFrame,
     keywords: Sequence[str] = DEFAULT_KEYWORDS,

@@ -148,15 +148,18 @@ def with_timings(progress: DataFrame, timings: DataFrame) -> DataFrame:
     return joined.select(*progress.columns, "_timing.input_rows", "_timing.duration_ms")
 
 
-def compact_reviews(spark: SparkSession, path: str, max_files: int = 8) -> list[str]:
+def compact_reviews(
+    spark: SparkSession, path: str, max_files: int = 8, copy_to: str | None = None
+) -> list[str]:
     """Rewrite the venues of a review table that lie in more than ``max_files`` files.
 
     Returns their names. Ingestion adds a file per venue and batch, so run this between
-    runs of it, never during one. The rows are first copied to the folder of
-    ``spark.checkpoint.dir``; then each venue's folder is replaced. The copy goes only
-    after the new files have been counted. Only file names are read to choose the venues.
+    runs of it, never during one. The rows are first copied to ``copy_to``, by default the
+    folder of ``spark.checkpoint.dir``; then each venue's folder is replaced and counted.
+    The copy stays there until it is deleted by hand. Only file names are read to choose
+    the venues.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    root = copy_to or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         raise ValueError("set spark.checkpoint.dir: rows are copied there before they are replaced")
     stored = spark.read.option("mergeSchema", "true").parquet(path)
