@@ -75,12 +75,21 @@ def test_repeated_terms_and_lexicon_sizes_have_one_rule(spark, monkeypatch):
     table = spark.createDataFrame(twice, "term string, valence double")
     rows = frame(spark).unionAll(frame(spark))
     scored = [sn.sentiment_scores(rows, s) for s in (SPEC, sn.SentimentWords(table))]
-    monkeypatch.setattr(sn, "MAX_LITERAL_ENTRIES", 3)
+    monkeypatch.setattr(sn, "MAX_CONSTANT_BYTES", 30)
     scored += [sn.sentiment_scores(rows, s) for s in (SPEC, sn.SentimentWords(table))]
     results = [sorted((r.i, round(r.compound, 4)) for r in s.collect()) for s in scored]
     assert results[0] == results[1] == results[3] and len(results[0]) == 2 * len(GOLDEN)
 
 
+def test_a_lexicon_of_usual_size_and_an_empty_one(spark):
+    many = {**{f"term{i}é": (i % 80 - 40) / 10 for i in range(7500)}, **LEXICON}
+    for words in (many, spark.createDataFrame(list(many.items()), "term string, valence double")):
+        got = {r.i: r.compound for r in sn.sentiment_scores(frame(spark), sn.SentimentWords(words)).collect()}
+        assert [i for i in got if abs(got[i] - GOLDEN[i][1]) > 1e-9] == []
+    nothing = sn.sentiment_scores(frame(spark), sn.SentimentWords({}))
+    assert {r.compound for r in nothing.collect()} == {0.0}
+
+
 def test_labels_conserve_rows_and_columns(spark):
     labelled = sn.sentiment_labels(frame(spark), SPEC)
     assert labelled.columns == ["i", "review_text", "sentiment"]

@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterable, Mapping, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from visitorlens.functions.expr import MAX_LITERAL_ENTRIES, let, literal_lookup
+from visitorlens.functions.expr import let
 from visitorlens.functions.scores import label_sentiment
 from visitorlens.functions.text import strip
 from visitorlens.operators.scale import hot_key_join
 
+# Bytes of a lexicon that may travel as a constant in the plan.
+MAX_CONSTANT_BYTES = 1_000_000
+# What an entry takes beside its term.
+ENTRY_BYTES = 16
+
 # Fixed values of the published method: empirical increments and factors.
 CAPS_INCREMENT = 0.733
 BOOST = 0.293
@@ -261,22 +267,32 @@ def sentiment_scores(
     """Adds ``compound``. Null or blank text scores 0.
 
     A term that a lexicon table lists several times has the mean of its valences.
-    A lexicon of up to 50,000 terms becomes a constant of the plan: one narrow
-    pass, no join, no shuffle. A larger one is joined with the distinct words of
-    the distinct texts instead, with the same result.
+    A lexicon of up to a megabyte becomes a constant of the plan: one narrow pass, no
+    join, no shuffle. A larger one is joined with the distinct words of the distinct
+    texts instead, with the same result.
     """
     lexicon = spec.lexicon
-    if not isinstance(lexicon, DataFrame) and len(lexicon) > MAX_LITERAL_ENTRIES:
-        rows = [(term, float(valence)) for term, valence in lexicon.items()]
-        lexicon = reviews.sparkSession.createDataFrame(rows, "term string, valence double")
+    if not isinstance(lexicon, DataFrame):
+        if sum(len(t.encode()) + ENTRY_BYTES for t in lexicon) > MAX_CONSTANT_BYTES:
+            rows = [(term, float(valence)) for term, valence in lexicon.items()]
+            lexicon = reviews.sparkSession.createDataFrame(rows, "term string, valence double")
     if isinstance(lexicon, DataFrame):
         entries = lexicon_entries(lexicon)
-        some = entries.limit(MAX_LITERAL_ENTRIES + 1).collect()
-        if len(some) > MAX_LITERAL_ENTRIES:
+        size = entries.agg(F.sum(F.octet_length("term") + ENTRY_BYTES)).first()[0] or 0
+        if size > MAX_CONSTANT_BYTES:
             return score_with_lexicon_table(reviews, spec, text, entries)
-        lexicon = {row.term: row.valence for row in some}
-    lookup = literal_lookup(reviews.sparkSession, lexicon)
-    return reviews.withColumn("compound", compound_score(F.col(text), spec, lookup))
+        lexicon = {row.term: row.valence for row in entries.collect()}
+    return reviews.withColumn("compound", compound_score(F.col(text), spec, constant_valences(lexicon)))
+
+
+def constant_valences(lexicon: Mapping[str, float]) -> Callable[[Column], Column]:
+    """Valence of a word, or null. Spark keeps an IN list as a hash set, which nearly all
+    words fail; only the few that pass are looked up in the map."""
+    terms = sorted(lexicon)
+    table = F.from_json(F.lit(json.dumps({t: float(lexicon[t]) for t in terms})), "map<string,double>")
+    if not terms:
+        return lambda word: F.lit(None).cast("double")
+    return lambda word: F.when(word.isin(terms), F.try_element_at(table, word))
 
 
 def lexicon_entries(lexicon: DataFrame) -> DataFrame:
