@@ -17,9 +17,9 @@ def test_pivot(df):
     assert {r.venue: r["5 stars"] for r in got} == {None: 2, "v": 3}
 
 
-@pytest.mark.parametrize("broadcast_groups", [2_000, 0])
-def test_tfidf(df, monkeypatch, broadcast_groups):
-    monkeypatch.setattr(terms, "MAX_BROADCAST_GROUPS", broadcast_groups)
+@pytest.mark.parametrize("broadcast_rows", [2_000, 0])
+def test_tfidf(df, monkeypatch, broadcast_rows):
+    monkeypatch.setattr(terms, "BROADCAST_ROWS", broadcast_rows)
     got = terms.tfidf_top_terms(df, by=["venue"]).collect()
     assert {r.venue for r in got} == {None, "v"}
 

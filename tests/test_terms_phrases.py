@@ -51,7 +51,7 @@ def test_tfidf_equals_brute_force(corpus):
 @pytest.mark.parametrize("groups", [2_000, 0])
 def test_tfidf_per_venue_equals_single_runs(corpus, monkeypatch, groups):
     data, df = corpus
-    monkeypatch.setattr(terms, "MAX_BROADCAST_GROUPS", groups)
+    monkeypatch.setattr(terms, "BROADCAST_ROWS", groups)
     got = defaultdict(list)
     for r in terms.tfidf_top_terms(df, by=["venue"]).collect():
         got[r.venue].append((r.term, round(r.score, 9)))

@@ -7,7 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from visitorlens.functions.expr import let
 from visitorlens.functions.text import (
     ENGLISH_STOP_WORDS,
     content_tokens,
@@ -15,14 +14,12 @@ from visitorlens.functions.text import (
     ngrams,
     tokenize,
 )
-from visitorlens.operators.scale import is_small, null_safe_join, salted_join, top_per_group
+from visitorlens.operators.scale import BROADCAST_ROWS, null_safe_join, top_per_group
 
 # Size of the vocabulary, of the report, and the n-gram range.
 MAX_FEATURES = 50
 TOP_TERMS = 20
 NGRAM_RANGE = (1, 2)
-# A vocabulary is a few kilobytes; up to this many groups are broadcast together.
-MAX_BROADCAST_GROUPS = 2_000
 
 
 def document_terms(
@@ -70,39 +67,6 @@ def top_terms_by_count(
     return counted.orderBy(*order).limit(k)
 
 
-def _weights(terms: Column, vocabulary: Column) -> Column:
-    """``array<struct<term, weight>>``: L2-normalised tf-idf of the vocabulary terms in a document.
-
-    Terms the document lacks are left out, so a document with none contributes nothing.
-    """
-
-    def weigh(known: Column) -> Column:
-        counted = F.transform(
-            vocabulary,
-            lambda v: F.struct(
-                v["term"].alias("term"),
-                (F.size(F.filter(known, lambda t: t == v["term"])) * v["idf"]).alias("w"),
-            ),
-        )
-        present = F.filter(counted, lambda c: c["w"] > 0)
-
-        def normalise(weights: Column) -> Column:
-            squares = F.aggregate(weights, F.lit(0.0), lambda acc, c: acc + c["w"] * c["w"])
-            return let(
-                F.sqrt(squares),
-                lambda norm: F.transform(
-                    weights,
-                    lambda c: F.struct(c["term"].alias("term"), (c["w"] / norm).alias("weight")),
-                ),
-            )
-
-        return let(present, normalise)
-
-    words = F.transform(vocabulary, lambda v: v["term"])
-    kept = let(words, lambda known: F.filter(terms, lambda t: F.array_contains(known, t)))
-    return let(kept, weigh)
-
-
 def tfidf_top_terms(
     reviews: DataFrame,
     by: Sequence[str] = (),
@@ -114,62 +78,63 @@ def tfidf_top_terms(
 ) -> DataFrame:
     """``(*by, term, score)``: top terms by tf-idf weight summed over all documents.
 
-    The vocabulary is the ``max_features`` most frequent terms; every row counts
-    as a document, also empty ones. Two passes over the text: the first counts
-    n-grams and leaves at most ``max_features`` terms per group; in the second a
-    document computes its normalised weights inside its own row, and only the
-    per-task sums of at most ``max_features`` terms are shuffled.
+    The vocabulary is the ``max_features`` most frequent terms; every row counts as a
+    document, also empty ones. Two passes over the text: the first only counts n-grams
+    and leaves at most ``max_features`` terms per group; the second joins the terms of
+    every document with them. Of a document only its counts of terms in the vocabulary are
+    shuffled; document frequencies and norms come from those.
     """
-    vocabulary = _vocabulary(reviews, by, max_features, text, stop_words, sizes)
     terms = document_terms(F.col(text), stop_words, sizes)
-    if not by:
-        joined = reviews.select(terms.alias("_terms"), vocabulary.scalar().alias("_vocab"))
+    counts = reviews.select(*by, F.explode(terms).alias("term")).groupBy(*by, "term")
+    frequent = top_terms_by_count(counts.agg(F.count(F.lit(1)).alias("n")), max_features, by)
+    frequent = frequent.select(*by, "term")
+    vocabulary = _as_broadcast(frequent)
+    documents = reviews.select(*by, F.monotonically_increasing_id().alias("_doc"), terms.alias("_terms"))
+    if vocabulary is None:
+        # Too large to be sent: documents are reduced to their distinct terms before the shuffle.
+        found = documents.select(*by, "_doc", F.inline(count_terms(F.col("_terms"))))
+        matched = _of_groups(found, frequent, by)
     else:
-        documents = reviews.select(*by, terms.alias("_terms"))
-        if is_small(reviews.select(*by).distinct(), MAX_BROADCAST_GROUPS):
-            joined = null_safe_join(documents, F.broadcast(vocabulary), by)
-        else:
-            joined = salted_join(documents, vocabulary, by)
-    scored = (
-        joined.select(*by, F.inline(_weights(F.col("_terms"), F.col("_vocab"))))
-        .groupBy(*by, "term")
-        .agg(F.sum("weight").alias("score"))
+        found = documents.select(*by, "_doc", F.explode("_terms").alias("term"), F.lit(1).alias("tf"))
+        matched = _of_groups(found, vocabulary, by)
+    # At most ``max_features`` rows per document from here on.
+    counted = matched.groupBy(*by, "_doc", "term").agg(F.sum("tf").alias("tf"))
+    used = counted.groupBy(*by, "term").agg(F.count(F.lit(1)).alias("n_docs"))
+    total = reviews.groupBy(*by).agg(F.count(F.lit(1)).alias("n_all"))
+    used = null_safe_join(used, total, by) if by else used.withColumn("n_all", total.scalar())
+    idf = F.log((1 + F.col("n_all")) / (1 + F.col("n_docs"))) + 1
+    used = used.select(*by, "term", idf.alias("idf"))
+    weighed = _of_groups(counted, used if vocabulary is None else F.broadcast(used), by)
+    weighed = weighed.select(*by, "_doc", "term", (F.col("tf") * F.col("idf")).alias("w"))
+    normed = weighed.groupBy(*by, "_doc").agg(
+        F.collect_list(F.struct("term", "w")).alias("_weights"),
+        F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("_norm"),
     )
+    weights = normed.select(*by, "_norm", F.inline("_weights"))
+    scored = weights.groupBy(*by, "term").agg(F.sum(F.col("w") / F.col("_norm")).alias("score"))
     order = [F.desc("score"), F.asc("term")]
     if by:
         return top_per_group(scored, by, order, k)
     return scored.orderBy(*order).limit(k)
 
 
-def _vocabulary(
-    reviews: DataFrame,
-    by: Sequence[str],
-    max_features: int,
-    text: str,
-    stop_words: Sequence[str],
-    sizes: tuple[int, int],
-) -> DataFrame:
-    """One row per group: its terms in alphabetical order with their smoothed idf."""
-    counted = term_doc_frequency(reviews, by, text, stop_words, sizes)
-    kept = top_terms_by_count(counted, max_features, by)
-    sizes_of = reviews.groupBy(*by).agg(F.count(F.lit(1)).alias("n_all"))
-    listed = kept.groupBy(*by).agg(
-        F.sort_array(F.collect_list(F.struct("term", "n_docs"))).alias("_kept")
-    )
-    if by:
-        listed = null_safe_join(listed, sizes_of, by)
-        total = F.col("n_all")
-    else:
-        total = sizes_of.scalar()
-        listed = listed.withColumn("n_all", total)
-    idf = F.transform(
-        "_kept",
-        lambda v: F.struct(
-            v["term"].alias("term"),
-            (F.log((1 + F.col("n_all")) / (1 + v["n_docs"])) + 1).alias("idf"),
-        ),
-    )
-    return listed.select(*by, idf.alias("_vocab"))
+def _of_groups(rows: DataFrame, terms: DataFrame, by: Sequence[str]) -> DataFrame:
+    """``rows`` whose group and term ``terms`` has, with its other columns. Groups may be
+    null, terms are not: an ordinary key is faster."""
+    known = terms.withColumnsRenamed({c: f"_of_{c}" for c in (*by, "term")})
+    same = F.col("term") == F.col("_of_term")
+    for c in by:
+        same &= F.col(c).eqNullSafe(F.col(f"_of_{c}"))
+    return rows.join(known, same).drop(*[f"_of_{c}" for c in (*by, "term")])
+
+
+def _as_broadcast(df: DataFrame, max_rows: int | None = None) -> DataFrame | None:
+    """``df`` computed once, to be broadcast, if it has no more rows than that; else None."""
+    limit = BROADCAST_ROWS if max_rows is None else max_rows
+    rows = df.limit(limit + 1).collect()
+    if len(rows) > limit:
+        return None
+    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
 
 
 def top_bigrams(
