@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -48,7 +50,7 @@ TOP_ITEMS = 10
 SEEDS_PER_BLOCK = 2_000
 
 
-def _similarity_udf(topics: list[str], matrices: list[np.ndarray]):
+def _similarity_udf(n_topics: int, matrices: Broadcast):
     """Vectorised kernel: a batch of vectors against the unit seed vectors of every topic."""
 
     @F.arrow_udf(T.ArrayType(T.DoubleType()))
@@ -60,9 +62,9 @@ def _similarity_udf(topics: list[str], matrices: list[np.ndarray]):
         rows = np.divide(rows, norms, out=np.zeros_like(rows), where=norms > 0)
         # A topic without seeds in this block scores below any cosine.
         scores = np.column_stack(
-            [(rows @ seeds.T).max(axis=1, initial=-2.0) for seeds in matrices]
+            [(rows @ seeds.T).max(axis=1, initial=-2.0) for seeds in matrices.value]
         )
-        offsets = np.arange(len(rows) + 1, dtype="int32") * len(matrices)
+        offsets = np.arange(len(rows) + 1, dtype="int32") * n_topics
         return pa.ListArray.from_arrays(pa.array(offsets), pa.array(scores.reshape(-1)))
 
     return best
@@ -85,10 +87,11 @@ def seed_similarity(
 
     ``seeds`` has ``topic`` and ``embedding``; all vectors have the same length. A null or
     zero vector has similarity 0 to every topic; repeated items stay repeated; seeds
-    without a topic or vector are left out. The seeds are the caller's topic lists: they
-    are fetched, and every item is compared with them inside its own task in Arrow
-    batches, one block of seeds after the other (interpreted array lambdas take a hundred
-    times as long on dense vectors). No row per item and seed exists.
+    without a topic or vector are left out. The topics are few, as each is a part of the
+    result; their seeds may be many: the driver holds one block of them at a time and
+    broadcasts it, and every item is compared with it inside its own task in Arrow batches
+    (interpreted array lambdas take a hundred times as long on dense vectors). All blocks
+    take one pass over the items, and no row per item and seed exists.
     """
     carried = [c for c in items.columns if c != vector]
     topics, best = _best_scores(seeds, vector, block)
@@ -105,18 +108,22 @@ def seed_similarity(
 
 
 def _best_scores(seeds: DataFrame, vector: str, block: int) -> tuple[list[str], Column]:
-    """Topics, and the array of a vector's best cosine to a seed of each of them."""
-    fetched = seeds.select("topic", "embedding").dropna().collect()
-    topics = sorted({row.topic for row in fetched})
-    width = len(fetched[0].embedding) if fetched else 0
-    known = F.coalesce(F.col(vector).cast("array<double>"), F.array_repeat(F.lit(0.0), width))
+    """Topics, and the array of a vector's best cosine to a seed of each of them.
+
+    The seeds come to the driver one block after the other and leave it as a broadcast.
+    """
+    context = seeds.sparkSession.sparkContext
+    known = seeds.select("topic", "embedding").dropna()
+    topics = sorted(row.topic for row in known.select("topic").distinct().collect())
+    fetched = known.toLocalIterator()
     best = None
-    for at in range(0, len(fetched), block):
-        part = fetched[at : at + block]
+    while part := list(islice(fetched, block)):
+        width = len(part[0].embedding)
         matrices = [
             _unit_rows([r.embedding for r in part if r.topic == t], width) for t in topics
         ]
-        scores = _similarity_udf(topics, matrices)(known)
+        given = F.coalesce(F.col(vector).cast("array<double>"), F.array_repeat(F.lit(0.0), width))
+        scores = _similarity_udf(len(topics), context.broadcast(matrices))(given)
         best = scores if best is None else F.zip_with(best, scores, lambda a, b: F.greatest(a, b))
     return topics, best
 
@@ -158,11 +165,11 @@ def assign_topics(
         )
         for rank, t in enumerate(named)
     ]
-    chosen = items.select(*carried, best.alias("_s")).withColumn(
-        "_best", F.array_max(F.array(*options))
-    )
-    out = chosen.select(*carried, "_best.topic", "_best.score")
-    return out.filter(F.col("score") >= threshold)
+    chosen = items.select(*carried, best.alias("_s"))
+    # The threshold is tested inside the row: a filter would be pushed down to the scan, and
+    # the similarities with it, to be computed twice.
+    reached = F.filter(F.array(F.array_max(F.array(*options))), lambda b: b["score"] >= threshold)
+    return chosen.select(*carried, F.inline(reached)).select(*carried, "topic", "score")
 
 
 def topic_items(
@@ -218,26 +225,40 @@ def topic_top_items(
 def embed_hashed(
     items: DataFrame, text: str, dimensions: int = 512, out: str = "embedding"
 ) -> DataFrame:
-    """Adds a unit vector of hashed character trigrams.
+    """Adds a unit vector of character trigrams, each counted at a place found by arithmetic.
 
     A stand-in for a sentence model when no embedding table is at hand: it sees
-    spelling, not meaning. Runs in the JVM.
+    spelling, not meaning. The place of a trigram is a number made of its three character
+    codes, modulo ``dimensions``. Null text is an empty one.
     """
-    from pyspark.ml.feature import HashingTF, Normalizer
-    from pyspark.ml.functions import vector_to_array
-
     padded = F.concat(F.lit(" "), F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(" "))
-    starts = F.sequence(F.lit(1), F.greatest(F.length(padded) - 2, F.lit(1)))
-    grams = items.withColumn(
-        "_grams", F.transform(starts, lambda i: F.substring(padded, i, F.lit(3)))
-    )
-    counted = HashingTF(numFeatures=dimensions, inputCol="_grams", outputCol="_tf").transform(
-        grams
-    )
-    unit = Normalizer(inputCol="_tf", outputCol="_unit").transform(counted)
-    return unit.withColumn(out, vector_to_array("_unit", "float32")).drop(
-        "_grams", "_tf", "_unit"
+
+
+    def place(at: Column) -> Column:
+        first, second, third = (
+            F.ascii(F.substring(F.col("_chars"), at + i, F.lit(1))).cast("long") for i in range(3)
+        )
+        return F.pmod(first * 961 + second * 31 + third, F.lit(dimensions)).cast("int")
+
+    starts = F.sequence(F.lit(1), F.greatest(F.length("_chars") - 2, F.lit(1)))
+    found = items.withColumn("_chars", padded)
+    found = found.withColumn("_places", F.sort_array(F.transform(starts, place)))
+    found = found.withColumn("_at", F.array_distinct("_places"))
+    count = F.transform("_at", lambda p: F.size(F.filter("_places", lambda x: x == p)).cast("double"))
+    found = found.withColumn("_n", count)
+    squares = F.aggregate("_n", F.lit(0.0), lambda total, c: total + c * c)
+    found = found.withColumn("_norm", F.sqrt(squares))
+    # The counts at the sorted places, with runs of zeros between them.
+    before = F.transform(
+        "_at",
+        lambda p, i: F.concat(
+            F.array_repeat(F.lit(0.0), p - F.coalesce(F.get("_at", i - 1), F.lit(-1)) - 1),
+            F.array(F.get("_n", i) / F.col("_norm")),
+        ),
     )
+    after = F.array_repeat(F.lit(0.0), F.lit(dimensions - 1) - F.array_max("_at"))
+    unit = found.withColumn(out, F.concat(F.flatten(before), after))
+    return unit.drop("_chars", "_places", "_at", "_n", "_norm")
 
 
 def seed_table(spark, seeds: Mapping[str, Sequence[str]] = DEFAULT_SEEDS) -> DataFrame:

@@ -393,6 +393,35 @@ best AS (SELECT * FROM sc QUALIFY row_number()
     OVER (PARTITION BY phrase ORDER BY score DESC, topic DESC) = 1)
 SELECT phrase, topic, n, round(score, 6) AS score FROM best WHERE score >= 0.35"""
 
+
+
+def trigrams(source: str, text: str, keys: str) -> str:
+    """Counts of a text's character trigrams by place, for texts that are not empty."""
+    char = "unicode(substr(' ' || lower({t}) || ' ', CAST(i + {k} AS INT), 1))"
+    code = " + ".join(f"{char.format(t=text, k=k)} * {m}" for k, m in enumerate((961, 31, 1)))
+    return f"""SELECT {keys}, ({code}) % 512 AS place, count(*) AS c
+  FROM {source}, range(1, length({text}) + 1) AS r(i) GROUP BY ALL"""
+
+
+ORACLE["phrase_topic_hashed"] = f"""WITH {rake("")},
+seeds AS (SELECT * FROM {_SEEDS} x(topic, seed)),
+sg AS MATERIALIZED ({trigrams("seeds", "seed", "topic, seed")}),
+pg AS MATERIALIZED ({trigrams("ranked", "phrase", "phrase")}),
+sn AS (SELECT topic, seed, sqrt(sum(c * c)) AS norm FROM sg GROUP BY ALL),
+pn AS (SELECT phrase, sqrt(sum(c * c)) AS norm FROM pg GROUP BY ALL),
+dots AS (SELECT phrase, topic, seed, sum(pg.c * sg.c) AS dot FROM pg JOIN sg USING (place) GROUP BY ALL),
+sim AS (SELECT phrase, topic, max(dot / (pn.norm * sn.norm)) AS similarity
+  FROM dots JOIN pn USING (phrase) JOIN sn USING (topic, seed) GROUP BY ALL),
+found AS (SELECT phrase, n, rake, n / (SELECT max(n) FROM ranked) AS freq FROM ranked),
+sc AS (SELECT phrase, n, rake, topic, 0.7 * coalesce(similarity, 0) + 0.3 * freq AS score
+  FROM found CROSS JOIN (VALUES ('ux'), ('architecture')) AS t(topic) LEFT JOIN sim USING (phrase, topic)),
+best AS (SELECT * FROM sc QUALIFY row_number()
+    OVER (PARTITION BY phrase ORDER BY score DESC, topic DESC) = 1),
+placed AS (SELECT topic, row_number() OVER (PARTITION BY topic
+    ORDER BY round(score, 9) DESC, rake DESC, phrase DESC) AS rank, phrase, n, score
+  FROM best WHERE score >= 0.35)
+SELECT topic, rank, phrase, n, round(score, 6) AS score FROM placed WHERE rank <= 10"""
+
 # Sentiment
 
 

@@ -347,6 +347,8 @@ def phrase_topic_hashed(spark, sf):
     """Keyphrases of all reviews to topics, embedded by hashed character trigrams."""
     ranked = phrases.score_phrases(phrases.candidate_phrases(fx.texts(spark, sf)))
     assigned = topics.phrase_topics(phrases.phrase_frequency(ranked), topics.embed_hashed)
+    # Equal scores are equal in the ranking too, however their sums were rounded.
+    assigned = assigned.withColumn("score", F.round("score", 9))
     top = topics.topic_top_items(assigned, ties=[F.desc("rake")], item_id="phrase")
     return _rounded(top.select("topic", "rank", "phrase", "n", "score"), "score")
 
