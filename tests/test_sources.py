@@ -70,6 +70,23 @@ def test_csv_files_with_headers_of_their_own(spark):
     ]
 
 
+def test_headers_of_very_many_files_take_few_jobs(spark):
+    path = folder()
+    for i in range(300):
+        columns = REVIEW_COLUMNS if i % 2 else [*reversed(REVIEW_COLUMNS)]
+        values = {c: f"{c}-{i}" for c in REVIEW_COLUMNS} | {"is_local_guide": "True"}
+        with open(f"{path}/f{i:04d}.csv", "w") as f:
+            f.write(",".join(columns) + "\n" + ",".join(values[c] for c in columns) + "\n" if i else "")
+    spark.sparkContext.setJobGroup("headers", "reading headers")
+    df = files.read_reviews_csv(spark, path)
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("headers"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    # Listing, first lines, and one header for each of the two kinds of files.
+    assert jobs <= 12
+    got = df.select("review_id", "review_text").collect()
+    assert sorted(map(tuple, got)) == sorted((f"review_id-{i}", f"review_text-{i}") for i in range(1, 300))
+
+
 def test_progress_documents(spark):
     path = folder() + "/progress"
     schema = spark.createDataFrame([], "venue string, run_tag string, batch long, n_added long").schema

@@ -28,21 +28,32 @@ def read_reviews_csv(spark: SparkSession, path: str) -> DataFrame:
     by name. Quoted newlines make a CSV file unsplittable: convert it once with
     ``append_reviews`` and analyse that.
     """
-    files = sorted(_files_of(spark, path))
-    by_header: dict[tuple[str, ...], list[str]] = {}
-    for file in files or [path]:
-        by_header.setdefault(tuple(csv_columns(spark, file)), []).append(file)
-    parts = [_read_csv(spark, group, list(header)) for header, group in by_header.items()]
+    groups: dict[tuple[str, ...], list[str]] = {}
+    for files in _files_by_header(spark, path) or [[path]]:
+        groups.setdefault(tuple(csv_columns(spark, files[:1])), []).extend(files)
+    parts = [_read_csv(spark, sorted(files), list(header)) for header, files in groups.items()]
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part, allowMissingColumns=True)
     return out
 
 
-def _files_of(spark: SparkSession, path: str) -> list[str]:
-    """Paths of the files below ``path``, wherever Spark can read them."""
-    listed = spark.read.format("binaryFile").load(path).select("path", "length")
-    return [row.path for row in listed.filter("length > 0").select("path").collect()]
+def _files_by_header(spark: SparkSession, path: str) -> list[list[str]]:
+    """Paths of the files below ``path`` that hold anything, grouped by their first line.
+
+    One job over the beginnings of all files, wherever Spark can read them; of a file only
+    its first line leaves the task. Headers with line breaks in their names fall into more
+    groups than need be, which does no harm.
+    """
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("path"),
+        F.col("_metadata.file_block_start").alias("start"),
+        F.monotonically_increasing_id().alias("line"),
+        "value",
+    )
+    firsts = lines.filter("start = 0").groupBy("path").agg(F.min_by("value", "line").alias("header"))
+    grouped = firsts.groupBy("header").agg(F.sort_array(F.collect_list("path")).alias("paths"))
+    return [row.paths for row in grouped.orderBy("header").collect()]
 
 
 def _read_csv(spark: SparkSession, path: list[str], header: list[str]) -> DataFrame:
