@@ -20,19 +20,15 @@ def plain_places(text):
 
 
 def plain_notices(text, templates, threshold):
-    span = max(len(plain_words(t)) for t in templates.values())
-    lines = [w for w in map(plain_words, (text or "").split("\n")) if w]
-    best = {}
-    for k in range(len(lines)):
-        block, at = [], k
-        while at < len(lines) and (at == k or len(block) < span):
-            block += lines[at]
-            at += 1
-        for label, template in templates.items():
-            words = set(plain_words(template))
-            share = len(words & set(block)) / len(words)
-            if share >= threshold:
-                best[label] = max(best.get(label, 0), share)
+    """Every block of every template, counted anew."""
+    words, best = plain_words(text), {}
+    for label, template in templates.items():
+        of = plain_words(template)
+        size = len(of) + max(1, len(of) // 4)
+        blocks = [words[i : i + size] for i in range(max(1, len(words) - size + 1))]
+        share = max(len(set(of) & set(b)) for b in blocks) / len(set(of))
+        if share >= threshold:
+            best[label] = share
     return sorted(best.items())
 
 
@@ -61,6 +57,17 @@ def test_all_pairs_as_brute_force(spark):
     assert sum(bool(r.notices) for r in got) > 40
 
 
+def test_notices_across_line_ends_but_not_scattered_words(spark):
+    notice = "This work is licensed under a Creative Commons\nAttribution 4.0 International License"
+    filler = " ".join(f"w{i}" for i in range(300))
+    scattered = "released " + filler + " under " + filler + " the " + filler + " license"
+    rows = [(1, f"{filler} {notice} {filler}"), (2, scattered), (3, notice * 2), (4, f"{filler}\nReleased under\nthe MIT\nLicense")]
+    got = lc.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    labels = {r.doc_id: [n.label for n in r.notices] for r in got}
+    assert "cc-by-4.0-notice" in labels[1] and "cc-by-4.0-notice" in labels[3]
+    assert labels[2] == [] and labels[4] == ["mit-notice"]
+
+
 def test_report(spark):
     docs = spark.createDataFrame(
         [(1, "A.\nLicensed under CC BY-NC 4.0.\nMIT license"), (2, None)], "doc_id long, text string"

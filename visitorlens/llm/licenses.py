@@ -1,15 +1,17 @@
 """License scan: exact set-similarity join between text blocks and license templates.
 
-A *block* starts at a line of the text and takes in as many following lines as it needs
-to hold ``max template words`` words, so that a notice wrapped over several lines is one
-block. A block *meets* a template when it holds at least ``threshold`` of the template's
-distinct words. All such pairs are found, with the filters of a prefix join:
+The *blocks* of a template of ``n`` words are all runs of ``n`` words and a stated slack that
+stand one after another in the text, across line ends (``block_words``). A block *meets*
+the template when it holds at least ``threshold`` of its distinct words; scattered words
+do not. All such pairs are found, with the filters of a prefix join:
 
 * words are ordered globally by the number of documents that hold them, rarest first;
 * prefix: to reach the overlap ``o``, a block must hold one of the template's
   ``size - o + 1`` rarest words, so only blocks around such a word are looked at;
-* length: a block with fewer than ``o`` template words can't reach it;
-* position: what is left in both ordered lists after a common word bounds the overlap.
+* length: where fewer than ``o`` template words stand around it, no block can reach it;
+* position: the rarest word around it bounds the overlap by what follows it in the order.
+
+What is left is counted by one walk over the template's words around the prefix words.
 
 Beside that, the places of given phrases are counted exactly.
 
@@ -21,6 +23,7 @@ no rows; columns other than the two named are not looked at.
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Callable, Iterable, Mapping, Sequence
 from dataclasses import dataclass
 
@@ -62,8 +65,8 @@ TEMPLATES = {
 }
 THRESHOLD = 0.8
 
-# Bytes outside words become spaces (line ends stay apart), A-Z become a-z; bytes of
-# letters beyond ASCII are word characters.
+# Bytes outside words become spaces, A-Z become a-z; bytes of letters beyond ASCII are word
+# characters.
 _WORD_BYTES = bytes(
     b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32
     for b in range(256)
@@ -77,13 +80,9 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(_WORD_BYTES).split()
 
 
-def lines_of(text: str | None) -> list[list[bytes]]:
-    if not text:
-        return []
-    return [
-        line.translate(_WORD_BYTES).split()
-        for line in text.encode("utf-8", "surrogatepass").split(b"\n")
-    ]
+def block_words(template_words: int) -> int:
+    """Words of a block: those of the template and a quarter more, one at least."""
+    return template_words + max(1, template_words // 4)
 
 
 @dataclass
@@ -91,11 +90,10 @@ class TemplateIndex:
     """Templates as word lists in the global order, and their prefixes."""
 
     labels: list[str]
-    ordered: list[list[bytes]]
+    order: list[dict[bytes, int]]  # place of each distinct word of a template in the order
     need: list[int]
-    rank: dict[bytes, tuple[int, bytes]]
-    prefixes: dict[bytes, list[tuple[int, int]]]
-    span: int
+    span: list[int]
+    prefixes: dict[bytes, list[int]]  # prefix word -> templates
 
     @classmethod
     def build(
@@ -103,74 +101,65 @@ class TemplateIndex:
     ) -> TemplateIndex:
         labels = sorted(templates)
         lists = [words_of(templates[label]) for label in labels]
-        vocabulary = {w for words in lists for w in words}
-        rank = {w: (frequency.get(w, 0), w) for w in vocabulary}
-        ordered = [sorted(set(words), key=rank.__getitem__) for words in lists]
+        ordered = [sorted(set(words), key=lambda w: (frequency.get(w, 0), w)) for words in lists]
         # A tolerance keeps 0.8 * 5 from becoming more than 4.
         need = [max(1, math.ceil(threshold * len(words) - 1e-9)) for words in ordered]
-        prefixes: dict[bytes, list[tuple[int, int]]] = {}
+        prefixes: dict[bytes, list[int]] = {}
         for t, words in enumerate(ordered):
-            for at, word in enumerate(words[: len(words) - need[t] + 1]):
-                prefixes.setdefault(word, []).append((t, at))
-        return cls(labels, ordered, need, rank, prefixes, max(map(len, lists), default=0))
+            for word in words[: len(words) - need[t] + 1]:
+                prefixes.setdefault(word, []).append(t)
+        order = [{w: at for at, w in enumerate(words)} for words in ordered]
+        return cls(labels, order, need, [block_words(len(words)) for words in lists], prefixes)
+
+    def matches(self, words: list[bytes]) -> dict[str, float]:
+        """Best containment by label over all blocks that meet the label's template."""
+        marked: dict[int, list[int]] = {}
+        for at, word in enumerate(words):
+            for t in self.prefixes.get(word, ()):
+                marked.setdefault(t, []).append(at)
+        best = {}
+        for t, places in marked.items():
+            common = max(self.overlap(words, t, *ends) for ends in around(places, self.span[t], len(words)))
+            if common >= self.need[t]:
+                best[self.labels[t]] = common / len(self.order[t])
+        return best
 
-    def blocks(self, lines: Sequence[list[bytes]]) -> Iterable[list[bytes]]:
-        """Distinct template words, in the global order, of each block around a prefix word.
+    def overlap(self, words: list[bytes], t: int, begin: int, end: int) -> int:
+        """Most distinct words of template ``t`` in any of its blocks between two places.
 
-        Lines far from any prefix word are skipped; every block that holds one is built.
-        """
-        filled = [i for i, words in enumerate(lines) if words]
-        marked = [k for k, i in enumerate(filled) if not self.prefixes.keys().isdisjoint(lines[i])]
-        starts = set()
-        for k in marked:
-            # A block starting at an earlier line reaches line k while it lacks words.
-            starts.add(k)
-            between, back = len(lines[filled[k - 1]]) if k else 0, k - 1
-            while back >= 0 and between < self.span:
-                starts.add(back)
-                back -= 1
-                between += len(lines[filled[back]]) if back >= 0 else 0
-        for k in sorted(starts):
-            held, count, at = set(), 0, k
-            while at < len(filled) and (at == k or count < self.span):
-                held.update(w for w in lines[filled[at]] if w in self.rank)
-                count += len(lines[filled[at]])
-                at += 1
-            yield sorted(held, key=self.rank.__getitem__)
-
-    def overlap(self, block: list[bytes], t: int, at: int, where: int) -> int:
-        """Common words, where the first are ``block[where]`` and word ``at`` of template ``t``.
-
-        -1 as soon as the rest can't reach the needed overlap.
+        0 if the length or the position filter shows that no block can have enough.
         """
-        words, need, found = self.ordered[t], self.need[t], 0
-        while at < len(words) and where < len(block):
-            if found + min(len(words) - at, len(block) - where) < need:
-                return -1
-            a, b = self.rank[words[at]], self.rank[block[where]]
-            found += a == b
-            at += a <= b
-            where += b <= a
-        return found if found >= need else -1
-
-    def matches(self, lines: Sequence[list[bytes]]) -> dict[str, float]:
-        """Best containment by label over all blocks that meet the label's template."""
-        best: dict[str, float] = {}
-        for block in self.blocks(lines):
-            seen = set()
-            for where, word in enumerate(block):
-                for t, at in self.prefixes.get(word, ()):
-                    # Only the first common word of a pair starts a comparison.
-                    if t in seen or len(block) < self.need[t]:
-                        continue
-                    seen.add(t)
-                    common = self.overlap(block, t, at, where)
-                    if common >= 0:
-                        share = common / len(self.ordered[t])
-                        best[self.labels[t]] = max(best.get(self.labels[t], 0.0), share)
+        order, need, span = self.order[t], self.need[t], self.span[t]
+        found = [(at, w) for at, w in enumerate(words[begin:end], begin) if w in order]
+        present = {w for _, w in found}
+        if min(len(present), len(order) - min(map(order.__getitem__, present))) < need:
+            return 0
+        held: Counter[bytes] = Counter()
+        best = first = distinct = 0
+        for at, word in found:
+            distinct += not held[word]
+            held[word] += 1
+            while found[first][0] <= at - span:
+                held[found[first][1]] -= 1
+                distinct -= not held[found[first][1]]
+                first += 1
+            best = max(best, distinct)
         return best
 
 
+def around(places: list[int], span: int, n: int) -> Iterable[tuple[int, int]]:
+    """The parts of a text of ``n`` words that blocks around some places lie in, put together."""
+    begin = end = None
+    for at in places:
+        if end is not None and at - span + 1 > end:
+            yield begin, end
+            begin = None
+        begin = max(0, at - span + 1) if begin is None else begin
+        end = min(n, at + span)
+    if begin is not None:
+        yield begin, end
+
+
 def phrase_places(words: list[bytes], phrases: Sequence[tuple[list[bytes], str]]) -> list[tuple]:
     """``(start, label)`` of every place where a phrase's words stand one after another."""
     places = []
@@ -221,7 +210,7 @@ def scan_licenses(
 
         def scan(key, text):
             words = words_of(text)
-            notices = {} if marks.isdisjoint(words) else index.matches(lines_of(text))
+            notices = {} if marks.isdisjoint(words) else index.matches(words)
             return [(key, len(words), sorted(phrase_places(words, split)), sorted(notices.items()))]
 
         return scan
