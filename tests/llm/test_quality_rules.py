@@ -55,42 +55,86 @@ def test_binomial_tail_is_exact(spark):
 
 
 def labelled(spark, rows):
-    return spark.createDataFrame(rows, "s string, good boolean, holdout boolean, a int, b int")
+    return spark.createDataFrame(rows, "stratum string, good boolean, holdout boolean, a int, b int")
 
 
 def plain_cutoffs(rows, loss, risk, weight):
-    rules, out = ["a", "b"], {}
-    strata = {r[0] for r in rows if r[1] and r[2]}
+    """Families, gains, p-values and Holm's procedure over plain lists."""
+    tested = []
     for s in {r[0] for r in rows}:
-        for at, rule in enumerate(rules, 3):
-            mine = [r for r in rows if r[0] == s]
-            n = sum(r[1] and r[2] for r in mine)
-            options = []
-            for c in {r[at] for r in mine}:
-                k = sum(r[1] and r[2] and r[at] >= c for r in mine)
-                gain = sum((not r[1] and not r[2]) - weight * (r[1] and not r[2]) for r in mine if r[at] >= c)
-                if gain > 0 and k < n * loss / 2 and exact_tail(k, n, loss / 2) <= risk / (len(strata) * 2):
-                    options.append((gain, c))
-            if options:
-                score = max(options)[1]
-                lower = max((r[at] for r in mine if r[1] and r[at] < score), default=score)
-                out[s, rule] = score if lower == score else (score + lower + 1) // 2
+        tuning = [r for r in rows if r[0] == s and not r[2]]
+        held = [r for r in rows if r[0] == s and r[2] and r[1]]
+        best = None
+        for level in qr.LEVELS:
+            vector = []
+            for at in (3, 4):
+                good = [r[at] for r in tuning if r[1]]
+                edge = max((c for c in {r[at] for r in tuning} if sum(g >= c for g in good) > level * len(good)), default=0)
+                above = min((r[at] for r in tuning if not r[1] and r[at] > edge), default=None)
+                vector.append(None if above is None else (edge + 2 + above) // 2)
+
+            def rejects(r, vector=vector):
+                return any(c is not None and r[at] >= c for at, c in zip((3, 4), vector))
+
+            gain = sum((1 if not r[1] else -weight) for r in tuning if rejects(r))
+            if gain > 0 and (best is None or gain > best[0]):
+                best = gain, vector, sum(map(rejects, held))
+        if best and held:
+            n, k = len(held), best[2]
+            tested.append((exact_tail(k, n, loss) if k < n * loss else 1.0, s, best[1]))
+    out, left = {}, len(tested)
+    for p, s, vector in sorted(tested, key=lambda t: t[0]):
+        if p * left > risk:
+            break
+        out[s] = vector
+        left -= 1
     return out
 
 
 def test_cutoffs_as_brute_force(spark):
     rng = random.Random(8)
     rows = []
-    for s, n in (("en", 3000), (None, 1500), ("few", 40)):
+    for s, n in (("en", 3000), (None, 1500), ("small", 240), ("few", 40), ("clean", 300)):
         for _ in range(n):
-            good = rng.random() < 0.8
+            good = rng.random() < 0.8 or s == "clean"
             a = min(1000, int(rng.expovariate(1 / 5))) if good else rng.randint(0, 1000)
-            b = rng.randint(0, 1000)
+            b = rng.randint(0, 1000) if s != "small" else (rng.randint(0, 300) if good else rng.randint(200, 1000))
             rows.append((s, good, rng.random() < 0.5, a, b))
-    got = qr.choose_cutoffs(labelled(spark, rows), ["a", "b"], "s", good_weight=5)
+    got = qr.choose_cutoffs(labelled(spark, rows), ["a", "b"], good_weight=5)
     want = plain_cutoffs(rows, qr.MAX_LOSS, qr.RISK, 5)
-    assert {(r.stratum, r.rule): r.cutoff for r in got.collect()} == want
-    assert {k[1] for k in want} == {"a"} and {k[0] for k in want} == {"en", None}
+    assert {r.stratum: r.cutoffs for r in got.collect()} == want
+    # Few labels certify nothing, and without bad documents nothing is to be gained.
+    assert set(want) == {"en", None, "small"}
+
+
+def test_a_stratum_needs_as_many_labels_as_stated(spark):
+    def certified(n):
+        rows = [("s", True, True, 0, 0)] * n + [("s", True, False, 0, 0)] * 20 + [("s", False, False, 900, 0)] * 20
+        return qr.choose_cutoffs(labelled(spark, rows), ["a", "b"]).count()
+
+    assert [certified(n) for n in (58, 59)] == [0, 1]
+
+
+def test_columns_of_any_name_pass_through(spark):
+    names = ["_words", "_of", "_cutoffs", "_counts", "_kept", "_failed", "_spaced", "_Lines", "a.b"]
+    text = " ".join(f"w{i}" for i in range(60))
+    docs = spark.createDataFrame([(1, text, "en", *names)], ["doc_id", "text", "lang", *names])
+    labels = spark.createDataFrame([(1, 1)], "doc_id long, quality int")
+    assert [tuple(r) for r in qr.keep_good(docs, labels).collect()] == [(1, text, "en", *names)]
+    judged = qr.judge_quality(docs, labels, carry=["doc_id", "_words"])
+    assert judged.columns == ["doc_id", "_words", *qr.RESULTS] and judged.first()["_words"] == "_words"
+
+
+def test_labels_sent_or_joined_give_the_same(spark, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+
+    def kept(**settings):
+        return {r.doc_id: r._kept for r in qr.judge_quality(docs, labels, **settings).select("doc_id", "_kept").collect()}
+
+    want = kept()
+    monkeypatch.setattr(qr, "BROADCAST_LABELS", 0)
+    assert kept() == kept(carry=["doc_id"]) == want
 
 
 def test_false_rejection_stays_below_the_limit(spark):

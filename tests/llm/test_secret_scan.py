@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 
 from visitorlens.llm import secret_scan as ss
 
@@ -42,6 +43,20 @@ def test_pairs_constants_and_scores():
         assert added(text) == [], text
 
 
+def test_long_chains_of_constants_take_linear_time():
+    def seconds(n):
+        lines = [f"token{i} = token{i + 1}" for i in range(n)] + [f"token{n} = 'zX81kk20Qp'"]
+        began = time.perf_counter()
+        spans = ss.find_spans("\n".join(lines))
+        assert [s[0] for s in spans if s[0] != "assign"] == ["named"] or {s[0] for s in spans} >= {"flow"}
+        return time.perf_counter() - began
+
+    seconds(100)
+    assert seconds(16_000) < 3
+    ring = "\n".join([f"token{i} = token{i + 1}" for i in range(3000)] + ["token3000 = token0"])
+    assert added(ring) == []
+
+
 def test_table(spark):
     long_text = "word " * 50_000 + "password=abcdefabcdef0123456789"
     rows = [(1, None, "x"), (2, "", "x"), (None, "token: AAAAAAAAAAAAAA", "x"), (3, long_text, "x"), (3, long_text, "x")]

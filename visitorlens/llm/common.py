@@ -7,7 +7,8 @@ from collections.abc import Callable, Iterator, Sequence
 from typing import Any
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
@@ -66,6 +67,19 @@ def map_rows(
     return map_slices(df, start_slices, schema)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def quoted(name: str) -> Column:
+    """The column of exactly this name, whatever characters it has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def column_types(df: DataFrame, columns: Sequence[str]) -> str:
     """DDL of some columns of ``df``, for the schema of ``map_rows``."""
     by_name = {f.name: f.dataType.simpleString() for f in df.schema.fields}

@@ -1,28 +1,32 @@
 """Quality rules: base counts of a text, and rule cutoffs with a guaranteed false rejection.
 
 Every document gets scores in thousandths (0 to 1000), higher is worse. A rule rejects
-scores from its cutoff on. Cutoffs are chosen per stratum from labelled documents:
+scores from its cutoff on, and a document goes if any rule rejects it. Cutoffs are chosen
+per stratum from labelled documents, all rules of a stratum together:
 
 * labelled documents are halved by a hash of their id, into a tuning and a holdout half;
-* a cutoff is *certified* if, of the ``n`` good holdout documents of the stratum, so few
-  score at or beyond it that a true false rejection above ``max_loss / rules`` would show
-  so few with probability at most ``risk / (strata * rules)``. This is the exact
-  (Clopper-Pearson) binomial bound, corrected for all strata and rules by Bonferroni.
-  Cutoffs of one rule are tried from lenient to strict, and certification only gets
-  harder on the way, so the order itself corrects for their number;
-* of the certified cutoffs the one with the greatest gain on the tuning half is taken:
-  bad documents rejected less ``good_weight`` times good ones; ties go to the most
-  lenient, and without a gain the rule stays off. The cutoff is then put halfway to the
-  next lower score that a good labelled document has, which rejects no more of them.
+* the tuning half gives a nested family of cutoff vectors, one for each share in ``LEVELS``:
+  each rule's cutoff leaves at most that share of the good tuning documents at or beyond
+  it, and lies halfway from there to the next bad document. A rule without a bad document
+  beyond is off. Of the family the vector with the greatest gain on the tuning half is
+  taken: bad documents rejected less ``good_weight`` times good ones; ties go to the more
+  lenient one, and without a gain the stratum rejects nothing;
+* that one vector is tested on the holdout half. Its p-value is the exact binomial
+  probability that so few of the ``n`` good holdout documents are rejected by any rule
+  if the true false rejection is ``max_loss``. Strata are certified by Holm's procedure: in
+  the order of their p-values, while the i-th of ``m`` is at most ``risk / (m - i + 1)``.
 
 So with probability ``1 - risk`` no stratum loses more than ``max_loss`` of its good
-documents to the method. A stratum with too few labels rejects nothing.
+documents to the method. Without any false rejection the holdout half of a stratum needs
+``ln(risk / m) / ln(1 - max_loss)`` good documents: 59 for one stratum, 86 for four.
+A stratum with too few labels rejects nothing.
 
 Defined cases: a null text has no words and fails the base rules; a null stratum is a
 stratum of its own; a document with several labels counts as good if one of them says
 so; rows with the same id each count with that label; null labels and labels without a
 document are left out; an empty table gives no rows; scores of texts without words
-are 0. Equal windows of three words are recognised by a 64-bit hash.
+are 0. Equal windows of three words are recognised by a 64-bit hash. Columns of any name
+pass through; of the columns that ``judge_quality`` adds, existing ones are replaced.
 """
 
 from __future__ import annotations
@@ -33,7 +37,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from visitorlens.llm.common import cut
+from visitorlens.llm.common import cut, free_name, quoted
 from visitorlens.operators.scale import is_small
 
 SPACES = "\t\n\x0b\x0c\r"
@@ -42,7 +46,13 @@ COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 RULES = ["symbols", "dup_lines", "repeats", "capitals"]
 MIN_WORDS = 50
 MAX_LOSS, RISK, GOOD_WEIGHT = 0.05, 0.05, 20
+# Shares of good tuning documents that a rule of a cutoff vector may reject.
+LEVELS = [0.0, 0.001, 0.002, 0.005, 0.01, 0.02]
 SEED = 77
+# Labels are sent to the documents if there are at most so many (16 bytes each).
+BROADCAST_LABELS = 500_000
+HELPERS = "_spaced _lines _words _triples _pairs _of _cutoffs".split()
+RESULTS = ["_counts", "_failed", "_kept"]
 
 
 def _covered(pairs: Column) -> Column:
@@ -172,60 +182,134 @@ def _down(k: Column, n: Column, p: float, i: Column) -> Column:
     return (k - i) * (1 - p) / ((n - k + i + 1) * p)
 
 
+def cutoff_vectors(labelled: DataFrame, rules: Sequence[str]) -> DataFrame:
+    """``(stratum, level, cutoffs)``: the nested family of every stratum, an array in the
+    order of ``rules`` (null: the rule is off).
+
+    ``labelled`` is reduced to counts per stratum, rule and score in each task before
+    anything is shuffled: at most 1001 rows per stratum and rule.
+    """
+    tuning = labelled.filter(~F.col("holdout"))
+    scored = [F.struct(F.lit(i).alias("rule"), F.col(r).alias("score")) for i, r in enumerate(rules)]
+    long = tuning.select("stratum", "good", F.explode(F.array(*scored)).alias("x"))
+    counts = long.groupBy("stratum", "x.rule", "x.score").agg(
+        F.count_if("good").alias("good"), F.count_if(~F.col("good")).alias("bad")
+    )
+    whole = Window.partitionBy("stratum", "rule")
+    beyond = whole.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
+    ranked = counts.select(
+        "stratum",
+        "rule",
+        "score",
+        "bad",
+        F.sum("good").over(beyond).alias("lost"),
+        F.sum("good").over(whole).alias("all"),
+        F.explode(F.array(*map(F.lit, LEVELS))).alias("level"),
+    )
+    # The highest score that must stay, and the lowest of a bad document above it.
+    stays = F.max(F.when(F.col("lost") > F.col("level") * F.col("all"), F.col("score")))
+    edges = ranked.groupBy("stratum", "rule", "level").agg(
+        F.coalesce(stays, F.lit(0)).alias("edge"),
+        F.sort_array(F.collect_list(F.when(F.col("bad") > 0, F.col("score")))).alias("bad"),
+    )
+    above = F.array_min(F.filter("bad", lambda b: b > F.col("edge")))
+    cutoff = F.call_function("div", F.col("edge") + 2 + above, F.lit(2)).cast("int")
+    vector = F.transform(
+        F.sort_array(F.collect_list(F.struct("rule", cutoff.alias("cutoff")))), lambda x: x["cutoff"]
+    )
+    return edges.groupBy("stratum", "level").agg(vector.alias("cutoffs"))
+
+
+def any_beyond(scores: Sequence[Column], cutoffs: Column) -> Column:
+    """Whether any score reaches its cutoff; a cutoff that is null is off."""
+    out = F.lit(False)
+    for i, score in enumerate(scores):
+        out |= F.coalesce(score >= F.get(cutoffs, F.lit(i)), F.lit(False))
+    return out
+
+
 def choose_cutoffs(
     labelled: DataFrame,
     rules: Sequence[str],
-    stratum_col: str,
     max_loss: float = MAX_LOSS,
     risk: float = RISK,
     good_weight: float = GOOD_WEIGHT,
 ) -> DataFrame:
-    """``(stratum, rule, cutoff)`` for every rule that has a certified gain in a stratum.
+    """``(stratum, cutoffs)`` of every stratum whose chosen vector is certified.
 
-    ``labelled`` has the stratum, ``good`` and ``holdout`` (booleans) and a score column
-    for each rule. It is reduced to counts per stratum, rule and score in each task
-    before anything is shuffled: at most 1001 rows per stratum and rule.
+    ``labelled`` has ``stratum``, ``good`` and ``holdout`` (booleans) and a score column for
+    each rule.
     """
-    long = labelled.select(
-        F.col(stratum_col).alias("stratum"),
+    labelled = cut(labelled.select("stratum", "good", "holdout", *rules))
+    family = cut(cutoff_vectors(labelled, rules))
+    listed = F.sort_array(F.collect_list(F.struct("level", "cutoffs")))
+    by_stratum = family.groupBy(F.col("stratum").alias("_of")).agg(listed.alias("family"))
+    if is_small(by_stratum):
+        by_stratum = F.broadcast(by_stratum)
+    joined = labelled.join(by_stratum, F.col("stratum").eqNullSafe(F.col("_of")))
+    tried = joined.select(
+        "stratum",
         "good",
         "holdout",
-        F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.col(r).alias("score")) for r in rules])).alias("x"),
-    )
-
-    def counted(condition: Column) -> Column:
-        return F.sum(condition.cast("long"))
-
-    histogram = cut(
-        long.groupBy("stratum", "x.rule", "x.score").agg(
-            counted(F.col("good") & F.col("holdout")).alias("held"),
-            counted(F.col("good") & ~F.col("holdout")).alias("tuned"),
-            counted(~F.col("good") & ~F.col("holdout")).alias("bad"),
-        )
-    )
-    strata = histogram.filter("held > 0").agg(F.count_distinct(F.struct("stratum"))).first()[0]
-    loss = max_loss / len(rules)
-    level = risk / (max(strata, 1) * len(rules))
-    stratum = Window.partitionBy("stratum", "rule")
-    beyond = stratum.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    below = stratum.orderBy(F.desc("score")).rowsBetween(1, Window.unboundedFollowing)
-    tried = histogram.select(
-        "stratum",
-        "rule",
-        "score",
-        F.sum("held").over(stratum).cast("double").alias("n"),
-        F.sum("held").over(beyond).cast("double").alias("k"),
-        (F.sum("bad").over(beyond) - good_weight * F.sum("tuned").over(beyond)).alias("gain"),
-        F.max(F.when(F.col("held") + F.col("tuned") > 0, F.col("score"))).over(below).alias("lower"),
+        F.inline(
+            F.transform(
+                "family",
+                lambda v: F.struct(
+                    v["level"].alias("level"),
+                    any_beyond([F.col(r) for r in rules], v["cutoffs"]).alias("rejected"),
+                ),
+            )
+        ),
     )
-    certified = tried.filter(
-        (F.col("gain") > 0)
-        & (F.col("k") < F.col("n") * loss)
-        & (binomial_tail(F.col("k"), F.col("n"), loss) <= level)
+    good, bad, rejected = F.col("good"), ~F.col("good"), F.col("rejected")
+    tuned = rejected & ~F.col("holdout")
+    outcome = tried.groupBy("stratum", "level").agg(
+        (F.count_if(tuned & bad) - good_weight * F.count_if(tuned & good)).alias("gain"),
+        F.count_if(rejected & F.col("holdout") & good).cast("double").alias("k"),
+        F.count_if(F.col("holdout") & good).cast("double").alias("n"),
     )
-    halfway = F.call_function("div", F.col("score") + F.col("lower") + 1, F.lit(2)).cast("int")
-    best = F.max_by(F.coalesce(halfway, F.col("score")), F.struct("gain", "score"))
-    return certified.groupBy("stratum", "rule").agg(best.alias("cutoff"))
+    best = F.max_by(F.struct("level", "gain", "k", "n"), F.struct("gain", -F.col("level")))
+    chosen = outcome.groupBy("stratum").agg(best.alias("b")).select("stratum", "b.*")
+    chosen = chosen.filter("gain > 0 AND n > 0")
+    # The tail is summed below the mean only; from there on nothing is certified anyway.
+    p = F.when(F.col("k") < F.col("n") * max_loss, binomial_tail(F.col("k"), F.col("n"), max_loss))
+    tested = chosen.withColumn("p", F.coalesce(p, F.lit(1.0)))
+    # One row per stratum: the windows are as long as there are strata with labels.
+    every, in_order = Window.partitionBy(), Window.orderBy("p", "stratum")
+    left = F.count(F.lit(1)).over(every) - F.row_number().over(in_order) + 1
+    corrected = tested.withColumn("corrected", F.col("p") * left)
+    worst = F.max("corrected").over(in_order.rowsBetween(Window.unboundedPreceding, 0))
+    certified = corrected.withColumn("worst", worst).filter(F.col("worst") <= risk)
+    kept = certified.select(F.col("stratum").alias("_s"), F.col("level").alias("_l"))
+    same = F.col("stratum").eqNullSafe(F.col("_s")) & (F.col("level") == F.col("_l"))
+    return family.join(kept, same).select("stratum", "cutoffs")
+
+
+def learn_cutoffs(
+    docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, stratum_col: str, **settings: float
+) -> DataFrame:
+    """``(_of, _cutoffs)`` per stratum from all labelled rows of ``docs``.
+
+    ``docs`` may have ``_counts``. If not, only labelled documents are counted for it where
+    the labels can be sent to the documents, else all; the text itself is never shuffled.
+    """
+    known = labels.filter("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id")
+    known = cut(known.agg((F.max("quality") > 0).alias("good")))
+    columns = [F.col(id_col).alias("doc_id"), F.col(stratum_col).alias("stratum")]
+    if "_counts" in docs.columns:
+        counted = docs.select(*columns, "_counts").join(known, "doc_id")
+    elif is_small(known, BROADCAST_LABELS):
+        texts = docs.select(*columns, F.col(text_col).alias("text")).join(F.broadcast(known), "doc_id")
+        counted = with_counts(texts)
+    else:
+        texts = docs.select(*columns, F.col(text_col).alias("text"))
+        counted = with_counts(texts).drop("text").join(known, "doc_id")
+    by_rule = [c.alias(r) for r, c in scores(F.col("_counts")).items()]
+    holdout = F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(2)) == 0
+    labelled = counted.select("stratum", "good", holdout.alias("holdout"), *by_rule)
+    cutoffs = cut(choose_cutoffs(labelled, RULES, **settings))
+    cutoffs = cutoffs.select(F.col("stratum").alias("_of"), F.col("cutoffs").alias("_cutoffs"))
+    return F.broadcast(cutoffs) if is_small(cutoffs) else cutoffs
 
 
 def judge_quality(
@@ -234,42 +318,34 @@ def judge_quality(
     id_col: str = "doc_id",
     text_col: str = "text",
     stratum_col: str = "lang",
+    carry: Sequence[str] | None = None,
     **settings: float,
 ) -> DataFrame:
     """``docs`` with ``_counts``, ``_failed`` (base) and ``_kept``.
 
     Cutoffs come from all labelled rows of ``docs``. Only ids, strata and scores are
-    shuffled for that; the verdict itself moves no text.
+    shuffled for that; the verdict itself moves no text. ``carry`` names the columns that
+    the result needs: without the text, every text is counted once and for both purposes.
     """
-    counted = with_counts(docs, text_col)
-    known = labels.filter("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id")
-    known = known.agg((F.max("quality") > 0).alias("good"))
-    by_rule = scores(F.col("_counts"))
-    scored = counted.select(
-        F.col(id_col).alias("doc_id"),
-        F.col(stratum_col).alias("_stratum"),
-        *[c.alias(r) for r, c in by_rule.items()],
-    )
-    labelled = scored.join(known, "doc_id").withColumn(
-        "holdout", F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(2)) == 0
-    )
-    cutoffs = cut(
-        choose_cutoffs(labelled, RULES, "_stratum", **settings)
-        .groupBy("stratum")
-        .agg(F.map_from_entries(F.collect_list(F.struct("rule", "cutoff"))).alias("_cutoffs"))
-    )
-    known_strata = cutoffs.withColumnRenamed("stratum", "_of")
-    if is_small(known_strata):
-        known_strata = F.broadcast(known_strata)
-    joined = counted.join(known_strata, F.col(stratum_col).eqNullSafe(F.col("_of")), "left")
-    beyond = [
-        F.coalesce(score >= F.col("_cutoffs")[rule], F.lit(False)) for rule, score in by_rule.items()
-    ]
-    rejected = beyond[0] | beyond[1] | beyond[2] | beyond[3]
+    docs = docs.drop(*RESULTS)
+    clashing = {c: free_name(docs, f"{c}_") for c in docs.columns if c.lower() in HELPERS}
+    columns = [clashing.get(c, c) for c in (docs.columns if carry is None else carry)]
+    docs = docs.withColumnsRenamed(clashing)
+    id_col, text_col, stratum_col = (clashing.get(c, c) for c in (id_col, text_col, stratum_col))
+    if text_col in columns:
+        cutoffs = learn_cutoffs(docs, labels, id_col, text_col, stratum_col, **settings)
+        counted = with_counts(docs, text_col)
+    else:
+        wanted = dict.fromkeys([*columns, id_col, stratum_col])
+        counted = with_counts(docs.select(*[quoted(c) for c in wanted], quoted(text_col)), text_col)
+        counted = cut(counted.drop(text_col))
+        cutoffs = learn_cutoffs(counted, labels, id_col, text_col, stratum_col, **settings)
+    joined = counted.join(cutoffs, F.col(stratum_col).eqNullSafe(F.col("_of")), "left")
+    rejected = any_beyond(list(scores(F.col("_counts")).values()), F.col("_cutoffs"))
     failed = base_failed(F.col("_counts"))
-    return joined.withColumns({"_failed": failed, "_kept": ~failed & ~rejected}).drop(
-        "_of", "_cutoffs"
-    )
+    judged = joined.withColumns({"_failed": failed, "_kept": ~failed & ~rejected})
+    judged = judged.select(*[quoted(c) for c in columns], *RESULTS)
+    return judged.withColumnsRenamed({v: k for k, v in clashing.items()})
 
 
 def quality_report(judged: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -283,5 +359,7 @@ def quality_report(judged: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 def keep_good(docs: DataFrame, labels: DataFrame, **columns: str) -> DataFrame:
     """The rows of ``docs`` that pass the base rules and the certified cutoffs."""
-    judged = judge_quality(docs, labels, **columns)
-    return judged.filter("_kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+    clashing = {c: free_name(docs, f"{c}_") for c in docs.columns if c.lower() in RESULTS}
+    judged = judge_quality(docs.withColumnsRenamed(clashing), labels, **columns)
+    kept = judged.filter("_kept").select(*[quoted(clashing.get(c, c)) for c in docs.columns])
+    return kept.withColumnsRenamed({v: k for k, v in clashing.items()})

@@ -87,7 +87,8 @@ def op6_shards(spark, sf):
 def op7_quality_rules(spark, sf):
     """Base counts and verdict of every document; cutoffs per language."""
     docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
-    return quality_rules.quality_report(quality_rules.judge_quality(docs, labels))
+    judged = quality_rules.judge_quality(docs, labels, carry=["doc_id"])
+    return quality_rules.quality_report(judged)
 
 
 @query

@@ -130,19 +130,28 @@ def assigned_spans(text: str) -> list[tuple[str, int, int]]:
     for i, pair in enumerate(pairs):
         defined.setdefault(pair[0], []).append(i)
 
+    known: dict[int, int | None] = {}
+
     def literal_of(i: int) -> int | None:
-        """The pair whose literal the value of pair ``i`` is, or None in a ring."""
-        seen = set()
-        while i not in seen:
-            seen.add(i)
+        """The pair whose literal the value of pair ``i`` is, or None in a ring.
+
+        Every pair leads to one other at most, so what is found holds for all on the way.
+        """
+        way = []
+        while i not in known:
+            known[i] = None  # what a ring comes back to
+            way.append(i)
             _, kind, start, end = pairs[i]
             value = text[start:end]
             places = defined.get(value) if kind == "bare" and _NAME.fullmatch(value) else None
             if not places:
-                return i
+                known[i] = i
+                break
             before = bisect_left(places, i)
             i = places[before - 1] if before else places[0]
-        return None
+        for passed in way:
+            known[passed] = known[i]
+        return known[i]
 
     spans = set()
     for i, weight in enumerate(weights):

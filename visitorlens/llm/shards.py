@@ -22,6 +22,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, MapType, StructType, VariantType
 
+from visitorlens.llm.common import free_name, quoted
+
 # Buckets for numbering. The table of their counts is what is broadcast, about 1 MB.
 BUCKETS = 1 << 16
 ROUNDS = 6
@@ -36,28 +38,16 @@ def _orderable(kind: DataType) -> bool:
     return not isinstance(kind, StructType) or all(_orderable(f.dataType) for f in kind.fields)
 
 
-def _free(df: DataFrame, name: str) -> str:
-    """A column name that ``df`` does not have."""
-    taken = {c.lower() for c in df.columns}
-    while name in taken:
-        name += "_"
-    return name
-
-
-def _quoted(name: str) -> Column:
-    return F.col("`" + name.replace("`", "``") + "`")
-
-
 def number_rows(df: DataFrame, name: str, buckets: int = BUCKETS) -> tuple[DataFrame, int]:
     """``df`` with a gapless number from 0 on in column ``name``, and the number of rows.
 
     One aggregate of counts per bucket and one shuffle of the rows; a bucket holds about
     ``1/buckets`` of them, since all columns take part in the hash.
     """
-    key, bucket, first = (_free(df, x) for x in ("_key", "_bucket", "_first"))
-    columns = [_quoted(f.name) for f in df.schema.fields if _orderable(f.dataType)]
+    key, bucket, first = (free_name(df, x) for x in ("_key", "_bucket", "_first"))
+    columns = [quoted(f.name) for f in df.schema.fields if _orderable(f.dataType)]
     keyed = df.withColumn(key, F.xxhash64(*columns, F.lit(SEED)))
-    keyed = keyed.withColumn(bucket, F.pmod(_quoted(key), F.lit(buckets)).cast("int"))
+    keyed = keyed.withColumn(bucket, F.pmod(quoted(key), F.lit(buckets)).cast("int"))
     counts = keyed.groupBy(bucket).agg(F.count(F.lit(1)).alias("n"))
     # At most ``buckets`` rows: this window and the broadcast are bounded.
     before = Window.orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
@@ -92,7 +82,7 @@ def permute(df: DataFrame, name: str, n: int, seed: int = SEED, rounds: int = RO
     of the positions out of range once at most, which bounds its length by ``left``.
     """
     left, right = halves(n)
-    a, b = _free(df, "_left"), _free(df, "_right")
+    a, b = free_name(df, "_left"), free_name(df, "_right")
     out = df.withColumns(dict(zip((a, b), _split(F.col(name), right), strict=True)))
     for i in range(rounds):
         changed, other, size = (a, b, left) if i % 2 == 0 else (b, a, right)
@@ -121,7 +111,7 @@ def shard_rows(
 ) -> DataFrame:
     """``df`` with ``shard`` (int) and ``slot`` (long) of every row."""
     df = df.drop("shard", "slot")
-    place = _free(df, "_place")
+    place = free_name(df, "_place")
     numbered, n = number_rows(df, place, buckets)
     placed = permute(numbered, place, n, seed)
     where = F.col(place)
