@@ -96,6 +96,15 @@ def test_passes_have_orders_of_their_own(spark):
     assert orders[0] != orders[1] and set(orders[1]) <= set(orders[0])
 
 
+def test_columns_of_any_name_pass_through(spark):
+    names = ["_plan_source", "_plan_block", "_plan_part", "tokens", "block", "start"]
+    rows = [(i, "a few words of text", "st"[i % 2], *names) for i in range(20)]
+    docs = spark.createDataFrame(rows, ["doc_id", "text", "source", *names])
+    got = mx.mix_sources(docs)
+    assert got.columns == [*docs.columns, "epoch", "position"]
+    assert {tuple(r)[:-2] for r in got.collect()} == set(rows)
+
+
 def test_empty_and_native(spark):
     docs = spark.createDataFrame(corpus()[:50], "doc_id long, text string, source string")
     assert mx.mix_sources(docs.limit(0)).count() == 0

@@ -118,6 +118,14 @@ def test_documents(spark):
     assert sh.near_duplicates(docs.limit(0)).count() == 0 and sh.keep_one(docs.limit(0)).count() == 0
 
 
+def test_columns_of_any_name_pass_through(spark):
+    names = ["_row_hash_1", "_row_hash_2", "fp", "root", "least"]
+    docs = spark.createDataFrame([(i, f"a{i // 2} text of its own number {i // 2} here and b{i // 2}", *names) for i in range(6)], ["doc_id", "text", *names])
+    got = sh.keep_one(docs)
+    assert got.columns == docs.columns
+    assert sorted(tuple(r) for r in got.collect()) == [(i, f"a{i // 2} text of its own number {i // 2} here and b{i // 2}", *names) for i in (0, 2, 4)]
+
+
 def test_dense_group_gives_a_forest(spark):
     fps = [(0x123456789ABCD << 12) | i for i in range(256)]
     df = spark.createDataFrame([(f,) for f in fps], "fp long")

@@ -31,7 +31,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from visitorlens.llm.common import cut
+from visitorlens.llm.common import cut, free_name
 from visitorlens.operators.scale import is_small
 
 # Blocks of a source, and parts of a block. Plans have as many rows for each source.
@@ -216,14 +216,14 @@ def mix_sources(
     digests = cut(_digests(docs, id_col, text_col, source_col))
     weighed = cut(weigh_sources(digests, budget_tokens, max_repeats, entropy))
     whole, parts = (cut(p) for p in plan_blocks(digests, weighed))
-    names = {"source": "_plan_source", "block": "_plan_block", "part": "_plan_part"}
+    names = {key: free_name(docs, f"_plan_{key}") for key in ("source", "block", "part")}
     block, part = _places(id_col, text_col)
     out = []
     for plan, keys in ((whole, [block]), (parts, [block, part])):
         plan = plan.withColumnsRenamed(names)
         plan = F.broadcast(plan) if is_small(plan) else plan
-        on = F.col(source_col).eqNullSafe(F.col("_plan_source"))
-        for key, name in zip(keys, ("_plan_block", "_plan_part"), strict=False):
+        on = F.col(source_col).eqNullSafe(F.col(names["source"]))
+        for key, name in zip(keys, (names["block"], names["part"]), strict=False):
             on &= key == F.col(name)
         out.append(docs.join(plan, on).drop(*names.values()))
     return out[0].unionByName(out[1])

@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from visitorlens.llm.common import column_types, cut, map_rows
+from visitorlens.llm.common import column_types, cut, free_name, map_rows
 from visitorlens.operators.scale import hot_key_join, is_small
 
 SHINGLE_WORDS = 4
@@ -346,10 +346,11 @@ def keep_one(
     """One row of each component, with all columns: the one with the least id.
 
     Rows are told apart by a 128-bit hash of id and text, so that repeated ids do no
-    harm; of rows that are equal in both, one stays. The texts are shuffled once.
+    harm; of rows that are equal in both, one stays. The texts are shuffled once. Columns
+    of any name pass through.
     """
     hashes = [F.xxhash64(id_col, text_col), F.xxhash64(text_col, F.lit(1), id_col)]
-    marks = ["_row_hash_1", "_row_hash_2"]
+    marks = [free_name(docs, f"_row_hash_{i}") for i in (1, 2)]
     named = [h.alias(m) for h, m in zip(hashes, marks, strict=True)]
 
     def start():
