@@ -35,6 +35,22 @@ def test_rows_law_on_odd_rows(spark):
     assert {(r.law, r.grown_shard) for r in rows} == {("rows", None)}
 
 
+def test_very_many_equal_rows(spark):
+    data = [(None, None)] * 700 + [(1, "same")] * 3001 + [(2, "other")] * 100 + [(i, f"t{i}") for i in range(500)]
+    docs = spark.createDataFrame(data, "doc_id long, text string").repartition(5)
+    for settings in ({"crowded": 100}, {"crowded": 100, "buckets": 3}, {}):
+        rows = sh.shard_rows(docs, 7, **settings).collect()
+        check_law(rows, 7)
+        assert Counter((r.doc_id, r.text) for r in rows) == Counter(data)
+    # No task gets all copies: they are dealt in pieces.
+    numbered, n = sh.number_rows(docs, "place", crowded=100)
+    assert n == len(data) and sorted(r.place for r in numbered.collect()) == list(range(n))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    parts = numbered.filter("doc_id = 1").groupBy(F.spark_partition_id()).count().collect()
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert max(r["count"] for r in parts) < 3001
+
+
 def test_places_do_not_depend_on_order_or_partitions(spark):
     docs = spark.range(500).select(F.col("id").alias("doc_id"), F.concat(F.lit("t"), "id").alias("text"), F.create_map("id", F.lit(1)).alias("m"), F.lit("z").alias("slot"), F.lit(0).alias("_key"))
     one = {r.doc_id: (r.shard, r.slot) for r in sh.shard_rows(docs.coalesce(1), 7).collect()}
