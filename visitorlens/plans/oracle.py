@@ -6,17 +6,8 @@ operators use array functions, so that an error on one side shows.
 
 from __future__ import annotations
 
-from visitorlens.functions.dates import (
-    DAY_MONTH_YEAR,
-    MONTH_DAY_YEAR,
-    MONTH_YEAR,
-    MONTHS,
-    RELATIVE,
-    SLASHED,
-)
 from visitorlens.functions.html import INTERSTITIAL_PHRASES, INTERSTITIAL_URL_PARTS
 from visitorlens.functions.text import ENGLISH_STOP_WORDS, WHITESPACE
-from visitorlens.operators.sentiment import edge_mark_pattern
 from visitorlens.operators.topics import ARCHITECTURE_SEEDS, UX_SEEDS
 from visitorlens.plans.fixtures import (
     AS_OF,
@@ -35,6 +26,15 @@ from visitorlens.plans.queries import N_PASSES
 
 ORACLE: dict[str, str] = {}
 
+# Fixed values of the rules, written out here once more: date labels and word marks.
+RELATIVE = r"^(an?|[0-9]+)\s+(day|week|month|year)s?\s+ago$"
+MONTH_DAY_YEAR = r"^([a-z]+)\s+([0-9]{1,2}),\s*([0-9]{4})$"
+DAY_MONTH_YEAR = r"^([0-9]{1,2})\s+([a-z]+)\s+([0-9]{4})$"
+MONTH_YEAR = r"^([a-z]+)\s+([0-9]{4})$"
+SLASHED = r"^([0-9]{1,2})/([0-9]{1,2})/([0-9]{4})$"
+MONTHS = "jan feb mar apr may jun jul aug sep oct nov dec".split()
+WORD_MARKS = ["?!?!", "!?!?", "!!!", "???", "?!?", "!?!", "!!", "??", *".!?,;:'\"-"]
+
 
 def q(value: str) -> str:
     return "'" + value.replace("'", "''") + "'"
@@ -425,6 +425,18 @@ SELECT topic, rank, phrase, n, round(score, 6) AS score FROM placed WHERE rank <
 # Sentiment
 
 
+def without_mark(word: str) -> str:
+    """A word of two plain characters or more without one known mark before or behind it."""
+    marks = "[" + ", ".join(map(q, WORD_MARKS)) + "]"
+    front, behind = "'^[[:punct:]]+'", "'[[:punct:]]+$'"
+    return f"""CASE
+      WHEN regexp_full_match({word}, '[[:punct:]]+[^[:punct:]]{{2,}}')
+        AND list_contains({marks}, regexp_extract({word}, {front})) THEN regexp_replace({word}, {front}, '')
+      WHEN regexp_full_match({word}, '[^[:punct:]]{{2,}}[[:punct:]]+')
+        AND list_contains({marks}, regexp_extract({word}, {behind})) THEN regexp_replace({word}, {behind}, '')
+      ELSE {word} END"""
+
+
 def sentiment(source: str, key: str, text: str) -> str:
     """CTE ``scored(key columns, compound)`` for a table with unique ``key``."""
     boosters = values(sorted(BOOSTERS.items()))
@@ -466,7 +478,7 @@ split AS (SELECT id, list_filter(string_split_regex({strip("t")}, '\\s+'), lambd
 lex AS (SELECT * FROM {values(sorted(LEXICON.items()))} x(term, valence)),
 boost AS (SELECT * FROM {boosters} x(term, weight)),
 w0 AS (SELECT id, generate_subscripts(l, 1) AS pos,
-    unnest(list_transform(l, lambda x: regexp_replace(x, {q(edge_mark_pattern())}, '\\1\\2'))) AS w
+    unnest(list_transform(l, lambda x: {without_mark("x")})) AS w
   FROM split),
 w1 AS (SELECT w0.*, CAST(valence AS DOUBLE) AS v, CAST(weight AS DOUBLE) AS b FROM w0
   LEFT JOIN lex ON lex.term = lower(w) LEFT JOIN boost ON boost.term = lower(w)),
