@@ -95,9 +95,10 @@ def python_rake(texts):
     )
 
 
-@pytest.mark.parametrize("hot_keys", [500, 3])
-def test_rake_with_repeats_equals_brute_force(corpus, monkeypatch, hot_keys):
+@pytest.mark.parametrize("hot_keys, sent", [(500, 200_000), (500, 0), (3, 0)])
+def test_rake_with_repeats_equals_brute_force(corpus, monkeypatch, hot_keys, sent):
     data, df = corpus
+    monkeypatch.setattr(phrases, "BROADCAST_WORDS", sent)
     monkeypatch.setattr(scale.hot_key_join, "__defaults__", (hot_keys,))
     ranked = phrases.repeat_phrases(phrases.rake_phrases(df))
     got = sorted(((round(r.rake, 9), r.phrase) for r in ranked.collect()), reverse=True)

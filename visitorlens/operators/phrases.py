@@ -8,11 +8,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from visitorlens.functions.text import ENGLISH_STOP_WORDS, count_terms, split_phrases
-from visitorlens.operators.scale import hot_key_join, salted_join
+from visitorlens.operators.scale import hot_key_join, is_small, salted_join
 
 # Shortest and longest phrase, in words.
 MIN_WORDS = 2
 MAX_WORDS = 4
+# Words whose scores may be sent to the phrases, some forty bytes each.
+BROADCAST_WORDS = 200_000
 
 
 def candidate_phrases(
@@ -71,6 +73,11 @@ def score_phrases(phrases: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """
     words = _phrase_words(phrases, by)
     stats = word_scores(phrases, by).select(*by, "word", "score", "n_phrases")
+    if not by and is_small(stats, BROADCAST_WORDS):
+        scored = words.join(F.broadcast(stats.drop("n_phrases")), "word")
+        return scored.groupBy("phrase", "n").agg(
+            F.round(F.sum(F.col("score") * F.col("times")), 9).alias("rake")
+        )
     if by:
         key = F.struct(*by, "word")
         words = words.withColumn("_key", key)
