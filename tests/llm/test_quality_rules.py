@@ -70,8 +70,9 @@ def plain_cutoffs(rows, loss, risk, weight):
             for at in (3, 4):
                 good = [r[at] for r in tuning if r[1]]
                 edge = max((c for c in {r[at] for r in tuning} if sum(g >= c for g in good) > level * len(good)), default=0)
-                above = min((r[at] for r in tuning if not r[1] and r[at] > edge), default=None)
-                vector.append(None if above is None else (edge + 2 + above) // 2)
+                above = sorted({r[at] for r in tuning if not r[1] and r[at] > edge})
+                begin = above[min(math.ceil(len(above) / 10), len(above) - 1)] if above else None
+                vector.append(None if begin is None else (edge + 2 + begin) // 2)
 
             def rejects(r, vector=vector):
                 return any(c is not None and r[at] >= c for at, c in zip((3, 4), vector))

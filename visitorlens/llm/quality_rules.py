@@ -7,7 +7,8 @@ per stratum from labelled documents, all rules of a stratum together:
 * labelled documents are halved by a hash of their id, into a tuning and a holdout half;
 * the tuning half gives a nested family of cutoff vectors, one for each share in ``LEVELS``:
   each rule's cutoff leaves at most that share of the good tuning documents at or beyond
-  it, and lies halfway from there to the next bad document. A rule without a bad document
+  it, and lies halfway from there to where bad documents begin: to the next of their scores
+  but the closest tenth, rounded up, which tells little. A rule without a bad document
   beyond is off. Of the family the vector with the greatest gain on the tuning half is
   taken: bad documents rejected less ``good_weight`` times good ones; ties go to the more
   lenient one, and without a gain the stratum rejects nothing;
@@ -206,14 +207,16 @@ def cutoff_vectors(labelled: DataFrame, rules: Sequence[str]) -> DataFrame:
         F.sum("good").over(whole).alias("all"),
         F.explode(F.array(*map(F.lit, LEVELS))).alias("level"),
     )
-    # The highest score that must stay, and the lowest of a bad document above it.
+    # The highest score that must stay, and the scores of bad documents above it.
     stays = F.max(F.when(F.col("lost") > F.col("level") * F.col("all"), F.col("score")))
     edges = ranked.groupBy("stratum", "rule", "level").agg(
         F.coalesce(stays, F.lit(0)).alias("edge"),
         F.sort_array(F.collect_list(F.when(F.col("bad") > 0, F.col("score")))).alias("bad"),
     )
-    above = F.array_min(F.filter("bad", lambda b: b > F.col("edge")))
-    cutoff = F.call_function("div", F.col("edge") + 2 + above, F.lit(2)).cast("int")
+    edges = edges.withColumn("bad", F.filter("bad", lambda b: b > F.col("edge")))
+    skipped = F.least(F.ceil(F.size("bad") / 10), F.size("bad") - 1).cast("int")
+    begin = F.get("bad", skipped)
+    cutoff = F.call_function("div", F.col("edge") + 2 + begin, F.lit(2)).cast("int")
     vector = F.transform(
         F.sort_array(F.collect_list(F.struct("rule", cutoff.alias("cutoff")))), lambda x: x["cutoff"]
     )
