@@ -42,3 +42,6 @@ def test_top_per_group_in_slices(spark):
 def test_is_small(spark):
     assert scale.is_small(spark.range(5), 5)
     assert not scale.is_small(spark.range(6), 5)
+    wide = spark.range(3).selectExpr("repeat('x', 1000) AS t", "array(binary('y')) AS b")
+    assert scale.is_small(wide, 5, 5000) and not scale.is_small(wide, 5, 3000)
+    assert scale.is_small(spark.range(0)) and scale.is_small(spark.range(5).select())

@@ -7,8 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# A side is broadcast only after a bounded count has shown it to be this small.
+# A side is broadcast only after a bounded look has shown it to be this small.
 BROADCAST_ROWS = 20_000
+BROADCAST_BYTES = 64_000_000
 # Keys holding more than 1/HOT_KEYS of all rows count as hot; there can be at most HOT_KEYS.
 HOT_KEYS = 500
 # Spread of a key whose rows cannot be pre-aggregated.
@@ -17,9 +18,17 @@ SALTS = 16
 SINGLE_STEP_TOP_K = 100
 
 
-def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
-    """Whether ``df`` has at most ``max_rows`` rows; looks at no more than one row beyond."""
-    return df.limit(max_rows + 1).count() <= max_rows
+def is_small(
+    df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES
+) -> bool:
+    """Whether ``df`` has at most so many rows and bytes; looks at no more than one row beyond.
+
+    Bytes are those of the rows written as JSON.
+    """
+    some = df.limit(max_rows + 1)
+    size = F.sum(F.octet_length(F.to_json(F.struct(*df.columns))))
+    rows, held = some.agg(F.count(F.lit(1)), F.coalesce(size, F.lit(0))).first()
+    return rows <= max_rows and held <= max_bytes
 
 
 def _slice_of(df: DataFrame, slices: int) -> Column:
