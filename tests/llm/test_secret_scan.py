@@ -43,6 +43,47 @@ def test_pairs_constants_and_scores():
         assert added(text) == [], text
 
 
+def plain_assigned(lines):
+    """Assignments, one a line, followed by looking at every line again for each name."""
+    found, at, starts = set(), 0, []
+    for name, shown in lines:
+        starts.append(at + len(name) + 3)
+        at += len(name) + 3 + len(shown) + 1
+    for i, (name, _) in enumerate(lines):
+        weight = ss.name_weight(name)
+        if not weight:
+            continue
+        line, seen = i, []
+        while line is not None and line not in seen:
+            seen.append(line)
+            shown = lines[line][1]
+            defined = [k for k, (other, _) in enumerate(lines) if other == shown]
+            earlier = [k for k in defined if k < line]
+            follow = (earlier[-1] if earlier else defined[0]) if defined else None
+            if follow is None:
+                quoted = shown[0] in "\"'"
+                literal = shown.strip("\"'")
+                if weight * ss.literal_strength(literal, quoted) >= ss.MIN_SCORE:
+                    begin = starts[line] + quoted
+                    found.add(("named" if line == i else "flow", begin, begin + len(literal)))
+            line = follow
+    return found
+
+
+def test_named_and_flow_spans_as_brute_force():
+    rng = random.Random(11)
+    names = ["k", "a", "b", "password", "api_key", "clientSecret", "title", "token", "db_pwd"]
+    literals = ['"zX81kk20Qp"', "'hunter2hunter2'", '"changeme123"', "zX81kk20Qp77", "12345678901", '"two words here1"', '"short1"']
+    kinds = set()
+    for _ in range(1500):
+        lines = [(rng.choice(names), rng.choice(names if rng.random() < 0.6 else literals)) for _ in range(rng.randint(1, 9))]
+        text = "\n".join(f"{name} = {shown}" for name, shown in lines)
+        want = plain_assigned(lines)
+        assert set(ss.assigned_spans(text)) == want, text
+        kinds |= {k for k, _, _ in want}
+    assert kinds == {"named", "flow"}
+
+
 def test_long_chains_of_constants_take_linear_time():
     def seconds(n):
         lines = [f"token{i} = token{i + 1}" for i in range(n)] + [f"token{n} = 'zX81kk20Qp'"]
