@@ -316,8 +316,11 @@ def with_components(fingerprinted: DataFrame, id_col: str = "doc_id", **settings
     roots = connected(find_links(distinct, **settings)).withColumnRenamed("node", "fp")
     roots = roots.union(roots.select(F.col("root").alias("fp"), "root").distinct())
     linked = roots.join(distinct, "fp")
-    ids = linked.groupBy("root").agg(F.min("least_id").alias("of_root"), F.lit(True).alias("is_linked"))
-    linked = roots.join(ids, "root").select("fp", "root", "of_root", "is_linked")
+    ids = linked.groupBy("root").agg(
+        F.min("least_id").alias("of_root"), F.lit(True).alias("is_linked"), F.count(F.lit(1)).alias("n")
+    )
+    # A component of very many fingerprints is one root: it is sent to them.
+    linked = hot_key_join(roots, ids, "root", "n").select("fp", "root", "of_root", "is_linked")
     return distinct.join(linked, "fp", "left").select(
         "fp",
         "n_rows",
