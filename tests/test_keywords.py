@@ -101,3 +101,35 @@ def test_text_is_scanned_once_without_python(spark):
     assert plan.count("Exchange") == 1
     assert "Python" not in plan
     assert "NestedLoop" not in plan
+
+def test_keywords_that_begin_alike_meet_only_their_own_texts(spark):
+    """Every text holds the first word of all keywords, or the first runs of the long ones."""
+    n = 400
+    short, long = [f"the w{i}" for i in range(n)], [f"one, two&three &{i}&x" for i in range(n)]
+    table = spark.createDataFrame([(w,) for w in short + long], "keyword string")
+    rows = [(f"The w{i}. one, two&three &{i}&x one, two&three &{i}&x? THE W{i}", "1 star") for i in range(n)]
+    df = spark.createDataFrame(rows, "review_text string, rating string")
+    result = kw.keyword_table_mentions(df, table)
+    got = result.collect()
+    assert {(r.keyword, r.n) for r in got} == {(w, 1) for w in short + long} and len(got) == 2 * n
+    # No candidates that a condition has yet to sort out, whose number grows with the table.
+    found = joins(result)
+    assert found and all(join.condition().isEmpty() for join in found)
+
+
+def joins(df):
+    """Every join of the plan that ran."""
+    found, todo = [], [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        kind = node.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            todo.append(node.executedPlan())
+        elif "QueryStage" in kind:
+            todo.append(node.plan())
+        else:
+            if kind.endswith("JoinExec"):
+                found.append(node)
+            children = node.children()
+            todo += [children.apply(i) for i in range(children.size())]
+    return found

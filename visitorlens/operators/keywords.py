@@ -3,14 +3,11 @@
 from __future__ import annotations
 
 import json
-import math
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from visitorlens.functions.expr import let
 from visitorlens.functions.text import standardize_rating
 from visitorlens.operators.scale import null_safe_join
 from visitorlens.schema import RATING_BUCKETS
@@ -29,15 +26,22 @@ DEFAULT_KEYWORDS = [
     "navigation",
 ]
 
-# Characters of keywords that are broadcast at once; a larger table takes several passes.
+# Characters of keywords that are broadcast as they stand; a larger table is met by hashes first.
 BLOCK_CHARS = 16_000_000
 # What a keyword takes in a broadcast beside its characters.
 ENTRY_CHARS = 64
+# Hashes of keywords that are broadcast; without them the counted windows are joined alone.
+HASHED_KEYWORDS = 2_000_000
+# Keywords of up to so many runs are looked up whole, longer ones by their first so many.
+HEAD_RUNS = 3
+# A table with more kinds of other characters than that is met by runs of any of them.
+MAX_MARKS = 500
 
 # Letters, digits and underscore of any script. Spelled out because the meaning of
 # \w and \b in Java depends on the version, and is ASCII-only in recent ones.
 WORD_CHAR = r"[\p{L}\p{N}_]"
 RUNS = r"([\p{L}\p{N}_]+|[^\p{L}\p{N}_]+)"
+OTHER_CHAR = r"[^\p{L}\p{N}_]"
 
 
 def _edge(neighbour: str, char_is_word: bool, look: str) -> str:
@@ -110,62 +114,121 @@ def keyword_table_mentions(
 
     Cut a text into maximal runs of word and of other characters and drop the
     marks at its two ends. A keyword between word boundaries is then exactly a
-    sequence of whole runs. The table is indexed by its keywords' first runs: a text's
-    distinct runs are joined with that, and the few candidates of several runs are
-    verified by looking for the whole sequence in the text. A table that is too large
-    to be broadcast is cut into blocks by a hash, with one pass each; a keyword is in one
-    block, so the counts are only put together.
+    sequence of whole runs, and equal to the text's characters there. So a text's distinct
+    windows of one to ``HEAD_RUNS`` runs, of the lengths that keywords have, are joined with the
+    keywords by equality: how many keywords begin alike plays no part. Of longer keywords the first
+    runs are joined so, with the lengths that follow them, and the windows of those lengths
+    at the places found are joined with the keywords in turn. Windows with a character between
+    words that no keyword has are never made.
+
+    A table that is too large to be broadcast is joined with counted windows, after those
+    whose hash no keyword has were dropped.
     """
     keys = keyword_table.select("keyword").filter(F.col("keyword") != "").distinct()
-    size = F.sum(F.length("keyword") + ENTRY_CHARS)
-    blocks = math.ceil((keys.agg(size).first()[0] or 0) / BLOCK_CHARS) or 1
     runs = F.regexp_extract_all("keyword", F.lit(RUNS))
-    keys = keys.select(
-        "keyword",
-        F.get(runs, F.lit(0)).alias("_run"),
-        F.when(F.size(runs) > 1, _marked_runs(runs)).alias("_sequence"),
-    )
-    texts = reviews.select(
-        *by,
-        standardize_rating(F.col(rating)).alias("rating"),
-        _inner_runs(F.regexp_extract_all(F.lower(F.col(text)), F.lit(RUNS))).alias("_runs"),
-    )
-    # Marked before the explode, or it would be done for every run.
-    marked = texts.withColumn("_text", _marked_runs(F.col("_runs")))
-    found = marked.select(*by, "rating", "_text", F.explode(F.array_distinct("_runs")).alias("_run"))
-
-    def counted(part: DataFrame) -> DataFrame:
-        hits = found.join(F.broadcast(part), "_run")
-        hits = hits.filter(F.col("_sequence").isNull() | F.contains("_text", F.col("_sequence")))
-        return hits.groupBy(*by, "keyword", "rating").agg(F.count(F.lit(1)).alias("n"))
-
-    if blocks == 1:
-        return counted(keys)
-    block = F.pmod(F.xxhash64("keyword"), F.lit(blocks))
-    return reduce(DataFrame.unionByName, [counted(keys.filter(block == i)) for i in range(blocks)])
-
-
-def _marked_runs(runs: Column) -> Column:
-    """Runs with a mark before, between and after them, so that whole runs can be found.
-
-    A mark that stands in a text is escaped: the mark and its escape are no word
-    characters, so a run of word characters never holds them.
-    """
-    escaped = F.transform(
-        runs, lambda r: F.replace(F.replace(r, F.lit("\x02"), F.lit("\x02b")), F.lit("\x01"), F.lit("\x02a"))
+    keys = keys.select("keyword", runs.alias("_parts"), F.size(runs).alias("_length"))
+    first_is_word = F.get("_parts", F.lit(0)).rlike(WORD_CHAR)
+    shape = F.struct(F.least("_length", F.lit(HEAD_RUNS + 1)).alias("length"), first_is_word.alias("word"))
+    marks = F.array_distinct(F.regexp_extract_all("keyword", F.lit(OTHER_CHAR), 0))
+    # The first row of a keyword counts for it.
+    first = F.coalesce(F.col("_i"), F.lit(0)) == 0
+    measured = (
+        keys.select("keyword", shape.alias("_shape"), F.posexplode_outer(marks).alias("_i", "_mark"))
+        .agg(
+            F.sum(F.when(first, F.length("keyword") + ENTRY_CHARS)).alias("size"),
+            F.count(F.when(first, 1)).alias("n"),
+            F.collect_set("_shape").alias("shapes"),
+            F.collect_set("_mark").alias("marks"),
+        )
+        .first()
     )
-    return F.concat(F.lit("\x01"), F.array_join(escaped, "\x01"), F.lit("\x01"))
-
+    small = (measured.size or 0) <= BLOCK_CHARS
+    hashed = measured.n <= HASHED_KEYWORDS
+    whole = sorted((s.length, s.word) for s in measured.shapes if s.length <= HEAD_RUNS)
+    longer = sorted(s.word for s in measured.shapes if s.length > HEAD_RUNS)
+    between = _one_of(measured.marks)
+    lowered = F.lower(F.col(text))
+    rated = [*by, standardize_rating(F.col(rating)).alias("rating")]
+
+    def counted(found: DataFrame, known: DataFrame) -> DataFrame:
+        """Reviews of every keyword from ``found``, the windows of each review, each once."""
+        found = found.withColumnRenamed("_window", "keyword")
+        known = known.select("keyword")
+        if small:
+            found = found.join(F.broadcast(known), "keyword")
+        elif hashed:
+            hashes = known.select(F.xxhash64("keyword").alias("_hash")).distinct()
+            found = found.withColumn("_hash", F.xxhash64("keyword"))
+            found = found.join(F.broadcast(hashes), "_hash", "left_semi")
+        counts = found.groupBy(*by, "keyword", "rating").agg(F.count(F.lit(1)).alias("n"))
+        return counts if small else counts.join(known, "keyword").select(*by, "keyword", "rating", "n")
+
+    windows = [F.regexp_extract_all(lowered, F.lit(_window_pattern(*s, between))) for s in whole]
+    windows = F.concat(*windows) if windows else F.array().cast("array<string>")
+    found = reviews.select(*rated, F.explode(F.array_distinct(windows)).alias("_window"))
+    result = counted(found, keys.filter(F.col("_length") <= HEAD_RUNS))
+    if longer:
+        known = keys.filter(F.col("_length") > HEAD_RUNS)
+        # As long as the shortest of them with a word before and after it.
+        stretch = f"{WORD_CHAR}++(?:{between}++{WORD_CHAR}++){{{(HEAD_RUNS + 1) // 2},}}+"
+        stretches = F.array_distinct(F.regexp_extract_all(lowered, F.lit(f"({stretch})")))
+        texts = reviews.select(*rated, F.monotonically_increasing_id().alias("_doc"), stretches.alias("_in"))
+        texts = texts.select("*", F.explode("_in").alias("_text")).drop("_in")
+        found = _longer_windows(texts, known, longer, between, small)
+        result = result.unionByName(counted(found, known))
+    return result
+
+
+def _one_of(marks: Sequence[str]) -> str:
+    """Java pattern for the characters between words that keywords have."""
+    if not 0 < len(marks) <= MAX_MARKS:
+        return OTHER_CHAR
+    return "[" + "".join(f"\\x{{{ord(mark):x}}}" for mark in sorted(marks)) + "]"
+
+
+def _window_pattern(length: int, word: bool, between: str) -> str:
+    """Java pattern whose group is a window of ``length`` runs of a text, the first of them of
+    word characters or not. A match ends with the first run, so windows overlap."""
+    kinds = [WORD_CHAR if word == (i % 2 == 0) else between for i in range(length)]
+    before = f"(?<!{WORD_CHAR})" if word else f"(?<={WORD_CHAR})"
+    after = "" if kinds[-1] == WORD_CHAR else f"(?={WORD_CHAR})"
+    rest = "".join(f"{kind}++" for kind in kinds)
+    if length == 1:
+        return f"{before}({rest}){after}"
+    return f"{before}(?=({rest}{after})){kinds[0]}++"
+
+
+def _longer_windows(
+    stretches: DataFrame, known: DataFrame, starts: Sequence[bool], between: str, small: bool
+) -> DataFrame:
+    """The distinct windows in ``_window`` of every ``_doc`` that are as long as a keyword with the same
+    first runs. A stretch (``_text``) of a document starts and ends with a word. The first runs of a
+    table that is not small are met by their hashes."""
+    head = F.array_join(F.slice("_parts", 1, HEAD_RUNS), "")
+    heads = known.groupBy((head if small else F.xxhash64(head)).alias("_head"))
+    heads = heads.agg(F.collect_set("_length").alias("_lengths"))
+
+    def places(word: bool) -> Column:
+        # The windows that start with a word begin at the runs 1, 3, 5 and so on of the stretch.
+        found = F.regexp_extract_all("_text", F.lit(_window_pattern(HEAD_RUNS, word, between)))
+        first = 1 if word else 2
+        return F.transform(
+            found,
+            lambda w, i: F.struct(
+                (i * 2 + first).alias("_at"), (w if small else F.xxhash64(w)).alias("_head")
+            ),
+        )
 
-def _inner_runs(runs: Column) -> Column:
-    """Runs of a text without the marks at its two ends, where no word boundary lies outside."""
-    return let(
-        runs,
-        lambda all_runs: F.filter(
-            all_runs,
-            lambda run, i: ((i > 0) & (i < F.size(all_runs) - 1)) | run.rlike(WORD_CHAR),
-        ),
+    others = [c for c in stretches.columns if c != "_text"]
+    placed = stretches.select(
+        *others,
+        F.regexp_extract_all("_text", F.lit(RUNS)).alias("_runs"),
+        F.concat(*[places(word) for word in starts]).alias("_places"),
     )
+    placed = placed.select(*others, "_runs", F.inline("_places"))
+    met = placed.join(F.broadcast(heads), "_head").withColumn("_length", F.explode("_lengths"))
+    window = F.array_join(F.slice("_runs", F.col("_at"), F.col("_length")), "")
+    return met.select(*others, window.alias("_window")).distinct().drop("_doc")
 
 
 def keyword_by_rating(
