@@ -133,3 +133,22 @@ def joins(df):
             children = node.children()
             todo += [children.apply(i) for i in range(children.size())]
     return found
+
+
+def test_long_keywords_between_boundaries(spark, monkeypatch):
+    words = ["a b c d", "a b c d!", "b c d!! e", ", c, d, e", "a,b,c,d", "c d", "d e f g h", "ä ö ü ß"]
+    texts = ["a b c d", "a b c d!", "A b c d!! e", "a b c d!x", "b, c, d, e", ", c, d, e", "xa b c d", "d e f g hi",
+             "d e f g h", "a b c dx a b c d", "Ä Ö ü ß.", "(a,b,c,d)", None, "", "!!", "a b c d a b c d"]
+    df = spark.createDataFrame([(t, "1 star") for t in texts], "review_text string, rating string")
+    table = spark.createDataFrame([(w,) for w in words], "keyword string")
+    want = {
+        (w, "1 star"): n
+        for w in words
+        if (n := sum(bool(re.search(r"\b" + re.escape(w) + r"\b", (t or "").lower())) for t in texts))
+    }
+    assert counted(kw.keyword_table_mentions(df, table)) == want
+    monkeypatch.setattr(kw, "BLOCK_CHARS", 150)
+    assert counted(kw.keyword_table_mentions(df, table)) == want
+    monkeypatch.setattr(kw, "HASHED_KEYWORDS", 1)
+    assert counted(kw.keyword_table_mentions(df, table)) == want
+
