@@ -1,4 +1,5 @@
 import math
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -135,3 +136,28 @@ def test_plans_stay_in_the_jvm_and_shuffle_no_text(corpus):
     assert "Python" not in plan
     assert "NestedLoop" not in plan and "Cartesian" not in plan
     assert df.select(F.count("*")).first()[0] == 83
+
+
+@pytest.mark.parametrize("by", [[], ["venue"]])
+def test_only_ngrams_between_frequent_words_are_counted(spark, monkeypatch, by):
+    """Texts of 400 words in ever new orders: nearly every pair of words is another one."""
+    draw = random.Random(5)
+    vocabulary = [f"{a}{b}{c}" for a in "bcdfghklmp" for b in "aeio" for c in "lmnprstvxz"]
+    weights = [1 / (i + 1) for i in range(len(vocabulary))]
+    rows = [(None if i % 3 else "v", " ".join(draw.choices(vocabulary, weights, k=150))) for i in range(200)]
+    df = spark.createDataFrame(rows, "venue string, review_text string")
+    counted, top = [], terms.top_terms_by_count
+
+    def spied(counts, *given):
+        counted.append(counts.count())
+        return top(counts, *given)
+
+    monkeypatch.setattr(terms, "top_terms_by_count", spied)
+    got = defaultdict(list)
+    for r in terms.tfidf_top_terms(df, by=by, max_features=20).collect():
+        got[r.venue if by else 0].append((r.term, round(r.score, 9)))
+    for venue in ([None, "v"] if by else [0]):
+        want = python_tfidf([t for v, t in rows if not by or v == venue], features=20)
+        assert sorted(got[venue]) == sorted((w, round(s, 9)) for w, s in want)
+    # Before, all distinct n-grams: some ten thousand.
+    assert counted and max(counted) <= 2 * (25 + 25 * 25)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from visitorlens.functions.text import (
@@ -79,27 +79,41 @@ def tfidf_top_terms(
     """``(*by, term, score)``: top terms by tf-idf weight summed over all documents.
 
     The vocabulary is the ``max_features`` most frequent terms; every row counts as a
-    document, also empty ones. Two passes over the text: the first only counts n-grams
-    and leaves at most ``max_features`` terms per group; the second joins the terms of
-    every document with them. Of a document only its counts of terms in the vocabulary are
-    shuffled; document frequencies and norms come from those.
+    document, also empty ones. An n-gram is no more frequent than any of its words, so only
+    n-grams between words that are as frequent as the last of the ``max_features`` first words
+    can be among them. Three passes over the text: the first counts single words, the second
+    those n-grams, the third joins the terms of every document with the vocabulary. Of a document
+    only its counts of such terms are shuffled. If those words are too many to be sent (groups
+    in their thousands, or most words equally rare), all n-grams are counted.
     """
     terms = document_terms(F.col(text), stop_words, sizes)
-    counts = reviews.select(*by, F.explode(terms).alias("term")).groupBy(*by, "term")
-    frequent = top_terms_by_count(counts.agg(F.count(F.lit(1)).alias("n")), max_features, by)
-    frequent = frequent.select(*by, "term")
-    vocabulary = _as_broadcast(frequent)
     documents = reviews.select(*by, F.monotonically_increasing_id().alias("_doc"), terms.alias("_terms"))
+    found = documents.select(*by, "_doc", F.explode("_terms").alias("term"), F.lit(1).alias("tf"))
+    words = None
+    if sizes[0] == 1:
+        tokens = content_tokens(F.col(text), stop_words)
+        single = reviews.select(*by, F.explode(tokens).alias("term"))
+        words = _as_broadcast(_most_frequent_words(single, max_features, by))
+    if words is None:
+        counts = reviews.select(*by, F.explode(terms).alias("term")).groupBy(*by, "term")
+        counts = counts.agg(F.count(F.lit(1)).alias("n"))
+        frequent = top_terms_by_count(counts, max_features, by).select(*by, "term")
+    else:
+        counted = _between_words(found, words, by).groupBy(*by, "_doc", "term").agg(F.sum("tf").alias("tf"))
+        counts = counted.groupBy(*by, "term")
+        counts = counts.agg(F.sum("tf").alias("n"), F.count(F.lit(1)).alias("n_docs"))
+        frequent = top_terms_by_count(counts, max_features, by).select(*by, "term", "n_docs")
+    vocabulary = _as_broadcast(frequent)
     if vocabulary is None:
         # Too large to be sent: documents are reduced to their distinct terms before the shuffle.
         found = documents.select(*by, "_doc", F.inline(count_terms(F.col("_terms"))))
-        matched = _of_groups(found, frequent, by)
-    else:
-        found = documents.select(*by, "_doc", F.explode("_terms").alias("term"), F.lit(1).alias("tf"))
-        matched = _of_groups(found, vocabulary, by)
+    known = frequent if vocabulary is None else vocabulary
     # At most ``max_features`` rows per document from here on.
-    counted = matched.groupBy(*by, "_doc", "term").agg(F.sum("tf").alias("tf"))
-    used = counted.groupBy(*by, "term").agg(F.count(F.lit(1)).alias("n_docs"))
+    counted = _of_groups(found, known.select(*by, "term"), by)
+    counted = counted.groupBy(*by, "_doc", "term").agg(F.sum("tf").alias("tf"))
+    used = known
+    if words is None:
+        used = counted.groupBy(*by, "term").agg(F.count(F.lit(1)).alias("n_docs"))
     total = reviews.groupBy(*by).agg(F.count(F.lit(1)).alias("n_all"))
     used = null_safe_join(used, total, by) if by else used.withColumn("n_all", total.scalar())
     idf = F.log((1 + F.col("n_all")) / (1 + F.col("n_docs"))) + 1
@@ -118,6 +132,27 @@ def tfidf_top_terms(
     return scored.orderBy(*order).limit(k)
 
 
+def _most_frequent_words(words: DataFrame, k: int, by: Sequence[str]) -> DataFrame:
+    """``(*by, term)``: words (of every group) with fewer than ``k`` more frequent ones, ties included."""
+    counts = words.groupBy(*by, "term").agg(F.count(F.lit(1)).alias("n"))
+    rank = F.rank().over(Window.partitionBy(*by).orderBy(F.desc("n")))
+    return counts.withColumn("_rank", rank).filter(F.col("_rank") <= k).select(*by, "term")
+
+
+def _between_words(found: DataFrame, words: DataFrame, by: Sequence[str]) -> DataFrame:
+    """``found`` whose terms begin and end with one of its group's ``words``."""
+    columns = found.columns
+    for place in (1, -1):
+        known = words.withColumnRenamed("term", "_word")
+        found = found.withColumn("_end", F.substring_index("term", " ", place))
+        known = known.withColumnsRenamed({c: f"_of_{c}" for c in by})
+        same = F.col("_end") == F.col("_word")
+        for c in by:
+            same &= F.col(c).eqNullSafe(F.col(f"_of_{c}"))
+        found = found.join(F.broadcast(known), same, "left_semi").select(columns)
+    return found
+
+
 def _of_groups(rows: DataFrame, terms: DataFrame, by: Sequence[str]) -> DataFrame:
     """``rows`` whose group and term ``terms`` has, with its other columns. Groups may be
     null, terms are not: an ordinary key is faster."""
