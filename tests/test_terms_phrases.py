@@ -161,3 +161,13 @@ def test_only_ngrams_between_frequent_words_are_counted(spark, monkeypatch, by):
         assert sorted(got[venue]) == sorted((w, round(s, 9)) for w, s in want)
     # Before, all distinct n-grams: some ten thousand.
     assert counted and max(counted) <= 2 * (25 + 25 * 25)
+
+
+def test_tfidf_with_words_of_equal_counts(spark):
+    """Ties at the last place of the vocabulary, among words and between words and pairs."""
+    texts = ["ab cd ab cd", "ef gh", "ij kl ij kl", "mn op", "ab ef", "zz ab cd", "gh ef op mn", "qr"]
+    df = spark.createDataFrame([(t,) for t in texts], "review_text string")
+    for features in (1, 2, 3, 5, 8, 13, 50):
+        got = [(r.term, round(r.score, 9)) for r in terms.tfidf_top_terms(df, max_features=features).collect()]
+        want = python_tfidf(texts, features=features)
+        assert sorted(got) == sorted((w, round(s, 9)) for w, s in want)
