@@ -171,3 +171,23 @@ def test_tfidf_with_words_of_equal_counts(spark):
         got = [(r.term, round(r.score, 9)) for r in terms.tfidf_top_terms(df, max_features=features).collect()]
         want = python_tfidf(texts, features=features)
         assert sorted(got) == sorted((w, round(s, 9)) for w, s in want)
+
+
+def counted_reads(spark, data):
+    """Reviews and a count of how often one of them was read."""
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(row):
+        read.add(1)
+        return row
+
+    rows = spark.sparkContext.parallelize(data, 3).map(seen)
+    return spark.createDataFrame(rows, "venue string, review_text string"), read
+
+
+@pytest.mark.parametrize("by", [[], ["venue"]])
+def test_rake_reads_the_texts_once(spark, corpus, by):
+    data, _ = corpus
+    df, read = counted_reads(spark, data)
+    scored = phrases.score_phrases(phrases.candidate_phrases(df, by), by)
+    assert scored.collect() and read.value == len(data)

@@ -8,12 +8,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from visitorlens.functions.text import ENGLISH_STOP_WORDS, count_terms, split_phrases
-from visitorlens.operators.scale import hot_key_join, is_small, salted_join
+from visitorlens.operators.scale import hot_key_join, salted_join
 
 # Shortest and longest phrase, in words.
 MIN_WORDS = 2
 MAX_WORDS = 4
-# Words whose scores may be sent to the phrases, some forty bytes each.
+# Words whose scores may be sent to the phrases, some forty bytes each: those that more than one
+# in so many words of all phrases are.
 BROADCAST_WORDS = 200_000
 
 
@@ -73,11 +74,6 @@ def score_phrases(phrases: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """
     words = _phrase_words(phrases, by)
     stats = word_scores(phrases, by).select(*by, "word", "score", "n_phrases")
-    if not by and is_small(stats, BROADCAST_WORDS):
-        scored = words.join(F.broadcast(stats.drop("n_phrases")), "word")
-        return scored.groupBy("phrase", "n").agg(
-            F.round(F.sum(F.col("score") * F.col("times")), 9).alias("rake")
-        )
     if by:
         key = F.struct(*by, "word")
         words = words.withColumn("_key", key)
@@ -85,7 +81,8 @@ def score_phrases(phrases: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     else:
         words = words.withColumnRenamed("word", "_key")
         stats = stats.withColumnRenamed("word", "_key")
-    scored = hot_key_join(words, stats, "_key", "n_phrases")
+    sent = [BROADCAST_WORDS] if BROADCAST_WORDS else []
+    scored = hot_key_join(words, stats, "_key", "n_phrases", *sent)
     return scored.groupBy(*by, "phrase", "n").agg(
         F.round(F.sum(F.col("score") * F.col("times")), 9).alias("rake")
     )
@@ -121,12 +118,17 @@ def repeat_phrases(scored: DataFrame) -> DataFrame:
     )
 
 
-def phrase_frequency(phrases: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Adds ``freq`` = n / largest n. An empty table stays empty."""
+def phrase_frequency(
+    phrases: DataFrame, by: Sequence[str] = (), counts: DataFrame | None = None
+) -> DataFrame:
+    """Adds ``freq`` = n / largest n. An empty table stays empty.
+
+    ``counts`` has the same phrases and numbers if ``phrases`` took long to compute from it.
+    """
     if not by:
-        top = phrases.agg(F.max("n")).scalar()
+        top = (phrases if counts is None else counts).agg(F.max("n")).scalar()
         return phrases.withColumn("freq", F.col("n") / top)
-    top = phrases.groupBy(*by).agg(F.max("n").alias("_top"))
+    top = (phrases if counts is None else counts).groupBy(*by).agg(F.max("n").alias("_top"))
     return (
         salted_join(phrases, top, by).withColumn("freq", F.col("n") / F.col("_top")).drop("_top")
     )

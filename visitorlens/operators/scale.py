@@ -80,12 +80,19 @@ def hot_key_join(
     ``stats`` has one row per key and the key's row count in ``weight``. Keys with
     more than ``1/hot_keys`` of the rows number at most ``hot_keys`` by arithmetic, so
     they are broadcast; all other keys are light and take an ordinary shuffled join.
+
+    Every use of ``stats`` reads all of its columns: with fewer of them it would be another
+    plan, and what it is made of would be computed once more.
     """
-    total = stats.agg(F.coalesce(F.sum(weight), F.lit(0))).scalar()
-    hot = stats.filter(F.col(weight) * hot_keys > total)
-    light = stats.filter(F.col(weight) * hot_keys <= total)
-    of_hot = big.join(F.broadcast(hot), on)
-    of_light = big.join(F.broadcast(hot.select(on)), on, "left_anti").join(light, on)
+    others = [c for c in stats.columns if c != on]
+    read = [F.count(c).alias(f"_n{i}") for i, c in enumerate(others)]
+    total = stats.agg(F.struct(F.coalesce(F.sum(weight), F.lit(0)).alias("_all"), *read)).scalar()
+    limit = total.getField("_all")
+    hot = stats.filter(F.col(weight) * hot_keys > limit)
+    light = stats.filter(F.col(weight) * hot_keys <= limit)
+    met = big.join(F.broadcast(hot.select(on, F.struct(*others).alias("_held"))), on, "left")
+    of_hot = met.filter(F.col("_held").isNotNull()).select(*big.columns, "_held.*")
+    of_light = met.filter(F.col("_held").isNull()).select(*big.columns).join(light, on)
     return of_hot.unionByName(of_light)
 
 
