@@ -1,8 +1,11 @@
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from visitorlens.operators import topics as tp
+from visitorlens.plans import queries
 
 RNG = np.random.default_rng(7)
 ITEMS = [(f"i{i}", [float(x) for x in RNG.normal(size=8)], i / 40) for i in range(40)]
@@ -92,3 +95,31 @@ def test_hashed_embedding_prefers_shared_spelling(spark):
     )
     got = {r.phrase: r.topic for r in tp.phrase_topics(phrases, tp.embed_hashed).collect()}
     assert got == {"parking garage": "ux", "seating layout": "architecture"}
+
+
+def test_phrase_topics_read_the_texts_once(spark, monkeypatch):
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(row):
+        read.add(1)
+        return row
+
+    texts = [(f"the parking garage {i % 7} and seating layout and the staff of it",) for i in range(40)]
+    df = spark.createDataFrame(spark.sparkContext.parallelize(texts, 2).map(seen), "review_text string")
+    monkeypatch.setattr(queries.fx, "texts", lambda spark, sf: df)
+    assert queries.QUERIES["phrase_topic_hashed"](spark, "").collect()
+    assert read.value == len(texts)
+
+
+def test_hashed_trigrams_equal_brute_force(spark):
+    texts = ["", None, "a", "Ab", "é😀 x", "aaaaaaa", "red chair", "\n", "seating layout"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for dimensions in (512, 40):
+        for r in tp.embed_hashed(df, "t", dimensions).collect():
+            padded, want = f" {(r.t or '').lower()} ", [0] * dimensions
+            codes = [*map(ord, padded), 0]
+            for a, b, c in zip(codes, codes[1:], codes[2:] if len(padded) > 2 else [0], strict=False):
+                if len(padded) == 2 or c:
+                    want[(a * 961 + b * 31 + c) % dimensions] += 1
+            norm = math.sqrt(sum(n * n for n in want))
+            assert r.embedding == [n / norm for n in want]

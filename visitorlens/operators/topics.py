@@ -50,13 +50,17 @@ TOP_ITEMS = 10
 SEEDS_PER_BLOCK = 2_000
 
 
-def _similarity_udf(n_topics: int, matrices: Broadcast):
+def _similarity_udf(n_topics: int, width: int, matrices: Broadcast):
     """Vectorised kernel: a batch of vectors against the unit seed vectors of every topic."""
 
     @F.arrow_udf(T.ArrayType(T.DoubleType()))
     def best(vectors: pa.Array) -> pa.Array:
-        rows = vectors.flatten().to_numpy(zero_copy_only=False).astype("float64")
-        rows = rows.reshape(len(vectors), -1)
+        rows = vectors.flatten().to_numpy(zero_copy_only=False).astype("float64").reshape(-1, width)
+        if vectors.null_count:
+            # A null vector is a zero vector.
+            given = vectors.is_valid().to_numpy(zero_copy_only=False)
+            known, rows = rows, np.zeros((len(vectors), width))
+            rows[given] = known
         norms = np.linalg.norm(rows, axis=1, keepdims=True)
         # A zero vector stays zero, so that its cosine is 0.
         rows = np.divide(rows, norms, out=np.zeros_like(rows), where=norms > 0)
@@ -122,8 +126,8 @@ def _best_scores(seeds: DataFrame, vector: str, block: int) -> tuple[list[str],
         matrices = [
             _unit_rows([r.embedding for r in part if r.topic == t], width) for t in topics
         ]
-        given = F.coalesce(F.col(vector).cast("array<double>"), F.array_repeat(F.lit(0.0), width))
-        scores = _similarity_udf(len(topics), context.broadcast(matrices))(given)
+        given = F.col(vector).cast("array<double>")
+        scores = _similarity_udf(len(topics), width, context.broadcast(matrices))(given)
         best = scores if best is None else F.zip_with(best, scores, lambda a, b: F.greatest(a, b))
     return topics, best
 
@@ -232,33 +236,34 @@ def embed_hashed(
     codes, modulo ``dimensions``. Null text is an empty one.
     """
     padded = F.concat(F.lit(" "), F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(" "))
+    return items.withColumn(out, _trigram_udf(dimensions)(padded))
 
 
-    def place(at: Column) -> Column:
-        first, second, third = (
-            F.ascii(F.substring(F.col("_chars"), at + i, F.lit(1))).cast("long") for i in range(3)
-        )
-        return F.pmod(first * 961 + second * 31 + third, F.lit(dimensions)).cast("int")
-
-    starts = F.sequence(F.lit(1), F.greatest(F.length("_chars") - 2, F.lit(1)))
-    found = items.withColumn("_chars", padded)
-    found = found.withColumn("_places", F.sort_array(F.transform(starts, place)))
-    found = found.withColumn("_at", F.array_distinct("_places"))
-    count = F.transform("_at", lambda p: F.size(F.filter("_places", lambda x: x == p)).cast("double"))
-    found = found.withColumn("_n", count)
-    squares = F.aggregate("_n", F.lit(0.0), lambda total, c: total + c * c)
-    found = found.withColumn("_norm", F.sqrt(squares))
-    # The counts at the sorted places, with runs of zeros between them.
-    before = F.transform(
-        "_at",
-        lambda p, i: F.concat(
-            F.array_repeat(F.lit(0.0), p - F.coalesce(F.get("_at", i - 1), F.lit(-1)) - 1),
-            F.array(F.get("_n", i) / F.col("_norm")),
-        ),
-    )
-    after = F.array_repeat(F.lit(0.0), F.lit(dimensions - 1) - F.array_max("_at"))
-    unit = found.withColumn(out, F.concat(F.flatten(before), after))
-    return unit.drop("_chars", "_places", "_at", "_n", "_norm")
+def _trigram_udf(dimensions: int):
+    """Vectorised kernel: padded texts to unit vectors of their trigrams' counts."""
+
+    @F.arrow_udf(T.ArrayType(T.DoubleType()))
+    def unit(texts: pa.Array) -> pa.Array:
+        parts = texts.to_pylist()
+        sizes = np.array([len(t) for t in parts], dtype="int64")
+        # Two more characters of code 0, for a text of only two.
+        codes = np.array([*map(ord, "".join(parts)), 0, 0], dtype="int64")
+        places = (codes[:-2] * 961 + codes[1:-1] * 31 + codes[2:]) % dimensions
+        ends = np.cumsum(sizes)
+        short = ends[sizes == 2] - 2
+        places[short] = (codes[short] * 961 + codes[short + 1] * 31) % dimensions
+        # All characters begin a trigram but a text's last two; a text of two has one.
+        begins = np.ones(len(places), dtype=bool)
+        begins[ends - 1] = False
+        begins[ends[sizes > 2] - 2] = False
+        row = np.repeat(np.arange(len(parts)), sizes)[begins]
+        rows = np.bincount(row * dimensions + places[begins], minlength=len(parts) * dimensions)
+        rows = rows.astype("float64").reshape(len(parts), dimensions)
+        rows /= np.sqrt((rows * rows).sum(axis=1, keepdims=True))
+        offsets = np.arange(len(parts) + 1, dtype="int32") * dimensions
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(rows.reshape(-1)))
+
+    return unit
 
 
 def seed_table(spark, seeds: Mapping[str, Sequence[str]] = DEFAULT_SEEDS) -> DataFrame:

@@ -345,8 +345,9 @@ def topic_top_items(spark, sf):
 @query
 def phrase_topic_hashed(spark, sf):
     """Keyphrases of all reviews to topics, embedded by hashed character trigrams."""
-    ranked = phrases.score_phrases(phrases.candidate_phrases(fx.texts(spark, sf)))
-    assigned = topics.phrase_topics(phrases.phrase_frequency(ranked), topics.embed_hashed)
+    found = phrases.candidate_phrases(fx.texts(spark, sf))
+    ranked = phrases.phrase_frequency(phrases.score_phrases(found), counts=found)
+    assigned = topics.phrase_topics(ranked, topics.embed_hashed)
     # Equal scores are equal in the ranking too, however their sums were rounded.
     assigned = assigned.withColumn("score", F.round("score", 9))
     top = topics.topic_top_items(assigned, ties=[F.desc("rake")], item_id="phrase")
@@ -366,8 +367,9 @@ def phrase_topic_letters(spark, sf):
         )
         return df.withColumn("embedding", counts)
 
-    ranked = phrases.score_phrases(phrases.candidate_phrases(fx.texts(spark, sf)))
-    assigned = topics.phrase_topics(phrases.phrase_frequency(ranked), embed)
+    found = phrases.candidate_phrases(fx.texts(spark, sf))
+    ranked = phrases.phrase_frequency(phrases.score_phrases(found), counts=found)
+    assigned = topics.phrase_topics(ranked, embed)
     return _rounded(assigned.select("phrase", "topic", "n", "score"), "score")
 
 
