@@ -1,3 +1,4 @@
+import random
 import re
 from collections import Counter
 
@@ -152,3 +153,33 @@ def test_long_keywords_between_boundaries(spark, monkeypatch):
     monkeypatch.setattr(kw, "HASHED_KEYWORDS", 1)
     assert counted(kw.keyword_table_mentions(df, table)) == want
 
+
+def test_texts_are_cut_once(spark):
+    """Nothing of a text or its rating is made again for its windows, and whole texts meet no window pattern."""
+    words = ["seat", "c++x", "a-b", "x!", "-y", "a-b-c-d"]
+    df = spark.createDataFrame([("A seat, c++x. a-b-c-d x!y", "1 star")], "review_text string, rating string")
+    table = spark.createDataFrame([(w,) for w in words], "keyword string")
+    result = kw.keyword_table_mentions(df, table)
+    assert counted(result) == {(w, "1 star"): 1 for w in words if w != "-y"}
+    plan = result._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    generate = [line for line in plan if "Generate explode(" in line and "array_distinct" in line]
+    assert len(generate) == 2 and all("regexp_extract_all(_marked#" in line for line in generate)
+    assert not any("regexp_extract_all(_lowered#" in line or "regexp_extract_all(lower(" in line for line in generate)
+    first = next(i for i, line in enumerate(plan) if "Generate explode(" in line and "array_distinct" in line)
+    assert not any("btrim" in line for line in plan[:first])
+    assert not any("Filter" in line and "size(" in line and "regexp" in line for line in plan)
+
+
+def test_marks_between_any_neighbours(spark):
+    """Random texts of few characters: marks that keywords have, marks that none has, words."""
+    draw = random.Random(3)
+    texts = ["".join(draw.choices("aab\u00e9_1!!--(; .", k=draw.randint(0, 30))) for _ in range(300)]
+    words = sorted({"".join(draw.choices("ab\u00e91!!--(", k=draw.randint(1, 7))) for _ in range(300)})
+    df = spark.createDataFrame([(t, "1 star") for t in texts], "review_text string, rating string")
+    want = {
+        (w, "1 star"): n
+        for w in words
+        if (n := sum(bool(re.search(r"\b" + re.escape(w) + r"\b", t)) for t in texts))
+    }
+    table = spark.createDataFrame([(w,) for w in words], "keyword string")
+    assert counted(kw.keyword_table_mentions(df, table)) == want

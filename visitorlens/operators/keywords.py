@@ -34,14 +34,17 @@ ENTRY_CHARS = 64
 HASHED_KEYWORDS = 2_000_000
 # Keywords of up to so many runs are looked up whole, longer ones by their first so many.
 HEAD_RUNS = 3
+# The shape of a keyword that is one run of word characters.
+ONE_WORD = (1, True)
 # A table with more kinds of other characters than that is met by runs of any of them.
 MAX_MARKS = 500
 
 # Letters, digits and underscore of any script. Spelled out because the meaning of
-# \w and \b in Java depends on the version, and is ASCII-only in recent ones.
-WORD_CHAR = r"[\p{L}\p{N}_]"
-RUNS = r"([\p{L}\p{N}_]+|[^\p{L}\p{N}_]+)"
-OTHER_CHAR = r"[^\p{L}\p{N}_]"
+# \w and \b in Java depends on the version, and is ASCII-only in recent ones. Java tries the
+# parts in this order, and most letters are among the first.
+WORD_CHAR = r"[a-z0-9_\p{L}\p{N}]"
+OTHER_CHAR = r"[^a-z0-9_\p{L}\p{N}]"
+RUNS = f"({WORD_CHAR}+|{OTHER_CHAR}+)"
 
 
 def _edge(neighbour: str, char_is_word: bool, look: str) -> str:
@@ -119,15 +122,18 @@ def keyword_table_mentions(
     keywords by equality: how many keywords begin alike plays no part. Of longer keywords the first
     runs are joined so, with the lengths that follow them, and the windows of those lengths
     at the places found are joined with the keywords in turn. Windows with a character between
-    words that no keyword has are never made.
+    words that no keyword has are never made: single words are cut out by one split of the text, and
+    windows with marks are looked for only in the stretches that hold one.
 
     A table that is too large to be broadcast is joined with counted windows, after those
     whose hash no keyword has were dropped.
     """
-    keys = keyword_table.select("keyword").filter(F.col("keyword") != "").distinct()
-    runs = F.regexp_extract_all("keyword", F.lit(RUNS))
-    keys = keys.select("keyword", runs.alias("_parts"), F.size(runs).alias("_length"))
-    first_is_word = F.get("_parts", F.lit(0)).rlike(WORD_CHAR)
+    keys = keyword_table.select("keyword").filter(F.col("keyword") != "")
+    # An aggregate, since Spark holds whatever is filtered by an expression of a keyword against every
+    # window that it is joined with.
+    runs = F.size(F.regexp_extract_all("keyword", F.lit(RUNS)))
+    keys = keys.groupBy("keyword").agg(F.max(runs).alias("_length"))
+    first_is_word = F.col("keyword").rlike(f"^{WORD_CHAR}")
     shape = F.struct(F.least("_length", F.lit(HEAD_RUNS + 1)).alias("length"), first_is_word.alias("word"))
     marks = F.array_distinct(F.regexp_extract_all("keyword", F.lit(OTHER_CHAR), 0))
     # The first row of a keyword counts for it.
@@ -163,17 +169,27 @@ def keyword_table_mentions(
         counts = found.groupBy(*by, "keyword", "rating").agg(F.count(F.lit(1)).alias("n"))
         return counts if small else counts.join(known, "keyword").select(*by, "keyword", "rating", "n")
 
-    windows = [F.regexp_extract_all(lowered, F.lit(_window_pattern(*s, between))) for s in whole]
-    windows = F.concat(*windows) if windows else F.array().cast("array<string>")
-    found = reviews.select(*rated, F.explode(F.array_distinct(windows)).alias("_window"))
+    texts = reviews.select(*rated, lowered.alias("_lowered"))
+    if longer or any(s != ONE_WORD for s in whole):
+        texts = texts.withColumn("_marked", _with_marks(F.col("_lowered"), measured.marks))
+    # Windows of different shapes differ. Arrays are exploded where they are made: of a column, Spark
+    # would make them twice, and the other columns made beside them would be made for every window.
+    windows = [
+        F.split("_lowered", f"{OTHER_CHAR}+")
+        if s == ONE_WORD
+        else F.regexp_extract_all("_marked", F.lit(_window_pattern(*s, between)))
+        for s in whole
+    ]
+    windows = F.concat(*map(F.array_distinct, windows)) if windows else F.array().cast("array<string>")
+    found = texts.select(*by, "rating", F.explode(windows).alias("_window"))
     result = counted(found, keys.filter(F.col("_length") <= HEAD_RUNS))
     if longer:
         known = keys.filter(F.col("_length") > HEAD_RUNS)
         # As long as the shortest of them with a word before and after it.
         stretch = f"{WORD_CHAR}++(?:{between}++{WORD_CHAR}++){{{(HEAD_RUNS + 1) // 2},}}+"
-        stretches = F.array_distinct(F.regexp_extract_all(lowered, F.lit(f"({stretch})")))
-        texts = reviews.select(*rated, F.monotonically_increasing_id().alias("_doc"), stretches.alias("_in"))
-        texts = texts.select("*", F.explode("_in").alias("_text")).drop("_in")
+        stretches = F.array_distinct(F.regexp_extract_all("_marked", F.lit(f"({stretch})")))
+        texts = texts.select(*by, "rating", "_marked", F.monotonically_increasing_id().alias("_doc"))
+        texts = texts.select(*by, "rating", "_doc", F.explode(stretches).alias("_text"))
         found = _longer_windows(texts, known, longer, between, small)
         result = result.unionByName(counted(found, known))
     return result
@@ -186,6 +202,19 @@ def _one_of(marks: Sequence[str]) -> str:
     return "[" + "".join(f"\\x{{{ord(mark):x}}}" for mark in sorted(marks)) + "]"
 
 
+def _with_marks(lowered: Column, marks: Sequence[str]) -> Column:
+    """The stretches of words and ``marks`` in a text that hold a mark, each once, a space apart. Every
+    window with a mark and its neighbours lie in one. White space among the marks, as in
+    phrases, would join most of the text to one stretch: then, as without marks, the text is left as it is."""
+    one_of = _one_of(marks)
+    if one_of == OTHER_CHAR or any(mark.isspace() for mark in marks):
+        return lowered
+    either = f"(?:{WORD_CHAR}|{one_of})"
+    stretch = f"((?<!{either}){WORD_CHAR}*+{one_of}{either}*+)"
+    stretches = F.array_distinct(F.regexp_extract_all(lowered, F.lit(stretch)))
+    return F.when(lowered.rlike(one_of), F.array_join(stretches, " ")).otherwise(F.lit(""))
+
+
 def _window_pattern(length: int, word: bool, between: str) -> str:
     """Java pattern whose group is a window of ``length`` runs of a text, the first of them of
     word characters or not. A match ends with the first run, so windows overlap."""
@@ -204,7 +233,7 @@ def _longer_windows(
     """The distinct windows in ``_window`` of every ``_doc`` that are as long as a keyword with the same
     first runs. A stretch (``_text``) of a document starts and ends with a word. The first runs of a
     table that is not small are met by their hashes."""
-    head = F.array_join(F.slice("_parts", 1, HEAD_RUNS), "")
+    head = F.array_join(F.slice(F.regexp_extract_all("keyword", F.lit(RUNS)), 1, HEAD_RUNS), "")
     heads = known.groupBy((head if small else F.xxhash64(head)).alias("_head"))
     heads = heads.agg(F.collect_set("_length").alias("_lengths"))
 
@@ -220,12 +249,8 @@ def _longer_windows(
         )
 
     others = [c for c in stretches.columns if c != "_text"]
-    placed = stretches.select(
-        *others,
-        F.regexp_extract_all("_text", F.lit(RUNS)).alias("_runs"),
-        F.concat(*[places(word) for word in starts]).alias("_places"),
-    )
-    placed = placed.select(*others, "_runs", F.inline("_places"))
+    placed = stretches.withColumn("_runs", F.regexp_extract_all("_text", F.lit(RUNS)))
+    placed = placed.select(*others, "_runs", F.inline(F.concat(*[places(word) for word in starts])))
     met = placed.join(F.broadcast(heads), "_head").withColumn("_length", F.explode("_lengths"))
     window = F.array_join(F.slice("_runs", F.col("_at"), F.col("_length")), "")
     return met.select(*others, window.alias("_window")).distinct().drop("_doc")
