@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
+from visitorlens.functions import text
 from visitorlens.functions.text import ENGLISH_STOP_WORDS
 from visitorlens.operators import phrases, scale, terms
 
@@ -191,3 +192,32 @@ def test_rake_reads_the_texts_once(spark, corpus, by):
     df, read = counted_reads(spark, data)
     scored = phrases.score_phrases(phrases.candidate_phrases(df, by), by)
     assert scored.collect() and read.value == len(data)
+
+
+@pytest.mark.parametrize("by", [[], ["venue"]])
+def test_tfidf_reads_the_texts_twice(spark, corpus, by):
+    """Words, then n-grams of frequent words; and once the rows are counted, without their texts."""
+    data, _ = corpus
+    df, read = counted_reads(spark, data)
+    assert terms.tfidf_top_terms(df, by=by).collect() and read.value == 3 * len(data)
+
+
+@pytest.mark.parametrize("listed", [1_000, 3])
+@pytest.mark.parametrize("sizes", [(1, 1), (1, 3), (2, 3)])
+def test_tfidf_of_longer_ngrams(corpus, monkeypatch, sizes, listed):
+    data, df = corpus
+    monkeypatch.setattr(terms, "LISTED_WORDS", listed)
+
+    def grams(text):
+        kept = [w for w in re.findall("[a-z]+", (text or "").lower()) if len(w) > 1 and w not in STOPS]
+        return [" ".join(kept[i : i + n]) for n in range(sizes[0], sizes[1] + 1) for i in range(len(kept) - n + 1)]
+
+    monkeypatch.setitem(globals(), "python_grams", grams)
+    got = sorted((r.term, round(r.score, 9)) for r in terms.tfidf_top_terms(df, sizes=sizes).collect())
+    assert got == sorted((w, round(x, 9)) for w, x in python_tfidf([t for _, t in data]))
+
+
+def test_ngrams_of_listed_words(spark):
+    df = spark.createDataFrame([(["aa", "bb", "xx", "aa", "bb", "cc"],), ([],), (None,)], "w array<string>")
+    got = [r.g for r in df.select(text.ngrams_of(F.col("w"), ["aa", "bb", "cc"], (2, 3)).alias("g")).collect()]
+    assert got[:2] == [["aa bb", "aa bb", "bb cc", "aa bb cc"], []] and not got[2]

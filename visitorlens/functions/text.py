@@ -36,6 +36,10 @@ needn't shan shan't shouldn shouldn't wasn wasn't weren weren't won won't wouldn
 """.split()
 
 
+# Fixed value: letters of the shortest word that is counted as a term.
+MIN_CHARS = 2
+
+
 def spark_stop_words(spark: SparkSession, language: str = "english") -> list[str]:
     """Spark ML's own stop-word list, plus the fragments cleaning makes of contractions."""
     from pyspark.ml.feature import StopWordsRemover
@@ -96,7 +100,7 @@ def remove_terms(tokens: Column, terms: Iterable[str]) -> Column:
 
 
 def content_tokens(
-    col: Column, stop_words: Iterable[str] = ENGLISH_STOP_WORDS, min_chars: int = 2
+    col: Column, stop_words: Iterable[str] = ENGLISH_STOP_WORDS, min_chars: int = MIN_CHARS
 ) -> Column:
     """Tokens of at least ``min_chars`` letters that are not stop words."""
     return remove_terms(tokenize(col, min_chars), stop_words)
@@ -125,6 +129,27 @@ def ngrams(tokens: Column, sizes: tuple[int, int] = (1, 2)) -> Column:
     return let(tokens, build)
 
 
+def ngrams_of(tokens: Column, words: Iterable[str], sizes: tuple[int, int] = (1, 2)) -> Column:
+    """The n-grams of ``ngrams`` that consist of ``words``. Others are null, which costs little, until
+    the last step."""
+    listed = sorted(set(words))
+    if not listed:
+        return F.array().cast("array<string>")
+    low, high = sizes
+
+    def build(known: Column) -> Column:
+        grams, parts = known, []
+        for n in range(1, high + 1):
+            if n > 1:
+                tail = F.slice(known, n, F.greatest(F.size(known), F.lit(0)))
+                grams = F.zip_with(grams, tail, lambda a, b: F.concat(a, F.lit(" "), b))
+            if n >= low:
+                parts.append(grams)
+        return F.array_compact(F.concat(*parts))
+
+    return let(F.transform(tokens, lambda w: F.when(w.isin(listed), w)), build)
+
+
 def count_terms(terms: Column) -> Column:
     """``array<struct<term, tf>>``: distinct terms of an array with their counts.
 

@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from visitorlens.functions.text import (
     ENGLISH_STOP_WORDS,
+    MIN_CHARS,
     content_tokens,
     count_terms,
     ngrams,
+    ngrams_of,
     tokenize,
 )
 from visitorlens.operators.scale import BROADCAST_ROWS, null_safe_join, top_per_group
@@ -20,6 +22,8 @@ from visitorlens.operators.scale import BROADCAST_ROWS, null_safe_join, top_per_
 MAX_FEATURES = 50
 TOP_TERMS = 20
 NGRAM_RANGE = (1, 2)
+# So many frequent words are looked up inside the rows, more of them in a join.
+LISTED_WORDS = 1_000
 
 
 def document_terms(
@@ -80,45 +84,57 @@ def tfidf_top_terms(
 
     The vocabulary is the ``max_features`` most frequent terms; every row counts as a
     document, also empty ones. An n-gram is no more frequent than any of its words, so only
-    n-grams between words that are as frequent as the last of the ``max_features`` first words
-    can be among them. Three passes over the text: the first counts single words, the second
-    those n-grams, the third joins the terms of every document with the vocabulary. Of a document
-    only its counts of such terms are shuffled. If those words are too many to be sent (groups
-    in their thousands, or most words equally rare), all n-grams are counted.
+    n-grams of words that are as frequent as the last of the ``max_features`` first words
+    can be among them. Two passes over the text: the first counts single words, the second
+    those n-grams of every document, of which only the counts are shuffled. The vocabulary is
+    found among these counts and joined with them. If those words are too many to be sent (groups
+    in their thousands, or most words equally rare), all n-grams are counted, and the documents
+    read once more for those of the vocabulary.
     """
     terms = document_terms(F.col(text), stop_words, sizes)
-    documents = reviews.select(*by, F.monotonically_increasing_id().alias("_doc"), terms.alias("_terms"))
-    found = documents.select(*by, "_doc", F.explode("_terms").alias("term"), F.lit(1).alias("tf"))
+    documents = reviews.select(*by, F.monotonically_increasing_id().alias("_doc"), F.col(text).alias("_text"))
     words = None
     if sizes[0] == 1:
-        tokens = content_tokens(F.col(text), stop_words)
-        single = reviews.select(*by, F.explode(tokens).alias("term"))
-        words = _as_broadcast(_most_frequent_words(single, max_features, by))
+        # Stop words are dropped after the explode, in compiled code.
+        single = reviews.select(*by, F.explode(tokenize(F.col(text), MIN_CHARS)).alias("term"))
+        if stop_words:
+            single = single.filter(~F.col("term").isin(sorted(set(stop_words))))
+        words = _collected(_most_frequent_words(single, max_features, by))
     if words is None:
         counts = reviews.select(*by, F.explode(terms).alias("term")).groupBy(*by, "term")
         counts = counts.agg(F.count(F.lit(1)).alias("n"))
         frequent = top_terms_by_count(counts, max_features, by).select(*by, "term")
+        vocabulary = _as_broadcast(frequent)
+        inside = document_terms(F.col("_text"), stop_words, sizes)
+        if vocabulary is None:
+            # Too large to be sent: documents are reduced to their distinct terms before the shuffle.
+            known, found = frequent, documents.select(*by, "_doc", F.inline(count_terms(inside)))
+        else:
+            known = vocabulary
+            found = documents.select(*by, "_doc", F.explode(inside).alias("term"), F.lit(1).alias("tf"))
+        # At most ``max_features`` rows per document from here on.
+        counted = _of_groups(found, known, by).groupBy(*by, "_doc", "term").agg(F.sum("tf").alias("tf"))
+        used = counted.groupBy(*by, "term").agg(F.count(F.lit(1)).alias("n_docs"))
+        sent = vocabulary is not None
     else:
-        counted = _between_words(found, words, by).groupBy(*by, "_doc", "term").agg(F.sum("tf").alias("tf"))
+        listed = sorted({row.term for row in words})
+        few = len(listed) <= LISTED_WORDS
+        tokens = content_tokens(F.col("_text"), stop_words)
+        inside = ngrams_of(tokens, listed, sizes) if few else ngrams(tokens, sizes)
+        found = documents.select(*by, "_doc", F.explode(inside).alias("term"))
+        if by or not few:
+            found = _between_words(found, _sent(reviews, words, by), by)
+        counted = found.groupBy(*by, "_doc", "term").agg(F.count(F.lit(1)).alias("tf"))
         counts = counted.groupBy(*by, "term")
         counts = counts.agg(F.sum("tf").alias("n"), F.count(F.lit(1)).alias("n_docs"))
-        frequent = top_terms_by_count(counts, max_features, by).select(*by, "term", "n_docs")
-    vocabulary = _as_broadcast(frequent)
-    if vocabulary is None:
-        # Too large to be sent: documents are reduced to their distinct terms before the shuffle.
-        found = documents.select(*by, "_doc", F.inline(count_terms(F.col("_terms"))))
-    known = frequent if vocabulary is None else vocabulary
-    # At most ``max_features`` rows per document from here on.
-    counted = _of_groups(found, known.select(*by, "term"), by)
-    counted = counted.groupBy(*by, "_doc", "term").agg(F.sum("tf").alias("tf"))
-    used = known
-    if words is None:
-        used = counted.groupBy(*by, "term").agg(F.count(F.lit(1)).alias("n_docs"))
+        used = top_terms_by_count(counts, max_features, by).select(*by, "term", "n_docs")
+        # No group has a vocabulary without one of these words.
+        sent = max_features * len({str(row[:-1]) for row in words}) <= BROADCAST_ROWS
     total = reviews.groupBy(*by).agg(F.count(F.lit(1)).alias("n_all"))
     used = null_safe_join(used, total, by) if by else used.withColumn("n_all", total.scalar())
     idf = F.log((1 + F.col("n_all")) / (1 + F.col("n_docs"))) + 1
     used = used.select(*by, "term", idf.alias("idf"))
-    weighed = _of_groups(counted, used if vocabulary is None else F.broadcast(used), by)
+    weighed = _of_groups(counted, F.broadcast(used) if sent else used, by)
     weighed = weighed.select(*by, "_doc", "term", (F.col("tf") * F.col("idf")).alias("w"))
     normed = weighed.groupBy(*by, "_doc").agg(
         F.collect_list(F.struct("term", "w")).alias("_weights"),
@@ -163,13 +179,23 @@ def _of_groups(rows: DataFrame, terms: DataFrame, by: Sequence[str]) -> DataFram
     return rows.join(known, same).drop(*[f"_of_{c}" for c in (*by, "term")])
 
 
-def _as_broadcast(df: DataFrame, max_rows: int | None = None) -> DataFrame | None:
-    """``df`` computed once, to be broadcast, if it has no more rows than that; else None."""
+def _collected(df: DataFrame, max_rows: int | None = None) -> list[Row] | None:
+    """The rows of ``df`` if it has no more than that; else None."""
     limit = BROADCAST_ROWS if max_rows is None else max_rows
     rows = df.limit(limit + 1).collect()
-    if len(rows) > limit:
-        return None
-    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
+    return rows if len(rows) <= limit else None
+
+
+def _as_broadcast(df: DataFrame) -> DataFrame | None:
+    """``df`` computed once, to be broadcast, if it is small; else None."""
+    rows = _collected(df)
+    return None if rows is None else F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
+
+
+def _sent(reviews: DataFrame, words: list[Row], by: Sequence[str]) -> DataFrame:
+    """``words`` as a table ``(*by, term)``."""
+    schema = reviews.select(*by, F.lit("").alias("term")).schema
+    return F.broadcast(reviews.sparkSession.createDataFrame(words, schema))
 
 
 def top_bigrams(
